@@ -1,0 +1,53 @@
+"""Distributed prefix sums: totals of buckets first, running sums inside each bucket after.
+
+A global running sum needs no single sorted partition: rows get a bucket whose order agrees with the order of the
+rows, the buckets' totals (one row each) are summed, and each bucket runs its own window. Every function here uses
+DataFrame operations only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from weftline.session import shuffle_partitions
+
+MAX_BUCKETS = 4096
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets grow with the cluster's shuffle partitions; at most MAX_BUCKETS bounds go into the plan."""
+    return min(MAX_BUCKETS, max(64, 2 * shuffle_partitions(df.sparkSession)))
+
+
+def range_bounds(df: DataFrame, key: str, n: int) -> list:
+    """At most n - 1 ascending bounds that deal the rows into n ranges of about equal counts."""
+    if n < 2:
+        return []
+    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def range_bucket(key: Column, bounds: list) -> Column:
+    """How many bounds are at or below the key; nulls come first, in bucket 0 with the smallest keys."""
+    if not bounds:
+        return F.lit(0)
+    found = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
+
+
+def running(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, before: str, index: str) -> DataFrame:
+    """Adds, per group, the sum of value before each row and the row's index from 0, in the order of bucket and order.
+
+    group and bucket hold no nulls. df is read twice, so it should be a table that is written already. A group may
+    hold any share of the rows: work is split by bucket, and only totals of buckets meet in one window.
+    """
+    keys = [*group, bucket]
+    over = Window.partitionBy(*group) if group else Window.partitionBy()
+    over = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    totals = totals.select(*keys, F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__sum_at"), F.coalesce(F.sum("__rows").over(over), F.lit(0)).alias("__row_at"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    out = df.withColumn("__run", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)).withColumn("__row", F.row_number().over(inside) - 1)
+    out = out.join(totals, keys)
+    return out.withColumn(before, (F.col("__run") + F.col("__sum_at")).cast("long")).withColumn(index, (F.col("__row") + F.col("__row_at")).cast("long")).drop("__run", "__row", "__sum_at", "__row_at")
