@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, fingerprints, mixing, sharding, topk
+from weftline.llm import chat, fingerprints, langid, licences, mixing, neardup, packing, sharding, suffix, topk
 from weftline.session import ship_by_value
 
 ship_by_value(__name__)
@@ -46,10 +46,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs.filter(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("__found")).select("doc_id", "held_out", "__found.*")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
@@ -62,7 +86,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sharding": op2_sharding,
+    "op3_licences": op3_licences,
+    "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_language": op8_language,
     "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
 }
@@ -147,3 +176,58 @@ WITH k AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM p"""
+
+
+def _canonical_sql(text: str) -> str:
+    x = f"regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    for a, b in licences.SPELLINGS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"trim({x})"
+
+
+ORACLE["op3_licences"] = f"""
+WITH k AS (
+  SELECT licence_id, md5({_canonical_sql('text')}) AS digest
+  FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in licences.KNOWN.items())}) t(licence_id, text)
+), d AS (
+  SELECT doc_id, text, {_canonical_sql("coalesce(text, '')")} AS form FROM documents
+), n AS (
+  SELECT doc_id, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) l JOIN k ON regexp_matches(line, '(?i)licen[cs]e') AND md5({_canonical_sql('line')}) = k.digest
+  GROUP BY doc_id
+)
+SELECT d.doc_id, length(form) AS canonical_chars, md5(form) AS digest, k.licence_id, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN k ON md5(form) = k.digest LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def _packing_sql(n_buckets: int = 8, token_budget: int = 16384) -> str:
+    """The same dynamic program, a table for each number of buckets; each step tries every cut."""
+    steps, best = [], "SELECT j, l * rows - tokens AS cost, 0 AS cut FROM h UNION ALL SELECT 0, 0, 0"
+    steps.append(f"c1 AS MATERIALIZED ({best})")
+    for k in range(2, n_buckets + 1):
+        steps.append(f"""c{k} AS MATERIALIZED (
+  SELECT j, min(total) AS cost, arg_min(i, (total, i)) AS cut
+  FROM (SELECT b.j, a.j AS i, a.cost + b.l * (b.rows - c.rows) - (b.tokens - c.tokens) AS total
+        FROM h b JOIN c{k - 1} a ON a.j < b.j AND a.j >= {k - 1} JOIN h c ON c.j = a.j WHERE b.j >= {k}) GROUP BY j)""")
+    ends = [f"e{n_buckets} AS (SELECT least(max(j), {n_buckets}) AS k, max(j) AS j FROM h)"]
+    for k in range(n_buckets, 1, -1):
+        # with fewer lengths than buckets the chain starts lower
+        ends.append(f"e{k - 1} AS (SELECT k, CASE WHEN k >= {k} THEN (SELECT cut FROM c{k} WHERE c{k}.j = e{k}.j) ELSE j END AS j FROM e{k})")
+    lengths = " UNION ".join(f"SELECT h.l FROM h JOIN e{k} ON h.j = e{k}.j" for k in range(1, n_buckets + 1))
+    return f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce({WORDS.format('text')}, 0) AS BIGINT) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|pack-1') AS hash FROM documents
+), g AS (SELECT n_tokens AS l, count(*) AS n FROM d GROUP BY 1
+), h AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY l) AS j, l, CAST(sum(n) OVER (ORDER BY l) AS BIGINT) AS rows, CAST(sum(n * l) OVER (ORDER BY l) AS BIGINT) AS tokens FROM g
+), {", ".join(steps)}, {", ".join(ends)},
+b AS (SELECT l AS bucket_len, CAST(row_number() OVER (ORDER BY l) - 1 AS INT) AS bucket, lag(l, 1, -1) OVER (ORDER BY l) AS below FROM ({lengths})),
+p AS (
+  SELECT d.*, b.bucket, b.bucket_len, greatest(1, {token_budget} // greatest(1, b.bucket_len)) AS per,
+    row_number() OVER (PARTITION BY b.bucket ORDER BY d.hash, d.n_tokens) - 1 AS i
+  FROM d JOIN b ON d.n_tokens <= b.bucket_len AND d.n_tokens > b.below
+)
+SELECT doc_id, n_tokens, bucket, bucket_len, i // per AS batch, i % per AS slot, bucket_len - n_tokens AS padding FROM p"""
+
+
+ORACLE["op4_packing"] = _packing_sql()
