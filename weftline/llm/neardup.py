@@ -112,7 +112,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def class_id(shingles: np.ndarray) -> int:
     """A hash of the set: the sum of its hashed members, hashed with their number."""
     total = mixed(shingles * ODD[40]).sum(dtype=np.uint64, keepdims=True)
-    return int(mixed(total + np.uint64(len(shingles)) * ODD[41]).view(np.int64)[0])
+    total += np.uint64(len(shingles) * int(ODD[41]) % 2**64)
+    return int(mixed(total).view(np.int64)[0])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
