@@ -8,12 +8,13 @@ are immutable, so every operation returns a new batch; machines of a batch never
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.semiring import INF, SEMIRINGS, Tropical, is_zero
-from weftline.session import materialise
+from weftline.session import hold, row_count
 
 META = "fst_id long, start long"
 STATES = "fst_id long, state long, final_weight double"
@@ -42,8 +43,8 @@ class Fst:
         return replace(self, **changes)
 
     def cut(self, tag: str = "fst") -> Fst:
-        """The same batch, written to the shared folder, so that plans don't grow with the number of operations."""
-        return self.with_(meta=materialise(self.meta, f"{tag}-meta"), states=materialise(self.states, f"{tag}-states"), arcs=materialise(self.arcs, f"{tag}-arcs"))
+        """The same batch with its lineage cut, so that plans don't grow with the number of operations."""
+        return self.with_(meta=hold(self.meta, f"{tag}-meta"), states=hold(self.states, f"{tag}-states"), arcs=hold(self.arcs, f"{tag}-arcs"))
 
     # accessors
 
@@ -135,17 +136,15 @@ class Fst:
         now = self.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), none.alias("ilabels"), none.alias("olabels"), F.lit(0.0).alias("w"), F.lit(1).cast("long").alias("paths"))
         arcs = self.arcs.filter(~is_zero(F.col("weight")))
         add = lambda old, new: F.when(F.col(new) == 0, F.col(old)).otherwise(F.concat(old, F.array(new)))
-        out = None
-        for i in range(max_arcs + 1):
-            done = now.join(finals, ["fst_id", "state"]).select("fst_id", "ilabels", "olabels", (F.col("w") + F.col("final_weight")).alias("w"), "paths")
-            out = done if out is None else out.unionByName(done)
-            if i == max_arcs:
-                break
+        every = [now]
+        for _ in range(max_arcs):
             now = now.join(arcs, (now["fst_id"] == arcs["fst_id"]) & (now["state"] == arcs["src"])).select(now["fst_id"], F.col("dst").alias("state"), add("ilabels", "ilabel").alias("ilabels"), add("olabels", "olabel").alias("olabels"), (F.col("w") + F.col("weight")).alias("w"), "paths")
-            now = materialise(now.groupBy("fst_id", "state", "ilabels", "olabels").agg(self.semiring.plus("w").alias("w"), F.sum("paths").alias("paths")), "paths")
-            if not now.limit(1).count():
+            now = hold(now.groupBy("fst_id", "state", "ilabels", "olabels").agg(self.semiring.plus("w").alias("w"), F.sum("paths").alias("paths")), "paths", now)
+            if not row_count(now):
                 break
-        return out.groupBy("fst_id", "ilabels", "olabels").agg(self.semiring.plus("w").alias("weight"), F.sum("paths").alias("paths"))
+            every.append(now)
+        ends = reduce(DataFrame.unionByName, every).join(finals, ["fst_id", "state"]).withColumn("w", F.col("w") + F.col("final_weight"))
+        return ends.groupBy("fst_id", "ilabels", "olabels").agg(self.semiring.plus("w").alias("weight"), F.sum("paths").alias("paths"))
 
 
 def label_text(labels: str, shift: int = 1):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.model import Fst, same_space
 from weftline.plans.fixpoint import NoFixpoint, empty
-from weftline.session import discard, materialise
+from weftline.session import discard, hold
 
 STATE = ["fst_id", "s1", "s2", "f"]
 
@@ -38,25 +38,25 @@ def compose(a: Fst, b: Fst, shared: bool = False, max_rounds: int = 100_000) ->
     starts = a.meta.select("fst_id", F.col("start").alias("s1"))
     starts = (starts.crossJoin(F.broadcast(b_meta)) if shared else starts.join(b_meta, "fst_id")).filter("s1 is not null and s2 is not null")
     zero = F.lit(0).cast("long")
-    new = seen = materialise(starts.withColumn("f", F.lit(0)).select(*STATE), "frontier")
-    states, arcs = [seen], []
+    new = seen = hold(starts.withColumn("f", F.lit(0)).select(*STATE), "frontier")
+    states, arcs, made = [seen], [], None
     for _ in range(max_rounds):
         left = new.join(a_arcs, ["fst_id", "s1"])
         both = left.filter("olabel <> 0 or f = 0").join(b_arcs, [*key, "s2", "olabel"]).select(*STATE, F.col("d1").alias("t1"), F.col("d2").alias("t2"), F.lit(0).alias("g"), F.col("in1").alias("ilabel"), F.col("out2").alias("olabel"), a.semiring.times(F.col("w1"), F.col("w2")).alias("weight"))
         one = left.filter("olabel = 0 and f <> 1").select(*STATE, F.col("d1").alias("t1"), F.col("s2").alias("t2"), F.lit(2).alias("g"), F.col("in1").alias("ilabel"), zero.alias("olabel"), F.col("w1").alias("weight"))
         two = new.filter("f <> 2").join(b_eps, [*key, "s2"]).select(*STATE, F.col("s1").alias("t1"), F.col("d2").alias("t2"), F.lit(1).alias("g"), zero.alias("ilabel"), F.col("out2").alias("olabel"), F.col("w2").alias("weight"))
-        made = materialise(both.unionByName(one).unionByName(two), "product")
+        made = hold(both.unionByName(one).unionByName(two), "product", made)
         arcs.append(made)
         to = made.select("fst_id", F.col("t1").alias("s1"), F.col("t2").alias("s2"), F.col("g").alias("f")).distinct()
-        new = materialise(to.join(seen, STATE, "left_anti"), "frontier")
+        new = hold(to.join(seen, STATE, "left_anti"), "frontier", new)
         if empty(new):
             break
         states.append(new)
         if len(states) >= 16:
-            old, states = states, [materialise(_all(states), "frontier")]
+            old, states = states, [hold(_all(states), "frontier")]
             discard(*old[:-1])
         if len(arcs) >= 16:
-            old, arcs = arcs, [materialise(_all(arcs), "product")]
+            old, arcs = arcs, [hold(_all(arcs), "product")]
             discard(*old)
         seen = _all(states)
     else:
@@ -67,7 +67,7 @@ def compose(a: Fst, b: Fst, shared: bool = False, max_rounds: int = 100_000) ->
         return ((F.col(s1) * F.col("n2") + F.col(s2)) * 3 + F.col(f)).cast("long")
 
     def wide(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(width), key) if key else df.crossJoin(F.broadcast(width))
+        return df.join(width, key) if key else df.crossJoin(F.broadcast(width))  # one row if shared
 
     finals_a = a.states.filter("final_weight is not null").select("fst_id", F.col("state").alias("s1"), F.col("final_weight").alias("w1"))
     finals_b = b.states.filter("final_weight is not null").select(*key, F.col("state").alias("s2"), F.col("final_weight").alias("w2"))

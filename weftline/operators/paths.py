@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.model import Fst
 from weftline.plans.fixpoint import NoFixpoint, empty
 from weftline.semiring import is_zero
-from weftline.session import discard, materialise
+from weftline.session import discard, hold
 
 BEST = "fst_id", "state"
 
@@ -22,7 +22,7 @@ def distances(fst: Fst, max_rounds: int | None = None) -> DataFrame:
     arcs = fst.arcs.filter(~is_zero(F.col("weight")))
     none = F.lit(None).cast("long")
     first = F.struct(F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("hops"), none.alias("src"), none.alias("ilabel"), none.alias("olabel"), F.lit(0.0).alias("weight"))
-    dist = materialise(fst.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), first.alias("best"), F.lit(True).alias("moved")), "dist")
+    dist = hold(fst.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), first.alias("best"), F.lit(True).alias("moved")), "dist")
     limit = max_rounds or 1 + (fst.states.groupBy("fst_id").count().agg(F.max("count")).first()[0] or 0)
     for _ in range(limit):
         moved = dist.filter("moved").select("fst_id", F.col("state").alias("src"), F.col("best.w").alias("w"), F.col("best.hops").alias("hops"))
@@ -32,7 +32,7 @@ def distances(fst: Fst, max_rounds: int | None = None) -> DataFrame:
         every = dist.select("fst_id", "state", "best", F.lit(False).alias("moved")).unionByName(offers)
         rank = F.struct(F.col("best.w"), F.col("best.hops"), F.col("moved"), F.col("best"))
         merged = every.groupBy(*BEST).agg(F.min(rank).alias("r")).select(*BEST, F.col("r.best").alias("best"), F.col("r.moved").alias("moved"))
-        old, dist = dist, materialise(merged, "dist")
+        old, dist = dist, hold(merged, "dist", dist)
         discard(old)
         if empty(dist.filter("moved")):
             return dist.drop("moved")
@@ -48,12 +48,12 @@ def shortest_path(fst: Fst, n: int = 1) -> Fst:
     dist = distances(fst)
     finals = fst.states.filter(F.col("final_weight").isNotNull() & ~is_zero(F.col("final_weight")))
     ends = dist.join(finals, list(BEST)).select("fst_id", F.struct((F.col("best.w") + F.col("final_weight")).alias("total"), F.col("best.hops").alias("hops"), "state", "final_weight").alias("e"))
-    ends = materialise(ends.groupBy("fst_id").agg(F.min("e").alias("e")).select("fst_id", "e.*"), "ends")
-    at = materialise(ends.select("fst_id", "state", "hops"), "trace")
+    ends = hold(ends.groupBy("fst_id").agg(F.min("e").alias("e")).select("fst_id", "e.*"), "ends")
+    at = hold(ends.select("fst_id", "state", "hops"), "trace")
     parts = []
     while not empty(at.filter("hops > 0")):
         step = at.filter("hops > 0").join(dist, list(BEST)).select("fst_id", (F.col("hops") - 1).alias("hops"), F.col("best.src").alias("state"), F.col("best.ilabel").alias("ilabel"), F.col("best.olabel").alias("olabel"), F.col("best.weight").alias("weight"))
-        parts.append(materialise(step, "trace"))
+        parts.append(hold(step, "trace"))
         at = parts[-1].select("fst_id", "state", "hops")
     arcs = fst.arcs.limit(0)
     for p in parts:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.model import MAX_LABEL, Fst
 from weftline.plans.fixpoint import NoFixpoint, empty, reach
-from weftline.session import discard, materialise
+from weftline.session import discard, hold, row_count
 
 IS_EPSILON = "ilabel = 0 and olabel = 0"
 
@@ -26,17 +26,17 @@ def epsilon_distances(fst: Fst, max_rounds: int = 10_000) -> DataFrame:
     """
     eps = fst.arcs.filter(IS_EPSILON).groupBy("fst_id", "src", "dst").agg(fst.semiring.plus("weight").alias("weight"))
     eps = eps.select("fst_id", F.col("src").alias("mid"), F.col("dst").alias("to"), "weight")
-    done = new = materialise(fst.states.select("fst_id", F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(0.0).alias("w")), "eps")
+    done = new = hold(fst.states.select("fst_id", F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(0.0).alias("w")), "eps")
     limit = max_rounds if fst.semiring.idempotent else 1 + (fst.states.groupBy("fst_id").count().agg(F.max("count")).first()[0] or 0)
     for _ in range(limit):
         step = new.withColumnRenamed("dst", "mid").join(eps, ["fst_id", "mid"]).groupBy("fst_id", "src", F.col("to").alias("dst")).agg(fst.semiring.plus(F.col("w") + F.col("weight")).alias("w"))
         if fst.semiring.idempotent:
             step = step.join(done.withColumnRenamed("w", "old"), ["fst_id", "src", "dst"], "left").filter("old is null or w < old").drop("old")
-        step = materialise(step, "eps")
+        step = hold(step, "eps", new)
         if empty(step):
             return done
         old, new = done, step
-        done = materialise(old.unionByName(step).groupBy("fst_id", "src", "dst").agg(fst.semiring.plus("w").alias("w")), "eps")
+        done = hold(old.unionByName(step).groupBy("fst_id", "src", "dst").agg(fst.semiring.plus("w").alias("w")), "eps")
         discard(old)
     raise NoFixpoint("an epsilon cycle whose weights have no finite sum")
 
@@ -84,30 +84,30 @@ def determinize(fst: Fst, drop_epsilon: bool = False, max_rounds: int = 10_000,
     plus = fst.semiring.plus
     arcs = fst.arcs.select("fst_id", F.col("src").alias("q"), F.col("ilabel").alias("label"), "weight", "dst")
     one = F.array(F.struct(F.col("start").alias("q"), F.lit(0.0).alias("r")))
-    new = seen = materialise(fst.meta.filter("start is not null").select("fst_id", one.alias("subset")), "subsets")
+    new = seen = hold(fst.meta.filter("start is not null").select("fst_id", one.alias("subset")), "subsets")
     parts, made = [seen], []
     for _ in range(max_rounds):
         members = new.select("fst_id", "subset", F.explode("subset").alias("m")).select("fst_id", "subset", "m.*")
         to = members.join(arcs, ["fst_id", "q"]).groupBy("fst_id", "subset", "label", "dst").agg(plus(F.col("r") + F.col("weight")).alias("w"))
         common = to.groupBy("fst_id", "subset", "label").agg(plus("w").alias("common"), F.collect_list(F.struct("dst", "w")).alias("to"))
         rest = F.transform(F.array_sort("to"), lambda x: F.struct(x["dst"].alias("q"), F.round(x["w"] - F.col("common"), 9).alias("r")))
-        step = materialise(common.select("fst_id", "subset", "label", F.col("common").alias("weight"), rest.alias("next")), "subset-arcs")
+        step = hold(common.select("fst_id", "subset", "label", F.col("common").alias("weight"), rest.alias("next")), "subset-arcs", new)
         made.append(step)
-        new = materialise(step.select("fst_id", F.col("next").alias("subset")).distinct().join(seen, ["fst_id", "subset"], "left_anti"), "subsets")
+        new = hold(step.select("fst_id", F.col("next").alias("subset")).distinct().join(seen, ["fst_id", "subset"], "left_anti"), "subsets", new)
         if empty(new):
             break
         parts.append(new)
         seen = reduce(DataFrame.unionByName, parts)
         if len(parts) % 16 == 0:
-            if seen.count() > max_states:
+            if row_count(seen) > max_states:
                 raise NoFixpoint(f"more than {max_states} states: the machine may have no deterministic equivalent")
-            old, parts = parts, [materialise(seen, "subsets")]
+            old, parts = parts, [hold(seen, "subsets")]
             discard(*old[:-1])
             seen = parts[0]
     else:
         raise NoFixpoint("subsets still grow")
     # ids: a hash of the subset is unique but for chance; dense numbers follow from its rank
-    sets = materialise(seen.withColumn("state", F.xxhash64("subset")), "subsets")
+    sets = hold(seen.withColumn("state", F.xxhash64("subset")), "subsets")
     finals = sets.select("fst_id", "state", F.explode("subset").alias("m")).select("fst_id", "state", F.col("m.q").alias("q"), F.col("m.r").alias("r"))
     finals = finals.join(fst.states.filter("final_weight is not null").select("fst_id", F.col("state").alias("q"), "final_weight"), ["fst_id", "q"])
     finals = finals.groupBy("fst_id", "state").agg(plus(F.col("r") + F.col("final_weight")).alias("final_weight"))
@@ -125,12 +125,12 @@ def minimize(fst: Fst, max_rounds: int = 100_000) -> Fst:
     Classes are refined until their number stays: a state's new class is a hash of its class, its finality and its
     sorted arcs with the classes they lead to. Weights are compared exactly and not pushed.
     """
-    cls = materialise(fst.states.select("fst_id", "state", F.xxhash64(F.coalesce("final_weight", F.lit(float("inf")))).alias("c")), "classes")
+    cls = hold(fst.states.select("fst_id", "state", F.xxhash64(F.coalesce("final_weight", F.lit(float("inf")))).alias("c")), "classes")
     count = cls.select("fst_id", "c").distinct().count()
     for _ in range(max_rounds):
         to = cls.select("fst_id", F.col("state").alias("dst"), F.col("c").alias("to"))
         out = fst.arcs.join(to, ["fst_id", "dst"]).groupBy("fst_id", F.col("src").alias("state")).agg(F.sort_array(F.collect_list(F.struct("ilabel", "olabel", "weight", "to"))).alias("sig"))
-        old, cls = cls, materialise(cls.join(out, ["fst_id", "state"], "left").select("fst_id", "state", F.xxhash64("c", "sig").alias("c")), "classes")
+        old, cls = cls, hold(cls.join(out, ["fst_id", "state"], "left").select("fst_id", "state", F.xxhash64("c", "sig").alias("c")), "classes")
         now = cls.select("fst_id", "c").distinct().count()
         discard(old)
         if now == count:
@@ -140,20 +140,15 @@ def minimize(fst: Fst, max_rounds: int = 100_000) -> Fst:
     return fst.remap(cls.join(to, ["fst_id", "c"]).select("fst_id", "state", "to")).renumber().cut("minimize")
 
 
-def encode(fst: Fst) -> tuple[Fst, DataFrame]:
-    """Label pairs as single labels above all others, and the table that decodes them."""
-    top = fst.arcs.agg(F.coalesce(F.greatest(F.max("ilabel"), F.max("olabel")), F.lit(0))).first()[0]
-    pairs = [(r["ilabel"], r["olabel"]) for r in fst.arcs.filter(f"not ({IS_EPSILON})").select("ilabel", "olabel").distinct().orderBy("ilabel", "olabel").collect()]
-    if top + len(pairs) > MAX_LABEL:
-        raise OverflowError("no labels left to encode label pairs")
-    table = fst.spark.createDataFrame([(top + 1 + i, x, y) for i, (x, y) in enumerate(pairs)], "code long, ilabel long, olabel long")
-    coded = fst.arcs.join(F.broadcast(table), ["ilabel", "olabel"], "left").withColumn("code", F.coalesce("code", F.lit(0)))
-    return fst.with_(arcs=coded.select("fst_id", "src", F.col("code").alias("ilabel"), F.col("code").alias("olabel"), "weight", "dst")), table
+def encode(fst: Fst) -> Fst:
+    """Label pairs as single labels: both 32-bit labels side by side in one 64-bit number, so that no table is needed."""
+    pair = F.shiftleft("ilabel", 32).bitwiseOR(F.col("olabel"))
+    return fst.with_(arcs=fst.arcs.select("fst_id", "src", pair.alias("ilabel"), pair.alias("olabel"), "weight", "dst"))
 
 
-def decode(fst: Fst, table: DataFrame) -> Fst:
-    coded = fst.arcs.withColumnRenamed("ilabel", "code").drop("olabel").join(F.broadcast(table), "code", "left")
-    return fst.with_(arcs=coded.select("fst_id", "src", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ilabel", "olabel")], "weight", "dst"))
+def decode(fst: Fst) -> Fst:
+    i, o = F.shiftrightunsigned("ilabel", 32), F.col("ilabel").bitwiseAND(F.lit(MAX_LABEL).cast("long"))
+    return fst.with_(arcs=fst.arcs.select("fst_id", "src", i.alias("ilabel"), o.alias("olabel"), "weight", "dst"))
 
 
 def optimize(fst: Fst) -> Fst:
@@ -161,5 +156,4 @@ def optimize(fst: Fst) -> Fst:
     fst = rm_epsilon(fst)
     if empty(fst.arcs.filter("ilabel <> olabel")):
         return connect(minimize(determinize(fst)))
-    coded, table = encode(fst)
-    return decode(connect(minimize(determinize(coded))), table)
+    return decode(connect(minimize(determinize(encode(fst)))))

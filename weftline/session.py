@@ -49,3 +49,26 @@ def discard(*frames: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SMALL = 20_000
+
+
+def hold(df: DataFrame, tag: str, like: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage of a loop's table: up to SMALL rows are held by the driver as a local relation, more are written.
+
+    Where `like` (the round before) had to be written, so is this one, without trying first.
+    """
+    if getattr(like, "_weftline_path", None):
+        return materialise(df, tag)
+    rows = df.limit(SMALL + 1).toArrow()
+    if rows.num_rows > SMALL:
+        return materialise(df, tag)
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out._weftline_rows = rows.num_rows
+    return out
+
+
+def row_count(df: DataFrame) -> int:
+    known = getattr(df, "_weftline_rows", None)
+    return df.count() if known is None else known
