@@ -8,9 +8,10 @@ A pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 
 Only components are asked for, so not every pair of a large bucket has to be looked at. In a round, each bucket that
 still holds several components sends its members to one hub (another one in each round), and each member is confirmed
-against the hub most like it. When rounds no longer pay, every pair of a bucket whose members are still in different
-components is compared and confirmed, which leaves no link between components out. Pairs of one bucket are thus made
-only where they could still join two components.
+against the hub most like it. After that, the members of buckets that still hold several components are packed into
+blocks of bounded size, near ones together. Two blocks that meet in a bucket are one unit of work, which makes the same
+comparison for all pairs between different components that share a band, confirms what survives, and gives links only.
+So no pair that could still join two components is left out, and no pair is a row unless it is a candidate of a hub.
 
 No bucket, class or component is collected anywhere: all are joins and aggregations, with tables written to the shared
 folder between rounds. Class ids are 64-bit hashes of the shingle set.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import ODD, TABLE, mixed, pieces
-from weftline.session import discard, materialise, ship_by_value
+from weftline.session import arrow_rows, discard, materialise, ship_by_value
 
 ship_by_value(__name__)
 
@@ -188,24 +189,66 @@ def _compare(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]]) ->
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(equal[alive])], names=["a", "b", "equal"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, sets) -> the pairs with 100 * intersection >= percent * union."""
+    """(a, b, sets) -> the pairs that are similar."""
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                keep.append(i)
-        at = pa.array(keep, pa.int64())
+        one, two = batch.column(2), batch.column(3)
+        at = pa.array([i for i in range(batch.num_rows) if similar(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in (one, two)), percent)], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int) -> Iterator[pa.RecordBatch]:
+    """(block x, block y, same) -> links between different components of their members.
+
+    Pairs share a band and survive the sequential comparison; those already joined by a link of this unit are skipped.
+    """
+    for batch in batches:
+        for row in range(batch.num_rows):
+            same = batch.column(2)[row].as_py()
+            x, y = (batch.column(i)[row].as_py() for i in (0, 1))
+            root: dict[int, int] = {}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            sig_x, sig_y = (np.frombuffer(b"".join(m["sig"] for m in z), np.uint32).reshape(len(z), BANDS * ROWS) for z in (x, y))
+            comp_x, comp_y = (np.array([m["comp"] for m in z]) for z in (x, y))
+            sets_x, sets_y = ([np.frombuffer(m["members"], np.uint64) for m in z] for z in (x, y))
+            out = []
+            for lo in range(0, len(x), 32):
+                equal = sig_x[lo : lo + 32, None, :] == sig_y[None]
+                alive = comp_x[lo : lo + 32, None] != comp_y[None]
+                if same:
+                    alive &= np.arange(lo, lo + len(equal))[:, None] < np.arange(len(y))[None]
+                alive &= equal.reshape(*equal.shape[:2], BANDS, ROWS).all(axis=3).any(axis=2)
+                count = np.zeros(alive.shape, np.int64)
+                done = 0
+                for n, least in steps:
+                    count += equal[:, :, done:n].sum(axis=2)
+                    alive &= count >= least
+                    done = n
+                i, j = np.nonzero(alive)
+                for k in np.argsort(-count[i, j], kind="stable"):
+                    a, b = lo + int(i[k]), int(j[k])
+                    c, d = top(int(comp_x[a])), top(int(comp_y[b]))
+                    if c != d and similar(sets_x[a], sets_y[b], percent):
+                        root[c] = d
+                        out.append((x[a]["node"], y[b]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over edges (a, b), for nodes that have edges.
 
@@ -227,8 +270,12 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+BLOCK, BLOCK_BYTES = 256, 2_000_000  # classes and bytes of a block, about
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, node (class of equal shingle sets) and component_id (smallest id reachable) of every document."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(lambda b: _sign(b, words), "id long, n long, node long, sig binary"), "signed")
     classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
@@ -257,13 +304,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         return materialise(comp.join(label, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "components")
 
     def still_mixed(comp: DataFrame) -> tuple[DataFrame, int]:
-        """Members of buckets that hold several components, and how many pairs between components these have."""
+        """Members of buckets that hold several components, and how many rows these are."""
         placed = members.join(comp, "node")
-        sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        mixed_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).filter("comps > 1")
-        placed = materialise(placed.join(mixed_.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2).cast("long").alias("open")), "key"), "mixed")
+        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+        placed = materialise(placed.join(several, "key"), "mixed")
         return placed, placed.count()
 
+    def all_between(placed: DataFrame) -> DataFrame:
+        """Links between components that share a bucket, by blocks."""
+        low = placed.groupBy("key").agg(F.min("node").alias("low"))
+        home = placed.join(low, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("home"))
+        home = home.join(sets, "node").join(sigs.select("node", "sig"), "node")
+        size = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("n"))
+        block = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n")))
+        home = home.join(size, "home").withColumn("block", block)
+        packs = home.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "members")).alias("pack"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        packs = materialise(packs, "packs")
+        where = packs.select("block", "low", "high", F.explode("pack.node").alias("node")).join(placed.select("key", "node"), "node").select("key", "block", "low", "high").distinct()
+        one, two = (where.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "xy")
+        units = one.join(two, "key").filter("block_x <= block_y and least(low_x, low_y) < greatest(high_x, high_y)").select("block_x", "block_y").distinct()
+        of = lambda s: packs.select(F.col("block").alias(f"block_{s}"), F.col("pack").alias(f"pack_{s}"))
+        units = units.join(of("x"), "block_x").join(of("y"), "block_y").select("pack_x", "pack_y", (F.col("block_x") == F.col("block_y")).alias("same"))
+        with arrow_rows(spark, 4):
+            return materialise(units.mapInArrow(lambda b: _meet(b, steps, percent), "a long, b long"), "links")
+
     comp = sigs.select("node", F.col("node").alias("comp"))
     placed, left = still_mixed(comp)
     for i in range(hub_rounds):
@@ -272,19 +336,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias("hub"))
         pairs = placed.join(hubs, "key").filter("comp <> hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         best = survivors(pairs).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-        links = materialise(confirmed(best), "links")
-        found = links.count()
-        if found:
-            comp = joined(comp, links)
-            discard(placed)
-            placed, left = still_mixed(comp)
-        if not found or 20 * found < left / BANDS:
+        with arrow_rows(spark, 128):
+            links = materialise(confirmed(best), "links")
+        if not links.count():
             break
+        comp = joined(comp, links)
+        discard(placed)
+        placed, left = still_mixed(comp)
     if left:
-        one = placed.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        two = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = one.join(two, "key").filter("comp_a < comp_b").select("a", "b").distinct()
-        comp = joined(comp, confirmed(survivors(pairs)))
+        comp = joined(comp, all_between(placed))
     ids = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = ids.join(smallest, "comp").select("node", "component_id")
