@@ -8,18 +8,20 @@ phrases of one trigger. Equal phrases are one entry of the dictionary, and the p
 (trigger, phrase, document, place) rows.
 
 Corpus order is needed only up to 100 bytes, and of that only which strings are equal and which is the earliest. So
-where a suffix array would sort suffixes by their bytes, the suffixes of the dictionary are sorted by a 128-bit hash
+where a suffix array would sort suffixes by their bytes, the suffixes of the dictionary are sorted by a 96-bit hash
 of their first 100 bytes, then by document and place:
 
 1. parse: every phrase is sorted by (trigger, phrase, document, place). All but the first occurrence of a phrase
    repeat earlier text as a whole.
-2. dictionary: triggers with a single phrase are done. Where one trigger has several phrases, the first occurrence of
-   each is cut into its 100-byte strings, which are sorted by (hash, document, place); all but the first repeat.
+2. dictionary: first occurrences of different phrases of one trigger may share some of their strings, but only on a
+   side of the trigger on which the next 32 bytes agree: a string reaches 34 bytes beyond its trigger on one side at
+   least. Phrases of which a side agrees are cut into the 100-byte strings that reach there, and these are sorted by
+   (hash, document, place); all but the first repeat.
 3. the places found become spans of each document.
 
 Rows are sorted inside hash partitions and read as a stream, so no group of equal phrases is ever held in memory;
 equal phrases inside one piece of input are merged before the shuffle, which takes the heat off frequent passages.
-Two unequal strings count as equal only if 128 bits of hash agree.
+Two unequal strings count as equal only if 96 bits of hash agree.
 
 Defined results: a null text is empty; texts below 100 bytes keep everything; a null id is smaller than all others;
 rows of one id count as the same document, so that equal places in them are not each other's repetition; an empty
@@ -37,20 +39,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import ODD, byte_hashes, mixed, pieces, sliding_min, window_hashes
-from weftline.session import discard, materialise, ship_by_value, shuffle_partitions
+from weftline.session import materialise, ship_by_value, shuffle_partitions
 
 ship_by_value(__name__)
 
 LENGTH, GRAM = 100, 32
+SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its trigger, or behind it
 NO_ID = -(2**63)
-_LOW = np.uint64(0xFFFFFFFF)
-PARSE = "t long, e long, doc long, at long"
-_PARSE = pa.schema([(c, pa.int64()) for c in ("t", "e", "doc", "at")])
+GROUP = 100_000  # phrases of one trigger that are compared by their sides; beyond, all of them are cut
+_LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
+PARSE = "k1 long, k2 long, doc long, at long"
+_PARSE = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "doc", "at")])
 _FOUND = pa.schema([("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("open", pa.bool_())])
 FOUND = "doc long, first long, last long, open boolean"
 
-# a row of the parse has at = place * 256 + number of strings (1 to 69); a row with at < 0 is a span that is known to
-# repeat: e is its start and -at its end
+# A row of the parse: k1 is 40 bits of the trigger and 24 of the phrase; k2 is 32 more of the phrase, then 16 of the 32
+# bytes before the trigger and 16 of those behind it (0: no string of the phrase holds them). at is the place of the first
+# string, the trigger's distance from it, and the number of strings (1 to 69). A row with at < 0 is a span that is known to
+# repeat: k2 is its start and -at its end.
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,25 +68,33 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], end[np.r_[first[1:] - 1, len(doc) - 1]]
 
 
-def _emit(t: np.ndarray, e: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of one piece: later occurrences of a phrase in it become spans here already."""
-    place = at >> 8
+    place = at >> 16
     if len(doc) > 1 and not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (place[1:] >= place[:-1]))).all():
         order = np.lexsort((place, doc))
-        t, e, doc, at, place = t[order], e[order], doc[order], at[order], place[order]
-    order = np.argsort(e, kind="stable")
-    new = np.r_[True, (e[order][1:] != e[order][:-1]) | (t[order][1:] != t[order][:-1])][: len(order)]
+        k1, k2, doc, at, place = k1[order], k2[order], doc[order], at[order], place[order]
+    order = np.argsort(k1, kind="stable")
+    one, two = k1[order], (k2 >> _32)[order]
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(order)]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     later = np.zeros(len(order), bool)
     later[order] = (doc[order] > doc[first]) | ((doc[order] == doc[first]) & (place[order] > place[first]))
     d, s, f = _spans(doc[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1))
-    spread = mixed(d.astype(np.uint64) * ODD[10]).view(np.int64)
+    spread = mixed(d.astype(np.uint64) * ODD[10] + s.astype(np.uint64)).view(np.int64)
     keep = ~later
-    columns = [np.concatenate(x) for x in ((t[keep].view(np.int64), spread), (e[keep].view(np.int64), s), (doc[keep], d), (at[keep], -f))]
+    columns = [np.concatenate(x) for x in ((k1[keep].view(np.int64), spread), (k2[keep].view(np.int64), s), (doc[keep], d), (at[keep], -f))]
     if len(columns[0]):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_PARSE)
 
 
+def _side(h32: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """16 bits, none of them 0, of the 32 bytes at the places that count."""
+    out = np.zeros(len(place), np.uint64)
+    out[there] = np.maximum(h32[place[there]] >> _48, np.uint64(1))
+    return out
+
+
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> phrases. Parts of a very long text are parsed each for itself, which only splits phrases."""
     width = LENGTH - GRAM + 1
@@ -90,7 +104,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(data) < LENGTH:
                 continue
             h32, h64, _ = byte_hashes(data)
-            w, w2 = window_hashes(h64, LENGTH)
+            w, _ = window_hashes(h64, LENGTH)
             v = (h32 & ~_LOW) | (_LOW - np.arange(len(h32), dtype=np.uint64))
             trigger = (_LOW - (sliding_min(v, width) & _LOW)).astype(np.int64)
             n = len(trigger)  # strings start at 0 .. n - 1
@@ -104,84 +118,127 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a phrase ends where the next one starts, or with its part's last string
             last = np.minimum(np.r_[first[1:], n] - 1, offsets[part[first] + 1] - LENGTH)
             run = (last - first + 1).astype(np.int64)
-            lead = (trigger[first] - first).astype(np.uint64)
-            e = mixed(w[first] * ODD[11] + w[last] * ODD[12] + run.astype(np.uint64) * ODD[13] + lead * ODD[14])
+            spot = trigger[first]
+            lead = spot - first
+            e = mixed(w[first] * ODD[11] + w[last] * ODD[12] + run.astype(np.uint64) * ODD[13] + lead.astype(np.uint64) * ODD[14])
+            before, behind = _side(h32, spot - GRAM, lead >= SIDE), _side(h32, spot + GRAM, spot - last <= SIDE)
+            k1, k2 = ((h32[spot] >> _24) << _24) | (e >> _40), (e << _32) | (before << np.uint64(16)) | behind
             p = part[first]
-            yield from _emit(h32[trigger[first]], e, ids[rows[p]], ((first - offsets[p] + base[p]) << 8) | run)
+            yield from _emit(k1, k2, ids[rows[p]], ((first - offsets[p] + base[p]) << 16) | (lead << 8) | run)
+
+
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, with their length in front."""
+    codec = pa.Codec("zstd", compression_level=3)
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    return pa.array([None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts.cast(kind).to_pylist()], pa.binary())
+
+
+def _unpacked(data: list) -> list:
+    codec = pa.Codec("zstd")
+    return [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in data]
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, runs of places) -> a row for each 100-byte string at one of those places."""
-    for batch in batches:
-        ids = np.asarray(batch.column(0), dtype=np.int64)
-        runs = batch.column(2)
-        run_offsets = np.asarray(runs.offsets)
-        flat = runs.values
-        starts, ends = np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
-        for data, offsets, rows, base in pieces(batch.column(1), overlap=LENGTH - 1):
-            if len(data) < LENGTH:
-                continue
-            _, h64, _ = byte_hashes(data)
-            w, w2 = window_hashes(h64, LENGTH)
-            n = len(w)
-            change = np.zeros(n + 1, np.int64)
-            for p, row in enumerate(rows):
-                s, f = starts[run_offsets[row] : run_offsets[row + 1]] - base[p], ends[run_offsets[row] : run_offsets[row + 1]] - base[p]
-                limit = max(0, offsets[p + 1] - offsets[p] - LENGTH + 1)
-                s, f = np.clip(s, 0, limit) + offsets[p], np.clip(f, 0, limit) + offsets[p]
-                np.add.at(change, np.minimum(s, n), 1)
-                np.add.at(change, np.minimum(f, n), -1)
-            at = np.flatnonzero(np.cumsum(change[:n]) > 0)
-            if len(at):
-                part = np.searchsorted(offsets, at, side="right") - 1
-                yield from _emit(w[at], w2[at], ids[rows[part]], ((at - offsets[part] + base[part]) << 8) | 1)
+    """(id, compressed text, runs of places) -> a row for each 100-byte string at one of those places."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            batch = whole.slice(lo, 500)
+            ids = np.asarray(batch.column(0), dtype=np.int64)
+            runs = batch.column(2)
+            run_offsets = np.asarray(runs.offsets)
+            flat = runs.values
+            starts, ends = np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
+            for data, offsets, rows, base in pieces(pa.array(_unpacked(batch.column(1).to_pylist()), pa.large_binary()), overlap=LENGTH - 1):
+                if len(data) < LENGTH:
+                    continue
+                _, h64, _ = byte_hashes(data)
+                w, w2 = window_hashes(h64, LENGTH)
+                n = len(w)
+                change = np.zeros(n + 1, np.int64)
+                for p, row in enumerate(rows):
+                    s, f = starts[run_offsets[row] : run_offsets[row + 1]] - base[p], ends[run_offsets[row] : run_offsets[row + 1]] - base[p]
+                    limit = max(0, offsets[p + 1] - offsets[p] - LENGTH + 1)
+                    s, f = np.clip(s, 0, limit) + offsets[p], np.clip(f, 0, limit) + offsets[p]
+                    np.add.at(change, np.minimum(s, n), 1)
+                    np.add.at(change, np.minimum(f, n), -1)
+                at = np.flatnonzero(np.cumsum(change[:n]) > 0)
+                if len(at):
+                    part = np.searchsorted(offsets, at, side="right") - 1
+                    yield from _emit(w[at], (w2[at] >> _32) << _32, ids[rows[part]], ((at - offsets[part] + base[part]) << 16) | 1)
+
+
+def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, at: np.ndarray, all_: bool = False) -> tuple[np.ndarray, ...]:
+    """Which strings of first occurrences may be shared with other phrases of their trigger; rows come by t."""
+    if all_:
+        before = behind = np.ones(len(t), bool)
+    else:
+        group = np.cumsum(np.r_[False, t[1:] != t[:-1]]).astype(np.int64)
+
+        def shared(side: np.ndarray) -> np.ndarray:
+            _, back, n = np.unique((group << 16) | side, return_inverse=True, return_counts=True)
+            return (n[back] > 1) & (side > 0)
+
+        before, behind = shared(sides >> 16), shared(sides & 0xFFFF)
+    use = before | behind
+    before, behind, doc, at = before[use], behind[use], doc[use], at[use]
+    place, lead, run = at >> 16, (at >> 8) & 255, at & 255
+    middle = place + lead - SIDE  # strings from here reach SIDE bytes behind the trigger, up to here SIDE bytes before it
+    first, last = np.where(before, place, np.maximum(place, middle)), np.where(behind, place + run, np.minimum(place + run, middle + 1))
+    some = first < last
+    return doc[some], first[some], last[some], np.ones(int(some.sum()), bool)
 
 
 def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (t, e, doc, at), as a stream: spans of later occurrences; first occurrences stay open where t has several e.
+    """Rows sorted by (k1, phrase, doc, at), as a stream: spans of later occurrences, and runs of first ones that stay open.
 
-    Held between batches: the first occurrence of the last phrase, and first occurrences (equal in place) of a trigger
-    that has shown a single phrase so far.
+    Held between batches: the first occurrence of the last phrase, and the first occurrences of the last trigger's
+    phrases, up to GROUP; if there are more, all of them stay open.
     """
-    last_t = last_e = first_doc = first_at = None
-    phrases, pending = 0, []
+    last = None  # k1, phrase, doc and place of the last phrase's first occurrence
+    held = [np.empty(0, np.int64)] * 4
+    large = None  # a trigger with more than GROUP phrases
+
+    def out(parts: list) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
+
     for batch in batches:
-        t, e, doc, at = (np.asarray(batch.column(i), dtype=np.int64) for i in range(4))
+        k1, k2, doc, at = (np.asarray(batch.column(i), dtype=np.int64) for i in range(4))
         known = at < 0
-        out = [(doc[known], e[known], -at[known], np.zeros(int(known.sum()), bool))]
-        t, e, doc, at = t[~known], e[~known], doc[~known], at[~known]
-        n = len(t)
+        parts = [(doc[known], k2[known], -at[known], np.zeros(int(known.sum()), bool))]
+        k1, k2, doc, at = k1[~known], k2[~known], doc[~known], at[~known]
+        n = len(k1)
         if n:
-            place = at >> 8
-            new_t = np.r_[t[0] != last_t if last_t is not None else True, t[1:] != t[:-1]]
-            new_e = new_t | np.r_[e[0] != last_e if last_e is not None else True, e[1:] != e[:-1]]
-            source = np.maximum.accumulate(np.where(new_e, np.arange(n), -1))
-            fd = np.where(source >= 0, doc[source], first_doc if first_doc is not None else 0)
-            fp = np.where(source >= 0, place[source], first_at if first_at is not None else 0)
+            place, e = at >> 16, (k2.view(np.uint64) >> _32).astype(np.int64)
+            new = np.r_[last is None or (k1[0], e[0]) != last[:2], (k1[1:] != k1[:-1]) | (e[1:] != e[:-1])]
+            source = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            fd, fp = (np.where(source >= 0, x[source], last[i] if last else 0) for i, x in ((2, doc), (3, place)))
             later = (doc > fd) | ((doc == fd) & (place > fp))
-            out.append((doc[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1), np.zeros(int(later.sum()), bool)))
+            parts.append((doc[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1), np.zeros(int(later.sum()), bool)))
+            last = (k1[-1], e[-1], fd[-1], fp[-1])
             if keep_open:
-                group = np.cumsum(new_t)  # 0: goes on from the batch before
-                count = np.bincount(group, new_e, minlength=group[-1] + 1).astype(np.int64)
-                count[0] += phrases
-                if count[0] > 1 and pending:
-                    out += pending
-                if group[-1] > 0 or count[0] > 1:
-                    pending = []
-                several = (count > 1)[group] & ~later
-                open_ = lambda x: (doc[x], place[x], place[x] + (at[x] & 255), np.ones(int(x.sum()), bool))
-                out.append(open_(several))
-                phrases = int(count[group[-1]])
-                if phrases == 1 and (tail := (group == group[-1]) & ~later).any():
-                    pending.append(open_(tail))
-            last_t, last_e, first_doc, first_at = t[-1], e[-1], fd[-1], fp[-1]
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
+                t = k1 >> 24
+                mine = [np.concatenate(x) for x in zip(held, (t[~later], (k2 & 0xFFFFFFFF)[~later], doc[~later], at[~later]), strict=True)]
+                over = (mine[0] == large) if large is not None else np.zeros(len(mine[0]), bool)
+                parts.append(_runs(*(x[over] for x in mine), all_=True))
+                mine = [x[~over] for x in mine]
+                go_on = mine[0] == t[-1]
+                parts.append(_runs(*(x[~go_on] for x in mine)))
+                held = [x[go_on] for x in mine]
+                if len(held[0]) > GROUP:
+                    large = t[-1]
+                    parts.append(_runs(*held, all_=True))
+                    held = [x[:0] for x in held]
+        yield from out(parts)
+    if keep_open:
+        yield from out([_runs(*held)])
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "t").sortWithinPartitions("t", "e", "doc", "at")
+    trigger = F.shiftright("k1", 24)
+    return rows.repartition(shuffle_partitions(rows.sparkSession), trigger).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 32), "doc", "at")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +249,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
     found = materialise(_sorted(texts.mapInArrow(parse, PARSE)).mapInArrow(lambda b: settle(b, True), FOUND), "phrases")
     runs = found.filter("open").groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    strings = texts.join(runs, "key").select("key", "text", "runs").mapInArrow(cut, PARSE)
+    small = texts.select("key", F.arrow_udf(_packed, "binary")("text").alias("data"))
+    strings = small.join(runs, "key").select("key", "data", "runs").mapInArrow(cut, PARSE)
     more = _sorted(strings).mapInArrow(lambda b: settle(b, False), FOUND)
     spans = found.filter("not open").unionByName(more)
     return spans.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -218,35 +276,34 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _digests(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _digests(data: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
-    for x, found in zip(text.cast(pa.binary() if pa.types.is_string(text.type) else pa.large_binary()).to_pylist(), spans.to_pylist(), strict=True):
-        x = x or b""
+    for x, found in zip(data.to_pylist(), spans.to_pylist(), strict=True):
+        x = _unpacked([x])[0] or b""
         cuts = _merged(found, len(x))
         rows.append({"n_bytes": len(x), "n_removed": sum(f - s for s, f in cuts), "n_spans": len(cuts), "kept_sha256": hashlib.sha256(kept_bytes(x, cuts)).hexdigest()})
     return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
 
-def _kept_text(text: pa.Array, spans: pa.Array) -> pa.Array:
+def _kept_text(data: pa.Array, spans: pa.Array) -> pa.Array:
     """What is left, without the characters of which a part was removed."""
     out = []
-    for x, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-        if x is not None and found:
-            data = x.encode()
-            x = kept_bytes(data, _merged(found, len(data))).decode("utf-8", "ignore")
-        out.append(x)
+    for x, found in zip(data.to_pylist(), spans.to_pylist(), strict=True):
+        x = _unpacked([x])[0]
+        out.append(None if x is None else kept_bytes(x, _merged(found, len(x))).decode("utf-8", "ignore"))
     return pa.array(out, pa.string())
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with spans; the text travels compressed."""
     spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"key": "__key", "spans": "__spans"})
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__data", F.arrow_udf(_packed, "binary")(F.col(text_col))).drop(text_col)
     return keyed.join(spans, "__key", "left")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    digest: Column = F.arrow_udf(_digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")(F.col(text_col), F.col("__spans"))
+    digest: Column = F.arrow_udf(_digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")(F.col("__data"), F.col("__spans"))
     slim = docs.select(id_col, text_col)
     return _with_spans(slim, id_col, text_col).select(id_col, digest.alias("__d")).select(id_col, "__d.*")
 
@@ -254,7 +311,7 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their repeated spans removed from the text; n_chars follows where there is such a column."""
     names = docs.columns
-    out = _with_spans(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_kept_text, "string")(F.col(text_col), F.col("__spans")))
+    out = _with_spans(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_kept_text, "string")(F.col("__data"), F.col("__spans")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
