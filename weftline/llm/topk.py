@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import materialise, ship_by_value
+from weftline.session import arrow_rows, materialise, ship_by_value
 
 ship_by_value(__name__)
 
@@ -135,6 +135,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = 32,
     sent = asked.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     units = numbered.join(sent, "__slot").select("ids", "x", "d", "q_ids", "q_x", "q_d")
     n_p = len(pivots)
-    found = units.mapInArrow(lambda b: search(b, dim, n_p, k), "query_id long, vec_id long, score long, evaluated long")
+    with arrow_rows(spark, 4):  # a row is two blocks
+        found = materialise(units.mapInArrow(lambda b: search(b, dim, n_p, k), "query_id long, vec_id long, score long, evaluated long"), "found")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")
