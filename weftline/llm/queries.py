@@ -231,3 +231,49 @@ SELECT doc_id, n_tokens, bucket, bucket_len, i // per AS batch, i % per AS slot,
 
 
 ORACLE["op4_packing"] = _packing_sql()
+
+ORACLE["op6_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(words) AS x, unnest(range(len(words))) AS p, len(words) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), g AS (
+  SELECT doc_id, n, p, x || coalesce(' ' || lead(x, 1) OVER o, '') || coalesce(' ' || lead(x, 2) OVER o, '') || coalesce(' ' || lead(x, 3) OVER o, '') AS x
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, x FROM g WHERE p <= greatest(0, n - 4)
+), c AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), b AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM b JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * b.n >= 80 * (x.n + y.n - b.n)
+), e AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+), m AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1
+)
+SELECT m.doc_id, coalesce(c.n, 0) AS n_shingles, component_id, component_id = m.doc_id AS kept FROM m LEFT JOIN c ON c.doc_id = m.doc_id"""
+
+ORACLE["op7_suffix_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), p AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)
+), r AS (
+  SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), j AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r
+), k AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM j
+), t AS (
+  SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY ALL
+), u AS (
+  SELECT t.doc_id, a, z, substring(h, 2 * lag(z, 1, 0) OVER o + 1, 2 * (a - lag(z, 1, 0) OVER o)) AS part FROM t JOIN d USING (doc_id) WINDOW o AS (PARTITION BY t.doc_id ORDER BY a)
+), v AS (
+  SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(part, '' ORDER BY a) AS head FROM u GROUP BY 1
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN v ON v.doc_id = d.doc_id"""
