@@ -61,6 +61,13 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def text_batches(spark: SparkSession, n: int = 1000) -> None:
+    """From now on the session sends at most so many rows at once to Python: whole texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > n or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(n))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
