@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import ship_by_value
+from weftline.session import ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -98,6 +98,7 @@ def _render(batches: Iterator[pa.RecordBatch], template) -> Iterator[pa.RecordBa
 
 def format_conversations(turns: DataFrame, template=None, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, formatted, spans (of turns), loss (spans that are learned), rewrites (turns that changed history)."""
+    text_batches(turns.sparkSession)
     template = template or TurnTemplate()
     said = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = turns.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(said)).alias("turns"))

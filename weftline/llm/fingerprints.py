@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.prefix import bucket_count, range_bounds, range_bucket
-from weftline.session import ship_by_value
+from weftline.session import ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -170,6 +170,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     first_edit is the index of the first leaf in which the edited text differs (-1: none does).
     """
+    text_batches(docs.sparkSession)
     n = bucket_count(docs)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = range_bounds(slim, "doc_id", n)

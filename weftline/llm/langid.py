@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import pieces
-from weftline.session import ship_by_value
+from weftline.session import ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -109,6 +109,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from about `sample` rows of each language in labelled, drawn by a hash of the id; None without rows."""
+    text_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not sizes:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import ODD, TABLE, mixed, pieces
-from weftline.session import arrow_rows, discard, materialise, ship_by_value
+from weftline.session import arrow_rows, discard, materialise, ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -276,6 +276,7 @@ BLOCK, BLOCK_BYTES = 256, 2_000_000  # classes and bytes of a block, about
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, node (class of equal shingle sets) and component_id (smallest id reachable) of every document."""
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(lambda b: _sign(b, words), "id long, n long, node long, sig binary"), "signed")
     classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import ODD, byte_hashes, mixed, pieces, sliding_min, window_hashes
-from weftline.session import materialise, ship_by_value, shuffle_partitions
+from weftline.session import materialise, ship_by_value, shuffle_partitions, text_batches
 
 ship_by_value(__name__)
 
@@ -246,6 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Spans may touch or overlap; ids without any are left out.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
     found = materialise(_sorted(texts.mapInArrow(parse, PARSE)).mapInArrow(lambda b: settle(b, True), FOUND), "phrases")
     runs = found.filter("open").groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
