@@ -77,13 +77,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself: docs' columns, a row for each repetition; a repetition in part has the document's first words.
 
-    Rows that share an id share its repetitions, so a repeated row is not multiplied by its twins.
+    Documents without words add nothing and are left out. Rows that share an id share its repetitions, so a repeated row
+    is not multiplied by its twins.
     """
     names = docs.columns
     plan = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.max("whole").alias("__whole"), F.max("part").alias("__part"), F.max("size").alias("__size"))
     # a part that is all of the document is a whole repetition
     plan = plan.withColumn("__whole", F.col("__whole") + F.when((F.col("__part") >= F.col("__size")) & (F.col("__size") > 0), 1).otherwise(0))
-    plan = plan.withColumn("__part", F.when(F.col("__part") < F.col("__size"), F.col("__part")).otherwise(0)).filter("__whole > 0 or __part > 0")
+    plan = plan.withColumn("__part", F.when(F.col("__part") < F.col("__size"), F.col("__part")).otherwise(0)).filter("__size > 0 and (__whole > 0 or __part > 0)")
     out = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
     out = out.withColumn("__copy", F.explode(F.expr("sequence(if(__whole > 0, 1, 0), if(__part > 0, __whole + 1, __whole))"))).filter("__copy > 0 and (__copy <= __whole or __part > 0)")
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("__part").cast("int")), "")

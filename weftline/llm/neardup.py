@@ -118,12 +118,12 @@ def class_id(shingles: np.ndarray) -> int:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
+        ids, hashes, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
         for row, s in shingle_sets(batch.column(1), words):
             id_ = ids[row]
-            out.append((id_, len(s), class_id(s) if len(s) else (id_ or 0) * 7046029254386353131 % 2**63, signature(s).tobytes() if len(s) else None))
+            out.append((id_, hashes[row], len(s), class_id(s) if len(s) else (id_ or 0) * 7046029254386353131 % 2**63, signature(s).tobytes() if len(s) else None))
             if len(out) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
@@ -274,11 +274,12 @@ BLOCK, BLOCK_BYTES = 256, 2_000_000  # classes and bytes of a block, about
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, node (class of equal shingle sets) and component_id (smallest id reachable) of every document."""
+    """id, text_hash, n_shingles, node (class of equal shingle sets) and component_id (smallest id reachable) of every row."""
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(texts.mapInArrow(lambda b: _sign(b, words), "id long, n long, node long, sig binary"), "signed")
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    signed = materialise(hashed.mapInArrow(lambda b: _sign(b, words), "id long, hash long, n long, node long, sig binary"), "signed")
     classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     rows = classes.select("node", "sig").mapInArrow(_bands, "key long, node long")
     shared = rows.groupBy("key").count().filter("count > 1").select("key")
@@ -349,15 +350,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     ids = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = ids.join(smallest, "comp").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(ids, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = signed.select("id", "hash", "n", "node").join(ids, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the first document of each component; rows that repeat the first one in id and text go too."""
     names = docs.columns
     found = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(first, docs[id_col] == first["__id"], "left_semi")
-    nameless = docs.filter(F.col(id_col).isNull()).join(F.broadcast(first.filter("__id is null").limit(1)), how="left_semi", on=F.lit(True))
-    return out.dropDuplicates([id_col, text_col]).select(*names).unionByName(nameless.dropDuplicates([text_col]).select(*names))
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
+    named = hashed.join(first, (hashed[id_col] == first["__id"]) & (hashed["__hash"] == first["__hash"]), "left_semi").dropDuplicates([id_col, "__hash"])
+    nameless = hashed.filter(F.col(id_col).isNull()).join(first.filter("__id is null"), "__hash", "left_semi").dropDuplicates(["__hash"])
+    return named.select(*names).unionByName(nameless.select(*names))
