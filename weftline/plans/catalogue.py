@@ -511,10 +511,10 @@ def optimize_transducer(spark, sf):
     return reduce.optimize(one).language(64).select(label_text("ilabels").alias("x"), label_text("olabels").alias("y"), "weight")
 
 
-@query(f"SELECT p_name AS text FROM part EXCEPT SELECT p_name FROM part WHERE p_size > 25")
+@query(f"SELECT p_name AS text FROM part EXCEPT SELECT p_name FROM part WHERE p_size = 50")
 def difference_lang(spark, sf):
     a = some_words(spark, sf, "p_name", "0")
-    b = trie(lexicon(parts(spark, sf).filter("p_size > 25"), "p_name"))
+    b = trie(lexicon(parts(spark, sf).filter("p_size = 50"), "p_name"))
     return words_of(difference(a, b.frame(spark))).select("text")
 
 

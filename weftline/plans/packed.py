@@ -17,7 +17,7 @@ ship_by_value(__name__)
 
 # fixed values: the binary layout, little-endian
 MAGIC, VERSION, NO_STATE = 0x46535421, 1, 0xFFFFFFFF
-HEADER = struct.Struct("<IHBBIIII")
+HEADER, HEADER_BYTES = "<IHBBIIII", 24
 STATE = np.dtype([("offset", "<u4"), ("n", "<u4"), ("final", "<f8")])
 ARC = np.dtype([("ilabel", "<u4"), ("olabel", "<u4"), ("weight", "<f8"), ("dst", "<u4"), ("pad", "<u4")])
 
@@ -62,20 +62,20 @@ class Packed:
         return a[0] if len(a) else None
 
     def to_bytes(self) -> bytes:
-        head = HEADER.pack(MAGIC, VERSION, self.semiring, 0, len(self.states), len(self.arcs), NO_STATE if self.start is None else self.start, 0)
+        head = struct.pack(HEADER, MAGIC, VERSION, self.semiring, 0, len(self.states), len(self.arcs), NO_STATE if self.start is None else self.start, 0)
         return head + self.states.tobytes() + self.arcs.tobytes()
 
     @staticmethod
     def from_bytes(data: bytes) -> Packed:
-        if len(data) < HEADER.size:
+        if len(data) < HEADER_BYTES:
             raise InvalidFormat("shorter than a header")
-        magic, version, semiring, _, n, m, start, _ = HEADER.unpack_from(data)
+        magic, version, semiring, _, n, m, start, _ = struct.unpack_from(HEADER, data)
         if magic != MAGIC or version != VERSION or semiring > 1:
             raise InvalidFormat("not a machine of this version")
-        if len(data) != HEADER.size + n * STATE.itemsize + m * ARC.itemsize:
+        if len(data) != HEADER_BYTES + n * STATE.itemsize + m * ARC.itemsize:
             raise InvalidFormat("size doesn't fit the header")
-        states = np.frombuffer(data, STATE, n, HEADER.size)
-        arcs = np.frombuffer(data, ARC, m, HEADER.size + n * STATE.itemsize)
+        states = np.frombuffer(data, STATE, n, HEADER_BYTES)
+        arcs = np.frombuffer(data, ARC, m, HEADER_BYTES + n * STATE.itemsize)
         if start != NO_STATE and start >= n:
             raise InvalidFormat("start is no state")
         if (states["offset"].astype(np.int64) + states["n"] > m).any() or (arcs["dst"] >= n).any():

@@ -49,8 +49,7 @@ def parse_lines(lines: DataFrame, label_shift: int = 0, semiring: str = "tropica
 
 def read_att(spark: SparkSession, path: str, glob: str | None = None, label_shift: int = 0, semiring: str = "tropical") -> tuple[Fst, DataFrame]:
     """All files under path as one batch, and the table of their names (fst_id, file); ids go by name."""
-    reader = spark.read.option("wholetext", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.input_file_name().alias("file"), "value")
     names = files.select("file").distinct().withColumn("fst_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
     lines = files.join(F.broadcast(names), "file").select("fst_id", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return parse_lines(lines, label_shift, semiring), names.select("fst_id", "file")
