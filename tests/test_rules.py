@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.convert import convert
 from weftline.functions.machine import Machine, acceptor, any_of, chain, transducer, trie
+from weftline.functions.sql import register_machine, register_rule
 from weftline.iso import isomorphic
 from weftline.model import batch, frame
 from weftline.operators import rewrite
@@ -117,6 +119,23 @@ def test_att(spark, tmp_path):
     assert sorted(x for x in os.listdir(tmp_path / "out") if x.startswith("fst_id")) == ["fst_id=0", "fst_id=1"]
 
 
+def test_convert(spark, tmp_path):
+    (tmp_path / "x_tagger.txt").write_text("0 1 97 98\n1\n")
+    out = str(tmp_path / "out")
+    assert len(convert(spark, str(tmp_path), out, "*_tagger.txt", dry_run=True)) == 1 and not os.path.exists(out)
+    convert(spark, str(tmp_path), out, "*_tagger.txt")
+    assert {(r["ilabel"], r["olabel"]) for r in binary.read_parquet(spark, out).arcs.collect()} == {(98, 99)}
+    convert(spark, str(tmp_path), out + "b", "*_tagger.txt", to="binary")
+    assert binary.decode(spark.read.parquet(out + "b")).arcs.count() == 1
+
+
+def test_sql_functions(spark):
+    register_rule(spark, "shout", Rule({"a": "A"}, ["b"], [""]))
+    register_machine(spark, "best", any_of([chain([98], [100], 2.0)]))
+    row = spark.sql("select shout('baab') x, best('a').output y, best('a').weight z, best('q').output w").first()
+    assert (row["x"], row["y"], row["z"], row["w"]) == ("bAab", "c", 2.0, None)
+
+
 @pytest.mark.parametrize("line", ["not-a-state", "0 1 bad-label", "0 1 1 bad-weight", "0 1 1 1 1 1", "0 1 1 x 0.5", "-1 2 3"])
 def test_att_errors(spark, line):
     lines = spark.createDataFrame([(0, 0, "0 1 1"), (0, 1, line)], "fst_id long, line_no int, value string")

@@ -8,6 +8,7 @@ symbol outside sigma and outside all matches leaves no path: the result is null.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -158,8 +159,12 @@ class Rule:
         native = self.lowered(text) if lower else None
         return self.kernel(text) if native is None else native
 
-    def kernel(self, text: Column, memo_size: int = 500_000) -> Column:
-        """The rule by its machine, for any rule; pieces that come again are looked up."""
+    def kernel(self, text: Column) -> Column:
+        """The rule by its machine, for any rule."""
+        return self.function()(text)
+
+    def function(self, memo_size: int = 500_000) -> Callable[[Column], Column]:
+        """The rule as a function of a string column; pieces that come again are looked up."""
         kernel = Kernel(self.machine())
         symbols = set(spell(self.sigma)) if self.sigma is not None else set(range(1, 257))
         cut = _cut_bytes(any_of([transducer(a, b) for a, b in self.tau.items()]), [any_of([acceptor(x) for x in c]) for c in (self.left, self.right)], symbols)
@@ -183,11 +188,15 @@ class Rule:
             memo.update(fresh)
             return pa.array(out, pa.string())
 
-        return F.arrow_udf(run, "string")(text)
+        return F.arrow_udf(run, "string")
 
 
 def best_output(text: Column, machine: Machine) -> Column:
     """Output and weight of the best path of text composed with a machine: a struct, with nulls where there is none."""
+    return best_output_function(machine)(text)
+
+
+def best_output_function(machine: Machine) -> Callable[[Column], Column]:
     kernel = Kernel(machine)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -199,7 +208,7 @@ def best_output(text: Column, machine: Machine) -> Column:
             out.append({"output": None if y is None else y.decode("utf-8", "replace"), "weight": None if w == INF else w})
         return pa.array(out, pa.struct([("output", pa.string()), ("weight", pa.float64())]))
 
-    return F.arrow_udf(run, "output string, weight double")(text)
+    return F.arrow_udf(run, "output string, weight double")
 
 
 def accepts(text: Column, machine: Machine) -> Column:
