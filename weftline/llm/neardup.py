@@ -273,7 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK, BLOCK_BYTES = 256, 2_000_000  # classes and bytes of a block, about
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, n_shingles, node (class of equal shingle sets) and component_id (smallest id reachable) of every row."""
     spark = docs.sparkSession
     text_batches(spark)
