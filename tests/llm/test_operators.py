@@ -143,6 +143,21 @@ def test_suffix(spark, extra):
     same(tuples(left, "doc_id", "text"), texts)
 
 
+def test_suffix_texts_of_one_id(spark):
+    """Rows that share an id, or have none, are documents of their own where their texts differ."""
+    dice = random.Random(11)
+    a, b, c, d = ("".join(dice.choice(x) for _ in range(400)) for x in ("abcdefgh", "abcdefgh", "01234567", "abcdefgh"))
+    for shared in (None, 7):
+        rows = [{"doc_id": i, "text": t, "lang": None, "source": None, "n_chars": 400} for i, t in ((shared, a), (shared, b), (shared, b[:300] + c[:100]), (shared, a), (9, d), (9, d[:200] + c[200:]))]
+        got = tuples(suffix.without_repeats(frame(spark, rows)), "doc_id", "text")
+        left = [t for i, t in got if i == shared]
+        assert left.count(a) == 2  # one document twice
+        assert sorted(t for t in left if t != a) in (sorted([b, c[:100]]), sorted([b[300:], b[:300] + c[:100]]))
+        assert sorted(t for i, t in got if i == 9) in (sorted([d, c[200:]]), sorted([d[200:], d[:200] + c[200:]]))
+        sums = suffix.span_digests(frame(spark, rows)).collect()
+        assert sum(r["n_removed"] for r in sums) == 500 and len(sums) == 6
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2

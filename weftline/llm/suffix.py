@@ -5,7 +5,7 @@ the last one if several are equal, is its trigger, which its content alone decid
 100-byte strings have the same trigger; its text reaches to the end of the last of them. So phrases cover every
 place, and equal 100-byte strings lie at the same distance from equal triggers: a string can be repeated only inside
 phrases of one trigger. Equal phrases are one entry of the dictionary, and the parse is what remains of the corpus:
-(trigger, phrase, document, place) rows.
+(trigger, phrase, document, place) rows. A document is an id and the hash of its text.
 
 Corpus order is needed only up to 100 bytes, and of that only which strings are equal and which is the earliest. So
 where a suffix array would sort suffixes by their bytes, the suffixes of the dictionary are sorted by a 96-bit hash
@@ -24,8 +24,9 @@ equal phrases inside one piece of input are merged before the shuffle, which tak
 Two unequal strings count as equal only if 96 bits of hash agree.
 
 Defined results: a null text is empty; texts below 100 bytes keep everything; a null id is smaller than all others;
-rows of one id count as the same document, so that equal places in them are not each other's repetition; an empty
-table gives no rows; other columns are ignored, or kept by without_repeats().
+rows of one id (null too) with one text count as the same document, so that equal places in them are not each other's
+repetition; rows of one id with different texts are documents of their own, told apart and ordered by a 64-bit hash of
+the text; an empty table gives no rows; other columns are ignored, or kept by without_repeats().
 """
 
 from __future__ import annotations
@@ -48,42 +49,47 @@ SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its tri
 NO_ID = -(2**63)
 GROUP = 100_000  # phrases of one trigger that are compared by their sides; beyond, all of them are cut
 _LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
-PARSE = "k1 long, k2 long, doc long, at long"
-_PARSE = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "doc", "at")])
-_FOUND = pa.schema([("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("open", pa.bool_())])
-FOUND = "doc long, first long, last long, open boolean"
+PARSE = "k1 long, k2 long, doc long, twin long, at long"
+_PARSE = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "doc", "twin", "at")])
+_FOUND = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("open", pa.bool_())])
+FOUND = "doc long, twin long, first long, last long, open boolean"
 
 # A row of the parse: k1 is 40 bits of the trigger and 24 of the phrase; k2 is 32 more of the phrase, then 16 of the 32
 # bytes before the trigger and 16 of those behind it (0: no string of the phrase holds them). at is the place of the first
-# string, the trigger's distance from it, and the number of strings (1 to 69). A row with at < 0 is a span that is known to
+# string, the trigger's distance from it, and the number of strings (1 to 69). doc is the id, twin the hash of the text. A row with at < 0 is a span that is known to
 # repeat: k2 is its start and -at its end.
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _after(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, doc2: np.ndarray, twin2: np.ndarray, place2: np.ndarray) -> np.ndarray:
+    """Which places come after the second ones in the corpus."""
+    return (doc > doc2) | ((doc == doc2) & ((twin > twin2) | ((twin == twin2) & (place > place2))))
+
+
+def _spans(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Joins spans that touch; they come by document and start, with ends that don't fall."""
     if not len(doc):
-        return doc, start, end
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])]
+        return doc, twin, start, end
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (start[1:] > end[:-1])]
     first = np.flatnonzero(new)
-    return doc[first], start[first], end[np.r_[first[1:] - 1, len(doc) - 1]]
+    return doc[first], twin[first], start[first], end[np.r_[first[1:] - 1, len(doc) - 1]]
 
 
-def _emit(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of one piece: later occurrences of a phrase in it become spans here already."""
     place = at >> 16
-    if len(doc) > 1 and not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (place[1:] >= place[:-1]))).all():
-        order = np.lexsort((place, doc))
-        k1, k2, doc, at, place = k1[order], k2[order], doc[order], at[order], place[order]
+    if len(doc) > 1 and _after(doc[:-1], twin[:-1], place[:-1], doc[1:], twin[1:], place[1:]).any():
+        order = np.lexsort((place, twin, doc))
+        k1, k2, doc, twin, at, place = k1[order], k2[order], doc[order], twin[order], at[order], place[order]
     order = np.argsort(k1, kind="stable")
     one, two = k1[order], (k2 >> _32)[order]
     new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(order)]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     later = np.zeros(len(order), bool)
-    later[order] = (doc[order] > doc[first]) | ((doc[order] == doc[first]) & (place[order] > place[first]))
-    d, s, f = _spans(doc[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1))
+    later[order] = _after(doc[order], twin[order], place[order], doc[first], twin[first], place[first])
+    d, t, s, f = _spans(doc[later], twin[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1))
     spread = mixed(d.astype(np.uint64) * ODD[10] + s.astype(np.uint64)).view(np.int64)
     keep = ~later
-    columns = [np.concatenate(x) for x in ((k1[keep].view(np.int64), spread), (k2[keep].view(np.int64), s), (doc[keep], d), (at[keep], -f))]
+    columns = [np.concatenate(x) for x in ((k1[keep].view(np.int64), spread), (k2[keep].view(np.int64), s), (doc[keep], d), (twin[keep], t), (at[keep], -f))]
     if len(columns[0]):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_PARSE)
 
@@ -96,11 +102,11 @@ def _side(h32: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> phrases. Parts of a very long text are parsed each for itself, which only splits phrases."""
+    """(id, hash, text) -> phrases. Parts of a very long text are parsed each for itself, which only splits phrases."""
     width = LENGTH - GRAM + 1
     for batch in batches:
-        ids = np.asarray(batch.column(0).fill_null(NO_ID), dtype=np.int64)
-        for data, offsets, rows, base in pieces(batch.column(1), overlap=LENGTH - 1):
+        ids, twins = np.asarray(batch.column(0).fill_null(NO_ID), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64)
+        for data, offsets, rows, base in pieces(batch.column(2), overlap=LENGTH - 1):
             if len(data) < LENGTH:
                 continue
             h32, h64, _ = byte_hashes(data)
@@ -124,7 +130,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, behind = _side(h32, spot - GRAM, lead >= SIDE), _side(h32, spot + GRAM, spot - last <= SIDE)
             k1, k2 = ((h32[spot] >> _24) << _24) | (e >> _40), (e << _32) | (before << np.uint64(16)) | behind
             p = part[first]
-            yield from _emit(k1, k2, ids[rows[p]], ((first - offsets[p] + base[p]) << 16) | (lead << 8) | run)
+            yield from _emit(k1, k2, ids[rows[p]], twins[rows[p]], ((first - offsets[p] + base[p]) << 16) | (lead << 8) | run)
 
 
 def _packed(texts: pa.Array) -> pa.Array:
@@ -140,16 +146,16 @@ def _unpacked(data: list) -> list:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, compressed text, runs of places) -> a row for each 100-byte string at one of those places."""
+    """(id, hash, compressed text, runs of places) -> a row for each 100-byte string at one of those places."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             batch = whole.slice(lo, 500)
-            ids = np.asarray(batch.column(0), dtype=np.int64)
-            runs = batch.column(2)
+            ids, twins = (np.asarray(batch.column(i), dtype=np.int64) for i in range(2))
+            runs = batch.column(3)
             run_offsets = np.asarray(runs.offsets)
             flat = runs.values
             starts, ends = np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
-            for data, offsets, rows, base in pieces(pa.array(_unpacked(batch.column(1).to_pylist()), pa.large_binary()), overlap=LENGTH - 1):
+            for data, offsets, rows, base in pieces(pa.array(_unpacked(batch.column(2).to_pylist()), pa.large_binary()), overlap=LENGTH - 1):
                 if len(data) < LENGTH:
                     continue
                 _, h64, _ = byte_hashes(data)
@@ -165,10 +171,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(np.cumsum(change[:n]) > 0)
                 if len(at):
                     part = np.searchsorted(offsets, at, side="right") - 1
-                    yield from _emit(w[at], (w2[at] >> _32) << _32, ids[rows[part]], ((at - offsets[part] + base[part]) << 16) | 1)
+                    yield from _emit(w[at], (w2[at] >> _32) << _32, ids[rows[part]], twins[rows[part]], ((at - offsets[part] + base[part]) << 16) | 1)
 
 
-def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, at: np.ndarray, all_: bool = False) -> tuple[np.ndarray, ...]:
+def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, all_: bool = False) -> tuple[np.ndarray, ...]:
     """Which strings of first occurrences may be shared with other phrases of their trigger; rows come by t."""
     if all_:
         before = behind = np.ones(len(t), bool)
@@ -181,22 +187,22 @@ def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, at: np.ndarray, all
 
         before, behind = shared(sides >> 16), shared(sides & 0xFFFF)
     use = before | behind
-    before, behind, doc, at = before[use], behind[use], doc[use], at[use]
+    before, behind, doc, twin, at = before[use], behind[use], doc[use], twin[use], at[use]
     place, lead, run = at >> 16, (at >> 8) & 255, at & 255
     middle = place + lead - SIDE  # strings from here reach SIDE bytes behind the trigger, up to here SIDE bytes before it
     first, last = np.where(before, place, np.maximum(place, middle)), np.where(behind, place + run, np.minimum(place + run, middle + 1))
     some = first < last
-    return doc[some], first[some], last[some], np.ones(int(some.sum()), bool)
+    return doc[some], twin[some], first[some], last[some], np.ones(int(some.sum()), bool)
 
 
 def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k1, phrase, doc, at), as a stream: spans of later occurrences, and runs of first ones that stay open.
+    """Rows sorted by (k1, phrase, doc, twin, at), as a stream: spans of later occurrences, and runs of first ones that stay open.
 
     Held between batches: the first occurrence of the last phrase, and the first occurrences of the last trigger's
     phrases, up to GROUP; if there are more, all of them stay open.
     """
-    last = None  # k1, phrase, doc and place of the last phrase's first occurrence
-    held = [np.empty(0, np.int64)] * 4
+    last = None  # k1, phrase, doc, twin and place of the last phrase's first occurrence
+    held = [np.empty(0, np.int64)] * 5
     large = None  # a trigger with more than GROUP phrases
 
     def out(parts: list) -> Iterator[pa.RecordBatch]:
@@ -205,22 +211,22 @@ def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
 
     for batch in batches:
-        k1, k2, doc, at = (np.asarray(batch.column(i), dtype=np.int64) for i in range(4))
+        k1, k2, doc, twin, at = (np.asarray(batch.column(i), dtype=np.int64) for i in range(5))
         known = at < 0
-        parts = [(doc[known], k2[known], -at[known], np.zeros(int(known.sum()), bool))]
-        k1, k2, doc, at = k1[~known], k2[~known], doc[~known], at[~known]
+        parts = [(doc[known], twin[known], k2[known], -at[known], np.zeros(int(known.sum()), bool))]
+        k1, k2, doc, twin, at = k1[~known], k2[~known], doc[~known], twin[~known], at[~known]
         n = len(k1)
         if n:
             place, e = at >> 16, (k2.view(np.uint64) >> _32).astype(np.int64)
             new = np.r_[last is None or (k1[0], e[0]) != last[:2], (k1[1:] != k1[:-1]) | (e[1:] != e[:-1])]
             source = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            fd, fp = (np.where(source >= 0, x[source], last[i] if last else 0) for i, x in ((2, doc), (3, place)))
-            later = (doc > fd) | ((doc == fd) & (place > fp))
-            parts.append((doc[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1), np.zeros(int(later.sum()), bool)))
-            last = (k1[-1], e[-1], fd[-1], fp[-1])
+            fd, ft, fp = (np.where(source >= 0, x[source], last[i] if last else 0) for i, x in ((2, doc), (3, twin), (4, place)))
+            later = _after(doc, twin, place, fd, ft, fp)
+            parts.append((doc[later], twin[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1), np.zeros(int(later.sum()), bool)))
+            last = (k1[-1], e[-1], fd[-1], ft[-1], fp[-1])
             if keep_open:
                 t = k1 >> 24
-                mine = [np.concatenate(x) for x in zip(held, (t[~later], (k2 & 0xFFFFFFFF)[~later], doc[~later], at[~later]), strict=True)]
+                mine = [np.concatenate(x) for x in zip(held, (t[~later], (k2 & 0xFFFFFFFF)[~later], doc[~later], twin[~later], at[~later]), strict=True)]
                 over = (mine[0] == large) if large is not None else np.zeros(len(mine[0]), bool)
                 parts.append(_runs(*(x[over] for x in mine), all_=True))
                 mine = [x[~over] for x in mine]
@@ -238,23 +244,29 @@ def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.Re
 
 def _sorted(rows: DataFrame) -> DataFrame:
     trigger = F.shiftright("k1", 24)
-    return rows.repartition(shuffle_partitions(rows.sparkSession), trigger).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 32), "doc", "at")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), trigger).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 32), "doc", "twin", "at")
+
+
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """A document's id, NO_ID for null, and the hash of its text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col))]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id, NO_ID for null) and spans: places [first, last) of the text's UTF-8 bytes that repeat earlier text.
+    """key, twin (see _key) and spans: places [first, last) of the text's UTF-8 bytes that repeat earlier text.
 
-    Spans may touch or overlap; ids without any are left out.
+    Spans may touch or overlap; documents without any are left out. Rows with the same id and text give each span once.
     """
     text_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).alias("text"))
+    key, twin = _key(id_col, text_col)
+    texts = docs.select(key.alias("key"), twin.alias("twin"), F.col(text_col).alias("text"))
     found = materialise(_sorted(texts.mapInArrow(parse, PARSE)).mapInArrow(lambda b: settle(b, True), FOUND), "phrases")
-    runs = found.filter("open").groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    small = texts.select("key", F.arrow_udf(_packed, "binary")("text").alias("data"))
-    strings = small.join(runs, "key").select("key", "data", "runs").mapInArrow(cut, PARSE)
+    runs = found.filter("open").groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    small = texts.select("key", "twin", F.arrow_udf(_packed, "binary")("text").alias("data"))
+    strings = small.join(runs, ["key", "twin"]).select("key", "twin", "data", "runs").mapInArrow(cut, PARSE)
     more = _sorted(strings).mapInArrow(lambda b: settle(b, False), FOUND)
     spans = found.filter("not open").unionByName(more)
-    return spans.groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spans.groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -297,9 +309,10 @@ def _kept_text(data: pa.Array, spans: pa.Array) -> pa.Array:
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with spans; the text travels compressed."""
-    spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"key": "__key", "spans": "__spans"})
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__data", F.arrow_udf(_packed, "binary")(F.col(text_col))).drop(text_col)
-    return keyed.join(spans, "__key", "left")
+    spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"key": "__key", "twin": "__twin", "spans": "__spans"})
+    key, twin = _key(id_col, text_col)
+    keyed = docs.withColumn("__key", key).withColumn("__twin", twin).withColumn("__data", F.arrow_udf(_packed, "binary")(F.col(text_col))).drop(text_col)
+    return keyed.join(spans, ["__key", "__twin"], "left")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
