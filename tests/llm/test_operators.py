@@ -175,6 +175,20 @@ def test_language(spark):
     assert (again.centroids == model.centroids).all()
 
 
+def test_language_of_short_texts(spark):
+    """Lengths that the sample lacks have limits too, on tables of any size."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = ["zqxj kvwq qqzz xxjq", "wjqzxkvpqhgxzqjw", "źdźbło żółć gęślą", "中文字符", "qz"]
+    df = spark.createDataFrame([(x,) for x in odd], "text string")
+    few = docs.filter("lang is not null and n_chars > 500").withColumn("n", F.expr("row_number() over (partition by lang order by doc_id)")).filter("n <= 2").drop("n")
+    for model in (langid.fit(docs), langid.fit(few)):
+        found = [r["x"] for r in df.select(langid.identify(model, F.col("text")).alias("x")).collect()]
+        short = docs.filter("lang is not null and n_chars > 500").select("lang", langid.identify(model, F.expr("substr(text, 101, 50)")).alias("x")).collect()
+        assert sum(r["x"]["rejected"] for r in short) <= 0.05 * len(short)
+        assert all(r["rejected"] for r in found), (found, model.limits)
+        assert model.limits.min() > 0
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_fingerprints(spark, extra):
     rows = corpus(8)

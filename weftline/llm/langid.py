@@ -3,7 +3,9 @@
 A text's vector counts its letter trigrams (ASCII letters in lower case, other ASCII as a gap, bytes of other letters
 as they are), hashed into DIM places, weighted by tf-idf and normalised. Each language's sample is clustered by
 spherical k-means; a text gets the language of the centroid with the largest cosine, and is rejected where that is
-too far from every centroid for a text of its length.
+too far from every centroid for a text of its length. Lengths below any of which the sample has enough texts are judged
+by as many trigrams drawn from its longer texts, other sparse ones like the next shorter length. A cosine of 0 is
+always too far.
 
 The classifier is fitted on a sample of about SAMPLE labelled rows a language (a documented parameter), drawn by a
 hash of the id with the same chance for every row; whole texts are counted, and every row is classified by its whole
@@ -30,6 +32,7 @@ from weftline.session import ship_by_value, text_batches
 ship_by_value(__name__)
 
 DIM, CLUSTERS, SAMPLE = 4096, 4, 400
+ENOUGH = 10  # sampled texts of a length, to judge texts of it by
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -78,7 +81,7 @@ class Model:
             size[rows] = counts.sum(axis=1)
         limit = self.limits[np.minimum(np.log2(np.maximum(size, 1)).astype(int), len(self.limits) - 1)]
         score = np.where(letters, np.round(score.astype(np.float64), 6), 0.0)
-        return [self.languages[i] if ok else UNKNOWN for i, ok in zip(which, letters, strict=True)], score, ~letters | (score < limit)
+        return [self.languages[i] if ok else UNKNOWN for i, ok in zip(which, letters, strict=True)], score, ~letters | (score < limit) | (score <= 0)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +134,40 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, id_
     parts = [_clusters(x[of == i], clusters) for i in range(len(languages))]
     model.centroids = np.concatenate(parts).astype(np.float32)
     model.language_of = np.repeat(np.arange(len(languages)), [len(c) for c in parts])
-    # a text is rejected below half of what one in a hundred sampled texts of its length or less falls short of
+    # a text is rejected below half of what one in a hundred sampled texts of its length falls short of
     best, size = (x @ model.centroids.T).max(axis=1), np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
-    limits, low = [], 0.0
+    model.limits = _limits(model, best, size, counts, x)
+    return model
+
+
+def _limits(model: Model, best: np.ndarray, size: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The least cosine that is accepted, by the binary logarithm of the number of trigrams."""
+    limits, low, filled = [], 0.0, False
     for s in range(33):
-        if (size == s).sum() >= 10:
-            low = float(np.quantile(best[size == s], 0.01)) / 2
+        if (size == s).sum() >= ENOUGH:
+            low, filled = float(np.quantile(best[size == s], 0.01)) / 2, True
+        elif not filled and (size > s).any():
+            low = float(np.quantile(_shortened(model, counts[size > s], x[size > s], max(1, 3 * 2**s // 2)), 0.01)) / 2
         limits.append(low)
-    model.limits = np.array(limits)
-    return model
+    return np.array(limits)
+
+
+def _shortened(model: Model, counts: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Cosines of n trigrams drawn from each text; its own part in its centroid is left out."""
+    dice = np.random.Generator(np.random.PCG64(n))
+    short = np.zeros_like(counts)
+    for row, c in zip(short, counts, strict=True):
+        at = np.flatnonzero(c)
+        row[at] = dice.multivariate_hypergeometric(c[at].astype(np.int64), n)
+    own = np.argmax(x @ model.centroids.T, axis=1)
+    v = model.vectors(short)
+    cosine = v @ model.centroids.T
+    for k in range(len(model.centroids)):
+        mine = own == k
+        rest = x[mine].sum(axis=0) - x[mine]
+        norm = np.linalg.norm(rest, axis=1)
+        cosine[mine, k] = np.where(norm > 1e-6, (v[mine] * rest).sum(axis=1) / np.maximum(norm, 1e-12), 0)
+    return cosine.max(axis=1)
 
 
 def identify(model: Model | None, text: Column) -> Column:
