@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -278,6 +279,23 @@ def test_licences(spark):
     assert got == sorted([(1, "MIT", ""), (2, "MIT", ""), (3, "MIT", ""), (4, None, ""), (5, None, ""), (6, None, ""), (7, None, "MIT-notice"), (7, "MIT", "")], key=repr)
 
 
+def test_licence_files(spark):
+    """Files as they are shipped: titles, claims, other line breaks."""
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+
+    known = licences.KNOWN
+    claim = "Copyright (c) 2020, A. N. Other\n"
+    files = [("MIT", "MIT License\n\n" + claim + "\n" + wrapped(known["MIT"], w)) for w in range(60, 81)]
+    files += [("BSD-2-Clause", "BSD 2-Clause License\n\n" + claim + "All rights reserved.\n\n" + wrapped(known["BSD-2-Clause"], w)) for w in range(60, 81)]
+    files += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + claim + wrapped(known["BSD-3-Clause"], 75))]
+    files += [("ISC", "ISC License\n\nCopyright 2020 Someone\n\n" + wrapped(known["ISC"], 70)), ("MIT", "The MIT License (MIT)\n\n" + "Copyright (c) 2020 X. All rights reserved. " + known["MIT"].replace("\n", " "))]
+    files += [(x, known[x]) for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")]
+    files += [("Apache-2.0", known["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone"))]
+    got = {r["doc_id"]: r["licence_id"] for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(files))] == [x for x, _ in files]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     for f in (sharding.shard_by_bytes, mixing.mix, packing.pack, neardup.near_duplicates, neardup.one_of_each, suffix.span_digests, suffix.without_repeats, fingerprints.fingerprint_neighbours, licences.scan):

@@ -1,11 +1,14 @@
 """Licence scan by canonical digest (DataFrame operations only).
 
-A text is brought to a canonical form - lower case, without lines that only claim copyright, punctuation and white
+A text is brought to a canonical form - lower case, without lines that only claim copyright or name
+the MIT, ISC or a BSD licence as a title, punctuation and white
 space as single spaces, equivalent spellings made one - and the digest of the whole form is joined to the digests of
 known licence texts, which get the same form. The same is done with single lines that speak of a licence, to find
 notices inside other texts.
 
-Known texts are a fixed list, so their table is broadcast.
+Known texts are a fixed list, in KNOWN and the files of licence_texts, so their table is broadcast. A claim of copyright is
+(c), a year or "by" after the word, or a line that ends like a holder's name; a claim without "all rights reserved" on one
+line with the licence itself has no end that shows, so that line stays as it is.
 
 Defined results: a null or empty text has an empty canonical form and no licence; repeated rows are looked up each for
 itself; an empty table gives no rows; other columns are ignored.
@@ -13,6 +16,8 @@ itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +43,15 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS"
+KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", _THIRD, 1)
+KNOWN |= {x.stem: x.read_text(encoding="utf-8") for x in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 # fixed values: spellings that mean the same, after punctuation has become spaces
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"))
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+_CLAIM = r"copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|yyyy|by )[^\n]{0,150}?(all rights reserved|$)|(©|\(c\))[^\n]{0,40}$"
+_HOLDER = r"copyright [^\n]{0,80}(authors|inc|ltd|llc|all rights reserved)[^\p{L}\p{N}\n]*$|all rights reserved[^\p{L}\p{N}\n]*$"
+_TITLE = r"(the )?(mit|isc|((simplified|new|revised|modified) )?bsd|bsd[ -][23][ -]clause)( [^\p{L}\p{N}\n]?(simplified|new|revised|modified)[^\p{L}\p{N}\n]?)? licen[cs]e( \([^)\n]{0,40}\))?[^\p{L}\p{N}\n]*$"
+COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*({_CLAIM}|{_HOLDER}|{_TITLE})"
 
 
 def canonical(text: Column) -> Column:
