@@ -1,5 +1,6 @@
 """Operators on small machines: structure, languages and errors."""
 
+import collections
 import math
 import random
 
@@ -10,10 +11,11 @@ from weftline.functions import charclass, strings
 from weftline.functions.machine import Machine, acceptor, any_of, chain, edit_transducer, spell, transducer, trie
 from weftline.iso import isomorphic
 from weftline.model import InvalidMachine, batch, empty, frame, label_text
-from weftline.operators import paths, rational, reduce
+from weftline.operators import lazy, paths, rational, reduce
 from weftline.operators.compose import compose
 from weftline.operators.difference import InvalidDifference, difference
 from weftline.operators.replace import CyclicDependency, replace
+from weftline.plans import prefix
 from weftline.semiring import Log, Tropical, is_zero
 
 
@@ -284,3 +286,93 @@ def test_edit_distance_by_composition(spark):
     many = batch([acceptor(w).frame(spark, i) for i, w in enumerate(["kitten", "cat"])])
     got = {r["fst_id"]: r["weight"] for r in paths.total_weight(compose(many, rule, shared=True)).collect()}
     assert got == {0: 3.0, 1: 1.0}
+
+
+def test_language_leaves_no_path_out(spark):
+    long = "x" * 70
+    f = batch([acceptor(long).frame(spark, 0), acceptor("y").frame(spark, 1)])
+    assert {r["i"] for r in f.language().select(label_text("ilabels").alias("i")).collect()} == {long, "y"}
+    assert f.language(10).count() == 1  # as asked for
+    with pytest.raises(InvalidMachine, match="cycle"):
+        rational.closure(acceptor("a").frame(spark), "star").language()
+
+
+def test_print_strings_follows_arcs(spark):
+    made = {
+        0: ([(0, 98, 98, 0.0, 2), (2, 99, 99, 0.0, 1)], {1: 0.0}, 0, "ab"),
+        1: ([(0, 98, 98, 0.0, 1)], {1: 0.0, 2: 0.0}, 0, "a"),  # a final state off the way
+        2: ([(0, 98, 98, 0.0, 1), (0, 99, 99, 0.0, 1)], {1: 0.0}, 0, None),  # a branch
+        3: ([(0, 98, 98, 0.0, 1), (1, 99, 99, 0.0, 0)], {1: 0.0}, 0, None),  # a cycle
+        4: ([], {0: 0.0}, 0, ""),
+        5: ([], {0: 0.0}, None, None),
+        6: ([(0, 98, 98, 0.0, 1), (1, 0, 0, 0.0, 2)], {0: 0.0, 2: 0.0}, 0, "a"),  # a final state on the way, an epsilon
+        7: ([(0, 98, 98, 0.0, 1)], {}, 0, None),
+        8: ([(0, 300, 300, 0.0, 1)], {1: 0.0}, 0, None),  # no byte
+        9: ([(0, 256, 256, 0.0, 1)], {1: 0.0}, 0, None),  # no text
+    }
+    f = batch([frame(spark, k, start, finals, arcs, 3) for k, (arcs, finals, start, _) in made.items()])
+    for fst in (f, f.cut()):
+        assert {r["fst_id"]: r["text"] for r in strings.print_strings(fst).collect()} == {k: x[3] for k, x in made.items()}
+
+
+def test_compile_strings_counts_without_arcs(spark):
+    df = spark.createDataFrame([(1, "aé\n\x00z"), (2, ""), (3, None)], "id long, s string")
+    f = strings.compile_strings(df, "id", "s")
+    want = {1: (7, 6, 1), 2: (1, 0, 1)}
+    for x in (f, f.with_(arcs=f.arcs)):
+        assert {r["fst_id"]: (r["num_states"], r["num_arcs"], r["num_finals"]) for r in x.sizes().collect()} == want
+    assert {r["fst_id"]: r["text"] for r in strings.print_strings(f).collect()} == {1: "aé\n\x00z", 2: ""}
+
+
+def test_trie_of_a_column(spark):
+    rows = [("ab", 3.0), ("ab", 1.0), ("a", 2.0), ("b", 5.0), ("", 7.0), (None, 0.0)]
+    f = strings.trie(spark.createDataFrame(rows, "s string, w double"), "s", "w")
+    assert isomorphic(Machine.of(f), trie(["ab", "ab", "a", "b", ""], [3.0, 1.0, 2.0, 5.0, 7.0]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lazy_composition(spark, seed):
+    """Searched in workers, built in workers and round by round: the same best weights; chains have their arcs' weights."""
+    dice = random.Random(seed)
+
+    def some(k, n):
+        arcs = [(dice.randrange(n), dice.choice([0, 1, 2]), dice.choice([0, 1, 2]), float(dice.randint(0, 9)), dice.randrange(n)) for _ in range(3 * n)]
+        return frame(spark, k, 0, {s: float(dice.randint(0, 3)) for s in range(n) if dice.random() < 0.4}, arcs, n)
+
+    a, b = batch([some(k, 4) for k in range(5)]).cut(), some(0, 3).cut()
+    eager = {r["fst_id"]: r["weight"] for r in paths.total_weight(compose(a, b, shared=True)).collect()}
+    built = {r["fst_id"]: r["weight"] for r in paths.total_weight(lazy.compose_shared(a, b)).collect()}
+    best = lazy.compose_shortest_path(a, b)
+    assert built == eager == {r["fst_id"]: r["weight"] for r in lazy.chain_weights(best).collect() if r["fst_id"] in eager}
+    assert {r["fst_id"] for r in best.meta.filter("start is not null").collect()} == set(eager)
+    for r in best.sizes().filter("num_states > 0").collect():
+        assert r["num_arcs"] == r["num_states"] - 1 and r["num_finals"] == 1
+    assert lazy.compose_shortest_path(a, b, 0).sizes().agg(F.sum("num_states")).first()[0] == 0
+
+
+def test_products_of_products_keep_their_ids_in_range(spark):
+    """Ids that leave no room for a product's are numbered anew."""
+    far = 2**40
+    f = frame(spark, 0, 0, {1: 0.0}, [(0, 1, 1, 1.0, 1)], 2)
+    up = f.with_(meta=f.meta.withColumn("start", F.col("start") + far), states=f.states.withColumn("state", F.col("state") + far), arcs=f.arcs.withColumn("src", F.col("src") + far).withColumn("dst", F.col("dst") + far)).cut()
+    assert paths.total_weight(compose(compose(up, up), up)).first()["weight"] == 3.0
+
+
+def test_renumber_of_far_ids(spark):
+    ids = [-(2**62), -5, 0, 1, 2, 2**62, 2**62 + 1]
+    f = frame(spark, 0, 0, {}, [], 1)
+    f = f.with_(states=spark.createDataFrame([(0, x, None) for x in ids], "fst_id long, state long, final_weight double"), meta=spark.createDataFrame([(0, 2)], "fst_id long, start long"))
+    assert sorted(r["state"] for r in f.renumber().states.collect()) == list(range(7)) and f.renumber().meta.first()["start"] == 4
+
+
+def test_ranges(spark):
+    dice = random.Random(4)
+    rows = [(None, dice.randrange(4096)) for _ in range(50)] + [(7, dice.randrange(4096)) for _ in range(300)] + [(dice.randrange(1000), 0) for _ in range(400)] + [(2**62, 0), (-(2**62), 0)]
+    df = spark.createDataFrame(rows, "k long, t int")
+    r = prefix.ranges(df, "k", 16)
+    got = df.select("k", "t", r.bucket(F.col("k"), F.col("t")).alias("b")).collect()
+    order = sorted(got, key=lambda x: (x["k"] is not None, x["k"] or 0, x["t"]))
+    assert [x["b"] for x in order] == sorted(x["b"] for x in order)
+    assert len({x["b"] for x in got if x["k"] == 7}) > 200 and len({x["b"] for x in got if x["k"] is None}) > 40
+    assert max(collections.Counter(x["b"] for x in got).values()) <= 120
+    assert not prefix.ranges(df.limit(0), "k", 16).starts

@@ -1,13 +1,17 @@
 """Rewriting, packed machines, files, symbols and streams."""
 
 import os
+import random
+import struct
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.convert import convert
 from weftline.functions.machine import Machine, acceptor, any_of, chain, transducer, trie
-from weftline.functions.sql import register_machine, register_rule
+from weftline.functions.sql import register_machine, register_paths, register_rule, register_semiring_sum
 from weftline.iso import isomorphic
 from weftline.model import batch, frame
 from weftline.operators import rewrite
@@ -125,8 +129,10 @@ def test_convert(spark, tmp_path):
     assert len(convert(spark, str(tmp_path), out, "*_tagger.txt", dry_run=True)) == 1 and not os.path.exists(out)
     convert(spark, str(tmp_path), out, "*_tagger.txt")
     assert {(r["ilabel"], r["olabel"]) for r in binary.read_parquet(spark, out).arcs.collect()} == {(98, 99)}
-    convert(spark, str(tmp_path), out + "b", "*_tagger.txt", to="binary")
-    assert binary.decode(spark.read.parquet(out + "b")).arcs.count() == 1
+    (tmp_path / "y_verbalizer.txt").write_text("0 1 97\n1\n")
+    convert(spark, str(tmp_path), out + "b", ["*_tagger.txt", "*_verbalizer.txt"], to="binary", suffix=".bin")
+    assert sorted(os.listdir(out + "b")) == ["x_tagger.bin", "y_verbalizer.bin"]
+    assert binary.read_binary(spark, out + "b", "*.bin")[0].arcs.count() == 2
 
 
 def test_sql_functions(spark):
@@ -180,3 +186,93 @@ def test_streams(spark, tmp_path):
 def test_isomorphism():
     a, b = trie(["ab", "c"]), any_of([acceptor("ab"), acceptor("c")])
     assert isomorphic(a, trie(["c", "ab"])) and not isomorphic(a, b) and not isomorphic(a, trie(["ab", "d"]))
+
+
+def test_lowered_rules_equal_their_machines(spark):
+    """Random small rules on random texts: native replacement and machine agree."""
+    dice = random.Random(3)
+    words = spark.createDataFrame([("".join(dice.choice("abc") for _ in range(dice.randint(0, 9))),) for _ in range(150)], "w string").coalesce(1).cache()
+    rules = [Rule({"b": "", "ac": "z"}), Rule({"b": "", "c": ""}), Rule({"a": "", "b": "x"}), Rule({"yz": "1", "z": "2"}, ["x", "xy"])]
+    while len(rules) < 40:
+        tau = {"".join(dice.choice("abc") for _ in range(dice.randint(1, 2))): "".join(dice.choice("abcxy") for _ in range(dice.randint(0, 2))) for _ in range(dice.randint(1, 3))}
+        rules.append(Rule(tau, dice.choice([[""], ["a"], ["", "c"]]), dice.choice([[""], ["b"]]), sigma=dice.choice([None, b"abc", b"ab"])))
+    lowered = [r for r in rules if r.lowered(F.col("w")) is not None]
+    assert len(lowered) >= 8 and rules[0] in lowered and rules[3] not in lowered
+    pick = [x for i, r in enumerate(lowered) for x in (r.lowered(F.col("w")).alias(f"a{i}"), r.kernel(F.col("w")).alias(f"b{i}"))]
+    for row in words.select("w", *pick).collect():
+        for i, r in enumerate(lowered):
+            assert row[f"a{i}"] == row[f"b{i}"], (r, row["w"])
+
+
+def test_outputs_that_are_no_text(spark):
+    m = any_of([chain([98], [256])])
+    row = spark.createDataFrame([("a",)], "w string").select(rewrite.best_output(F.col("w"), m).alias("x")).first()
+    assert row["x"]["output"] is None and row["x"]["weight"] == 0
+
+
+def vector_file(finals, arcs, start, kind=b"vector", arc=b"standard", symbols=()):
+    text = lambda x: struct.pack("<i", len(x)) + x
+    out = struct.pack("<i", 2125659606) + text(kind) + text(arc) + struct.pack("<iiQqqq", 2, 1 if symbols else 0, 0, start, len(finals), sum(map(len, arcs)))
+    if symbols:
+        out += struct.pack("<i", 2125658996) + text(b"names") + struct.pack("<qq", 9, len(symbols)) + b"".join(text(s) + struct.pack("<q", i) for i, s in enumerate(symbols))
+    for w, a in zip(finals, arcs, strict=True):
+        out += struct.pack("<fq", w, len(a)) + b"".join(struct.pack("<iifi", *x) for x in a)
+    return out
+
+
+def test_vector_files(spark, tmp_path):
+    inf = float("inf")
+    data = vector_file([inf, 0.5], [[(97, 98, 1.5, 1), (0, 99, 0.0, 0)], []], 0, symbols=[b"<eps>", b"a"])
+    (tmp_path / "a.fst").write_bytes(data)
+    f, names = binary.read_vector(spark, str(tmp_path), "*.fst")
+    assert {tuple(r)[1:] for r in f.arcs.collect()} == {(0, 98, 99, 1.5, 1), (0, 0, 100, 0.0, 0)} and names.count() == 1
+    assert {r["state"]: r["final_weight"] for r in f.states.collect()} == {0: None, 1: 0.5} and f.meta.first()["start"] == 0
+    for bad in (data[:-3], b"1234" + data[4:], vector_file([0.0], [[]], 0, b"const"), vector_file([0.0], [[(1, 1, 0.0, 7)]], 0)):
+        with pytest.raises(InvalidFormat):
+            binary.parse_vector(bad)
+
+
+def test_write_binary(spark, tmp_path):
+    two = batch([trie(["ab", "c"]).frame(spark, 0), trie(["x"]).frame(spark, 1)])
+    told = binary.write_binary(two, str(tmp_path / "out"), suffix=".bin").collect()
+    assert sorted(os.listdir(tmp_path / "out")) == ["0.bin", "1.bin"] and sum(r["bytes"] for r in told) == sum(os.path.getsize(tmp_path / "out" / x) for x in ("0.bin", "1.bin"))
+    assert isomorphic(Packed.from_bytes((tmp_path / "out" / "1.bin").read_bytes()).machine(), trie(["x"]))
+
+
+def test_sql_paths_and_sums(spark):
+    register_paths(spark)
+    register_semiring_sum(spark)
+    loop = Machine()
+    loop.set_start(loop.add_state())
+    loop.set_final(0, 0.5)
+    loop.add_arc(0, 98, 99, 1.0, 0)
+    spark.createDataFrame([(1, Packed.of(trie(["ab", "c"], [1.0, 2.0])).to_bytes()), (2, Packed.of(loop).to_bytes()), (3, None)], "id int, data binary").createOrReplaceTempView("machines")
+    spark.sql("select * from machines where id <> 2").cache().createOrReplaceTempView("finite")
+    got = {(bytes(r["istring"]), bytes(r["ostring"]), r["weight"]) for r in spark.sql("select p.* from finite m, lateral fst_paths(m.data, null) p").collect()}
+    assert got == {(b"ab", b"ab", 1.0), (b"c", b"c", 2.0)}
+    got = {(bytes(r["istring"]), bytes(r["ostring"]), r["weight"]) for r in spark.sql("select p.* from (select * from machines where id = 2) m, lateral fst_paths(m.data, 2) p").collect()}
+    assert got == {(b"", b"", 0.5), (b"a", b"b", 1.5), (b"aa", b"bb", 2.5)}
+    with pytest.raises(Exception, match="cycle"):
+        spark.sql("select p.* from (select * from machines where id = 2) m, lateral fst_paths(m.data, null) p").collect()
+    row = spark.sql("select semiring_sum(w, 'log') l, semiring_sum(w, 'tropical') t from values (1.0D), (2.0D), (cast(null as double)) t(w)").first()
+    assert abs(row["l"] - 0.686738) < 1e-6 and row["t"] == 1.0
+
+
+def test_workers_without_the_package(tmp_path):
+    """The package reaches workers by value: they have no path to it."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from weftline.functions.machine import trie
+from weftline.operators.rewrite import Rule
+from weftline.sources import binary
+assert binary.decode(binary.encode(trie(["ab"]).frame(spark))).arcs.count() == 2
+assert spark.range(1).select(Rule({{"a": "b"}}).kernel(F.lit("cat")).alias("x")).first()["x"] == "cbt"
+print("fine")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "fine" in done.stdout, done.stderr[-2000:]

@@ -2,57 +2,96 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.model import Fst, label_text
+from weftline.model import Fst
+from weftline.session import hold, ship_by_value
+
+ship_by_value(__name__)
 
 
 def byte_labels(text: Column) -> Column:
     """Labels (byte + 1) of a string or binary column, as an array."""
-    data = text.cast("binary")
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long") + 1)
+    # as Latin-1, every byte is one character
+    return F.transform(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), ""), lambda x: F.ascii(x).cast("long") + 1)
 
 
 def _linear(labels: DataFrame) -> Fst:
-    """(fst_id, labels: array of (ilabel, olabel)) -> one chain each."""
-    n = F.size("labels").cast("long")
+    """(fst_id, labels: array of (ilabel, olabel), n: their number) -> one chain each."""
+    n = F.col("n").cast("long")
     meta = labels.select("fst_id", F.lit(0).cast("long").alias("start"))
     states = labels.select("fst_id", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("state"), n.alias("n"))
     states = states.select("fst_id", "state", F.when(F.col("state") == F.col("n"), F.lit(0.0)).alias("final_weight"))
     arcs = labels.select("fst_id", F.posexplode("labels").alias("p", "l"))
     arcs = arcs.select("fst_id", F.col("p").cast("long").alias("src"), "l.ilabel", "l.olabel", F.lit(0.0).alias("weight"), (F.col("p") + 1).cast("long").alias("dst"))
-    return Fst(meta, states, arcs)
+    return Fst(meta, states, arcs, chains=labels.select("fst_id", n.alias("n")))
 
 
 def compile_strings(df: DataFrame, id_col: str, text_col: str) -> Fst:
     """A linear acceptor for each row; null texts have no machine."""
-    x = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("fst_id"), byte_labels(F.col(text_col)).alias("b"))
-    return _linear(x.select("fst_id", F.transform("b", lambda v: F.struct(v.alias("ilabel"), v.alias("olabel"))).alias("labels")))
+    some = F.octet_length(text_col) > 0
+    x = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("fst_id"), F.when(some, byte_labels(F.col(text_col))).otherwise(F.array().cast("array<bigint>")).alias("b"), F.octet_length(text_col).alias("n"))
+    return _linear(x.select("fst_id", F.transform("b", lambda v: F.struct(v.alias("ilabel"), v.alias("olabel"))).alias("labels"), "n"))
 
 
 def compile_pairs(df: DataFrame, id_col: str, one: str, other: str) -> Fst:
-    """A linear transducer for each row; the shorter string is filled up with epsilons."""
-    x = df.select(F.col(id_col).cast("long").alias("fst_id"), byte_labels(F.col(one)).alias("a"), byte_labels(F.col(other)).alias("b"))
+    """A linear transducer for each row; the shorter string is filled up with epsilons. Rows with a null have no machine."""
+    labels = lambda c: F.when(F.octet_length(c) > 0, byte_labels(F.col(c))).otherwise(F.array().cast("array<bigint>"))
+    n = F.greatest(F.octet_length(one), F.octet_length(other))
+    x = df.filter(F.col(one).isNotNull() & F.col(other).isNotNull()).select(F.col(id_col).cast("long").alias("fst_id"), labels(one).alias("a"), labels(other).alias("b"), n.alias("n"))
     zero = F.lit(0).cast("long")
-    return _linear(x.select("fst_id", F.zip_with("a", "b", lambda v, w: F.struct(F.coalesce(v, zero).alias("ilabel"), F.coalesce(w, zero).alias("olabel"))).alias("labels")))
+    return _linear(x.select("fst_id", F.zip_with("a", "b", lambda v, w: F.struct(F.coalesce(v, zero).alias("ilabel"), F.coalesce(w, zero).alias("olabel"))).alias("labels"), "n"))
+
+
+def _walk(shift: int):
+    def run(starts: pa.Array, arcs: pa.Array, finals: pa.Array) -> pa.Array:
+        """Follows each machine's arcs from its start to a final state without arcs."""
+        out: list[str | None] = []
+        for start, row, ends in zip(starts.to_pylist(), arcs, finals.to_pylist(), strict=True):
+            src, label, dst = (np.asarray(row.values.field(i), np.int64) if row.is_valid else np.empty(0, np.int64) for i in range(3))
+            text = None
+            if start is not None:
+                n, ends = len(src), set(ends or ())
+                if n and src[0] == start and (dst[:-1] == src[1:]).all() and (np.diff(src) > 0).all() and int(dst[-1]) in ends and not (src == dst[-1]).any():
+                    text = label  # the arcs are in the chain's order
+                else:
+                    to: dict[int, tuple[int, int] | None] = {}
+                    for s, l, d in zip(src.tolist(), label.tolist(), dst.tolist(), strict=True):
+                        to[s] = None if s in to else (l, d)  # None: a branch
+                    at, tape, left = start, [], len(to) + 1
+                    while left and to.get(at):
+                        l, at = to[at]
+                        tape.append(l)
+                        left -= 1
+                    text = np.array(tape, np.int64) if left and at not in to and at in ends else None
+            if text is not None:
+                text = text[text != 0] - shift
+                if len(text) and (text.min() < 0 or text.max() > 255):
+                    text = None
+            try:
+                out.append(None if text is None else text.astype(np.uint8).tobytes().decode())
+            except UnicodeDecodeError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def print_strings(fst: Fst, side: str = "output", shift: int = 1) -> DataFrame:
-    """fst_id, text of each machine's tape; null unless the machine is one chain that ends in a state without arcs.
+    """fst_id, text of each machine's tape, read along its arcs from the start whatever the states' numbers.
 
-    A chain of n arcs has n + 1 states that its start reaches in order; its arcs are put in that order by state, so
-    the ids have to ascend along the chain, which compile, shortest_path and connect see to.
+    Null unless every state on the way has one arc until a final state that has none, and where the bytes are no
+    UTF-8. States off the way, final or not, don't matter. A machine's arcs have to fit in a row, as its text does.
     """
     label = "olabel" if side == "output" else "ilabel"
-    a = fst.arcs.groupBy("fst_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("srcs"), F.min("src").alias("lo"), F.bool_and(F.col("dst") == F.col("src") + 1).alias("ahead"), F.array_sort(F.collect_list(F.struct("src", F.col(label).alias("l")))).alias("ls"))
-    f = fst.states.filter("final_weight is not null").groupBy("fst_id").agg(F.count(F.lit(1)).alias("finals"), F.min("state").alias("end"))
+    a = fst.arcs.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", F.col(label).alias("l"), "dst"))).alias("arcs"))
+    f = fst.states.filter("final_weight is not null").join(fst.arcs.select("fst_id", F.col("src").alias("state")), ["fst_id", "state"], "left_anti")
+    f = f.groupBy("fst_id").agg(F.collect_list("state").alias("ends"))
     x = fst.meta.join(a, "fst_id", "left").join(f, "fst_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    linear = F.col("start").isNotNull() & (F.col("finals") == 1) & (F.col("end") == F.col("start") + n) & ((n == 0) | ((F.col("srcs") == n) & F.col("ahead") & (F.col("lo") == F.col("start"))))
-    x = x.withColumn("labels", F.filter(F.transform(F.coalesce("ls", F.array().cast("array<struct<src:long,l:long>>")), lambda v: v["l"]), lambda v: v != 0))
-    return x.select("fst_id", F.when(linear, label_text("labels", shift)).alias("text"))
+    return x.select("fst_id", _walk(shift)(F.col("start"), F.col("arcs"), F.col("ends")).alias("text"))
 
 
 def any_of_strings(df: DataFrame, id_col: str, text_col: str, weight_col: str | None = None, fst_id: int = 0) -> Fst:
@@ -73,3 +112,25 @@ def any_of_strings(df: DataFrame, id_col: str, text_col: str, weight_col: str |
     enter = fst.meta.select(zero.alias("src"), zero.alias("ilabel"), zero.alias("olabel"), F.lit(0.0).alias("weight"), at("start")).withColumnRenamed("start", "dst")
     arcs = fst.arcs.select(at("src"), "ilabel", "olabel", "weight", at("dst")).unionByName(enter).select(one, "src", "ilabel", "olabel", "weight", "dst")
     return Fst(spark.range(1).select(one, zero.alias("start")), out_states, arcs)
+
+
+def trie(df: DataFrame, text_col: str, weight_col: str | None = None, fst_id: int = 0) -> Fst:
+    """A deterministic acceptor of a column's strings, of any number: a state for each prefix, made by one explode.
+
+    Of a string that comes twice the smaller weight stays. Prefixes are told apart by a 64-bit hash with their length
+    and then numbered; n prefixes share one by chance with probability n^2 / 2^64.
+    """
+    w = F.lit(0.0) if weight_col is None else F.col(weight_col).cast("double")
+    words = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("binary").alias("b"), w.alias("w"))
+    hashed = lambda n: F.xxhash64(F.substr("b", F.lit(1), n), n)
+    n = F.octet_length("b")
+    steps = words.select("b", F.explode(F.sequence(F.lit(0), n)).alias("n")).filter(F.col("n") < F.octet_length("b"))
+    label = F.conv(F.hex(F.substr("b", F.col("n") + 1, F.lit(1))), 16, 10).cast("long") + 1
+    arcs = steps.select(hashed(F.col("n")).alias("src"), label.alias("l"), hashed(F.col("n") + 1).alias("dst")).distinct()
+    root = F.xxhash64(F.lit(b""), F.lit(0))
+    ends = words.groupBy(hashed(n).alias("state")).agg(F.min("w").alias("final_weight"))
+    spark = df.sparkSession
+    one = F.lit(fst_id).cast("long").alias("fst_id")
+    arcs = hold(arcs.select(one, "src", F.col("l").alias("ilabel"), F.col("l").alias("olabel"), F.lit(0.0).alias("weight"), "dst"), "trie")
+    states = spark.range(1).select(root.alias("state")).unionByName(arcs.select(F.col("dst").alias("state"))).join(ends, "state", "left")
+    return Fst(spark.range(1).select(one, root.alias("start")), states.select(one, "state", "final_weight"), arcs).renumber().cut("trie")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.prefix import numbered
 from weftline.semiring import INF, SEMIRINGS, Tropical, is_zero
 from weftline.session import hold, row_count
 
@@ -20,6 +21,7 @@ META = "fst_id long, start long"
 STATES = "fst_id long, state long, final_weight double"
 ARCS = "fst_id long, src long, ilabel long, olabel long, weight double, dst long"
 EPSILON = 0
+CELLS = 4096
 MAX_LABEL = 2**32 - 1
 
 
@@ -34,12 +36,15 @@ class Fst:
     arcs: DataFrame
     semiring: type[Tropical] = Tropical
     encoding: str = "byte_plus_one"
+    chains: DataFrame | None = None  # of a batch of chains: fst_id and the number of arcs, so that counting needs no arcs
 
     @property
     def spark(self) -> SparkSession:
         return self.meta.sparkSession
 
     def with_(self, **changes) -> Fst:
+        if {"meta", "states", "arcs"} & set(changes):
+            changes.setdefault("chains", None)
         return replace(self, **changes)
 
     def cut(self, tag: str = "fst") -> Fst:
@@ -50,6 +55,8 @@ class Fst:
 
     def sizes(self) -> DataFrame:
         """fst_id, num_states, num_arcs, num_finals."""
+        if self.chains is not None:
+            return self.chains.select("fst_id", (F.col("n") + 1).alias("num_states"), F.col("n").alias("num_arcs"), F.lit(1).cast("long").alias("num_finals"))
         s = self.states.groupBy("fst_id").agg(F.count(F.lit(1)).alias("num_states"), F.count("final_weight").alias("num_finals"))
         a = self.arcs.groupBy("fst_id").agg(F.count(F.lit(1)).alias("num_arcs"))
         out = self.meta.select("fst_id").join(s, "fst_id", "left").join(a, "fst_id", "left")
@@ -99,9 +106,17 @@ class Fst:
         return self.with_(meta=meta, states=states, arcs=arcs)
 
     def renumber(self) -> Fst:
-        """States as 0, 1, ... in ascending order of their ids."""
-        order = Window.partitionBy("fst_id").orderBy("state")
-        return self.remap(self.states.select("fst_id", "state", (F.row_number().over(order) - 1).cast("long").alias("to")))
+        """States as 0, 1, ... in ascending order of their ids.
+
+        A machine's states are numbered in up to CELLS parts of equal width, so that no machine is one window.
+        """
+        states = self.states.select("fst_id", "state")
+        span = states.groupBy("fst_id").agg(F.min("state").alias("lo"), F.max("state").alias("hi"))
+        # halves first: the distance of two ids may be more than a long holds
+        half = lambda c: F.shiftright(c, 1)
+        cell = F.floor((half("state") - half("lo")) / (F.floor((half("hi") - half("lo")) / F.lit(CELLS)) + 1)).cast("long")
+        placed = states.join(span, "fst_id").select("fst_id", "state", cell.alias("cell"))
+        return self.remap(numbered(placed, ["fst_id"], "cell", [F.col("state")], "to").select("fst_id", "state", "to"))
 
     # checks
 
@@ -129,19 +144,29 @@ class Fst:
 
     # the language
 
-    def language(self, max_arcs: int = 64) -> DataFrame:
-        """fst_id, ilabels, olabels, weight, paths: what paths of at most max_arcs arcs relate, epsilons left out."""
+    def language(self, max_arcs: int | None = None) -> DataFrame:
+        """fst_id, ilabels, olabels, weight, paths: what the paths relate, epsilons left out.
+
+        Without max_arcs all paths are followed to their end, and a machine with a cycle that its start reaches is an
+        error, as its paths have no end. With max_arcs, longer paths are left out, as the caller asked for.
+        """
         finals = self.states.filter(F.col("final_weight").isNotNull() & ~is_zero(F.col("final_weight"))).select("fst_id", "state", "final_weight")
         none = F.array().cast("array<long>")
         now = self.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), none.alias("ilabels"), none.alias("olabels"), F.lit(0.0).alias("w"), F.lit(1).cast("long").alias("paths"))
         arcs = self.arcs.filter(~is_zero(F.col("weight")))
         add = lambda old, new: F.when(F.col(new) == 0, F.col(old)).otherwise(F.concat(old, F.array(new)))
-        every = [now]
-        for _ in range(max_arcs):
+        every, rounds, most = [now], 0, None
+        while max_arcs is None or rounds < max_arcs:
             now = now.join(arcs, (now["fst_id"] == arcs["fst_id"]) & (now["state"] == arcs["src"])).select(now["fst_id"], F.col("dst").alias("state"), add("ilabels", "ilabel").alias("ilabels"), add("olabels", "olabel").alias("olabels"), (F.col("w") + F.col("weight")).alias("w"), "paths")
             now = hold(now.groupBy("fst_id", "state", "ilabels", "olabels").agg(self.semiring.plus("w").alias("w"), F.sum("paths").alias("paths")), "paths", now)
             if not row_count(now):
                 break
+            rounds += 1
+            if max_arcs is None:
+                # a path with as many arcs as its machine has states has been in some state twice
+                most = self.states.groupBy("fst_id").count().agg(F.max("count")).first()[0] if most is None else most
+                if rounds >= most:
+                    raise InvalidMachine(f"paths go on after {rounds} arcs, so there is a cycle: say how many arcs a path may have")
             every.append(now)
         ends = reduce(DataFrame.unionByName, every).join(finals, ["fst_id", "state"]).withColumn("w", F.col("w") + F.col("final_weight"))
         return ends.groupBy("fst_id", "ilabels", "olabels").agg(self.semiring.plus("w").alias("weight"), F.sum("paths").alias("paths"))

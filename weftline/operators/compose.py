@@ -3,7 +3,8 @@
 A frontier of product states (s1, s2, filter) is expanded round by round. One join brings the first machine's arcs to
 the frontier; a second, on (s2, label), covers matches and simultaneous epsilon moves; moves of one side alone need
 no second join or one on epsilon arcs only. The filter lets exactly one order of epsilon moves through, so no path
-is counted twice in any semiring. A product state's id is computed from its parts, so there is no renumbering.
+is counted twice in any semiring. A product state's id is computed from its parts; only parts whose
+ids are so large that a product's would not fit in a long are numbered anew first.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ def compose(a: Fst, b: Fst, shared: bool = False, max_rounds: int = 100_000) ->
     Only states that can be reached are made; states from which no final state is reached are kept.
     """
     same_space(a, b)
+    # a product's id is made of its parts' ids, which have to leave room for that
+    sizes = [m.states.agg(F.max("state"), F.min("state")).first() for m in (a, b)]
+    if any((lo or 0) < 0 for _, lo in sizes) or ((sizes[0][0] or 0) + 1) * ((sizes[1][0] or 0) + 1) >= 2**61:
+        a, b = a.renumber().cut("left"), b.renumber().cut("right")
     key = [] if shared else ["fst_id"]
     b_arcs = b.arcs.select(*key, F.col("src").alias("s2"), F.col("ilabel").alias("olabel"), F.col("olabel").alias("out2"), F.col("weight").alias("w2"), F.col("dst").alias("d2"))
     b_eps = b_arcs.filter("olabel = 0").drop("olabel")

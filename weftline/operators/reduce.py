@@ -73,7 +73,8 @@ def determinize(fst: Fst, drop_epsilon: bool = False, max_rounds: int = 10_000,
 
     A state of the result is a set of (state, residual weight); residuals are rounded to 9 places, so that sets meet
     again. Epsilons are removed first, or dropped on request. max_states guards against machines that have no
-    deterministic equivalent.
+    deterministic equivalent. A set is known by a 64-bit hash: among n sets two are taken for one by chance with
+    probability n^2 / 2^65.
     """
     if not empty(fst.arcs.filter("ilabel <> olabel")):
         raise NotAnAcceptor("determinize takes acceptors; encode label pairs first")
@@ -84,38 +85,38 @@ def determinize(fst: Fst, drop_epsilon: bool = False, max_rounds: int = 10_000,
     plus = fst.semiring.plus
     arcs = fst.arcs.select("fst_id", F.col("src").alias("q"), F.col("ilabel").alias("label"), "weight", "dst")
     one = F.array(F.struct(F.col("start").alias("q"), F.lit(0.0).alias("r")))
-    new = seen = hold(fst.meta.filter("start is not null").select("fst_id", one.alias("subset")), "subsets")
-    parts, made = [seen], []
+    # a subset's id is a hash of it: the array itself is carried once a state and never a key
+    first = hold(fst.meta.filter("start is not null").select("fst_id", F.xxhash64(one).alias("state"), one.alias("subset")), "subsets")
+    new, seen, parts, made = first, [first.select("fst_id", "state")], [], []
     for _ in range(max_rounds):
-        members = new.select("fst_id", "subset", F.explode("subset").alias("m")).select("fst_id", "subset", "m.*")
-        to = members.join(arcs, ["fst_id", "q"]).groupBy("fst_id", "subset", "label", "dst").agg(plus(F.col("r") + F.col("weight")).alias("w"))
-        common = to.groupBy("fst_id", "subset", "label").agg(plus("w").alias("common"), F.collect_list(F.struct("dst", "w")).alias("to"))
+        members = new.select("fst_id", "state", F.explode("subset").alias("m")).select("fst_id", "state", "m.*")
+        to = members.join(arcs, ["fst_id", "q"]).groupBy("fst_id", "state", "label", "dst").agg(plus(F.col("r") + F.col("weight")).alias("w"))
+        common = to.groupBy("fst_id", "state", "label").agg(plus("w").alias("common"), F.collect_list(F.struct("dst", "w")).alias("to"))
         rest = F.transform(F.array_sort("to"), lambda x: F.struct(x["dst"].alias("q"), F.round(x["w"] - F.col("common"), 9).alias("r")))
-        step = hold(common.select("fst_id", "subset", "label", F.col("common").alias("weight"), rest.alias("next")), "subset-arcs", new)
-        made.append(step)
-        new = hold(step.select("fst_id", F.col("next").alias("subset")).distinct().join(seen, ["fst_id", "subset"], "left_anti"), "subsets", new)
-        if empty(new):
+        step = common.select("fst_id", "state", "label", F.col("common").alias("weight"), rest.alias("subset"))
+        step = hold(step.withColumn("next", F.xxhash64("subset")), "subset-arcs", parts[-1] if parts else None)
+        if empty(step):
             break
-        parts.append(new)
-        seen = reduce(DataFrame.unionByName, parts)
+        made.append(step.select("fst_id", "state", "label", "weight", "next"))
+        parts.append(step)
+        met = step.select("fst_id", F.col("next").alias("state"), "subset")
+        new = met.dropDuplicates(["fst_id", "state"]).join(reduce(DataFrame.unionByName, seen), ["fst_id", "state"], "left_anti")
+        seen.append(met.select("fst_id", "state"))
         if len(parts) % 16 == 0:
-            if row_count(seen) > max_states:
+            new, seen = hold(new, "subsets"), [hold(reduce(DataFrame.unionByName, seen).distinct(), "subsets")]
+            if row_count(seen[0]) > max_states:
                 raise NoFixpoint(f"more than {max_states} states: the machine may have no deterministic equivalent")
-            old, parts = parts, [hold(seen, "subsets")]
-            discard(*old[:-1])
-            seen = parts[0]
     else:
         raise NoFixpoint("subsets still grow")
-    # ids: a hash of the subset is unique but for chance; dense numbers follow from its rank
-    sets = hold(seen.withColumn("state", F.xxhash64("subset")), "subsets")
+    every = [first, *(p.select("fst_id", F.col("next").alias("state"), "subset") for p in parts)]
+    sets = hold(reduce(DataFrame.unionByName, every).dropDuplicates(["fst_id", "state"]), "subsets")
     finals = sets.select("fst_id", "state", F.explode("subset").alias("m")).select("fst_id", "state", F.col("m.q").alias("q"), F.col("m.r").alias("r"))
     finals = finals.join(fst.states.filter("final_weight is not null").select("fst_id", F.col("state").alias("q"), "final_weight"), ["fst_id", "q"])
     finals = finals.groupBy("fst_id", "state").agg(plus(F.col("r") + F.col("final_weight")).alias("final_weight"))
     states = sets.select("fst_id", "state").join(finals, ["fst_id", "state"], "left")
-    every = reduce(DataFrame.unionByName, made)
-    out_arcs = every.select("fst_id", F.xxhash64("subset").alias("src"), F.col("label").alias("ilabel"), F.col("label").alias("olabel"), "weight", F.xxhash64("next").alias("dst"))
-    start = fst.meta.filter("start is not null").select("fst_id", F.xxhash64(one).alias("s"))
-    meta = fst.meta.select("fst_id").join(start, "fst_id", "left").select("fst_id", F.col("s").alias("start"))
+    out_arcs = reduce(DataFrame.unionByName, made).select("fst_id", F.col("state").alias("src"), F.col("label").alias("ilabel"), F.col("label").alias("olabel"), "weight", F.col("next").alias("dst")) if made else fst.arcs.limit(0)
+    start = first.select("fst_id", F.col("state").alias("start"))
+    meta = fst.meta.select("fst_id").join(start, "fst_id", "left")
     return fst.with_(meta=meta, states=states, arcs=out_arcs).renumber().cut("determinize")
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.model import Fst, same_space
+from weftline.model import CELLS, Fst, same_space
 from weftline.operators.rational import _epsilon, _next
+from weftline.plans.prefix import numbered
 
 
 class CyclicDependency(ValueError):
@@ -28,17 +28,18 @@ def inline(root: Fst, label: int, sub: Fst) -> Fst:
     if m is None or m["start"] is None:
         return root
     size = sub.states.agg(F.max("state")).first()[0] + 1
-    place = Window.partitionBy("fst_id").orderBy("src", "olabel", "weight", "dst")
-    hits = root.arcs.filter(F.col("ilabel") == label).withColumn("k", F.row_number().over(place) - 1)
+    # every arc gets a copy of its own, so the product below is the result itself; Spark broadcasts sub if it is small
+    hits = root.arcs.filter(F.col("ilabel") == label).withColumn("cell", F.pmod(F.xxhash64("src"), F.lit(CELLS)))
+    hits = numbered(hits, ["fst_id"], "cell", [F.col(c) for c in ("src", "olabel", "weight", "dst")], "k")
     hits = hits.join(_next(root), "fst_id").withColumn("base", F.col("n") + F.col("k") * size)
     at = lambda c: (F.col("base") + F.col(c)).alias(c)
     own = sub.states.select("state", "final_weight")
     arcs = sub.arcs.select(F.col("src").alias("s"), F.col("ilabel").alias("i"), F.col("olabel").alias("o"), F.col("weight").alias("w"), F.col("dst").alias("d"))
     where = hits.select("fst_id", "base")
-    states = where.join(F.broadcast(own.select("state"))).select("fst_id", at("state"), F.lit(None).cast("double").alias("final_weight"))
-    inner = where.join(F.broadcast(arcs)).select("fst_id", at("s").alias("src"), F.col("i").alias("ilabel"), F.col("o").alias("olabel"), F.col("w").alias("weight"), at("d").alias("dst"))
+    states = where.crossJoin(own.select("state")).select("fst_id", at("state"), F.lit(None).cast("double").alias("final_weight"))
+    inner = where.crossJoin(arcs).select("fst_id", at("s").alias("src"), F.col("i").alias("ilabel"), F.col("o").alias("olabel"), F.col("w").alias("weight"), at("d").alias("dst"))
     enter = _epsilon(hits.withColumn("to", F.col("base") + m["start"]), "src", "to")
-    leave = hits.join(F.broadcast(own.filter("final_weight is not null")))
+    leave = hits.crossJoin(own.filter("final_weight is not null"))
     leave = _epsilon(leave.withColumn("from", F.col("base") + F.col("state")), "from", "dst", F.col("weight") + F.col("final_weight"))
     kept = root.arcs.filter(F.col("ilabel") != label)
     return root.with_(states=root.states.unionByName(states), arcs=kept.unionByName(inner).unionByName(enter).unionByName(leave))

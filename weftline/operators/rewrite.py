@@ -125,24 +125,34 @@ class Rule:
     def packed(self) -> Packed:
         return Packed.of(self.machine())
 
-    def patterns(self) -> dict[str, str]:
-        return {a + x + b: a + y + b for a, (x, y), b in product(self.left, self.tau.items(), self.right)}
+    def patterns(self) -> dict[str, str] | None:
+        """What each string of left tau right becomes; None where one string has two readings."""
+        out: dict[str, str] = {}
+        for a, (x, y), b in product(self.left, self.tau.items(), self.right):
+            if out.setdefault(a + x + b, a + y + b) != a + y + b:
+                return None
+        return out
 
     def lowered(self, text: Column) -> Column | None:
-        """The rule in native functions, or None where that isn't known to give the same result."""
+        """The rule in native functions, or None where that isn't known to give the same result.
+
+        Several strings are replaced one after the other only where no result can take part in a later match: results
+        share no character with other strings, and of empty results, which join their neighbours, only the last
+        replacement may have one.
+        """
         found = self.patterns()
+        if not found:
+            return None
         for p, q in product(found, found):
             if not p or (p != q and p in q) or any(p[-n:] == q[:n] for n in range(1, min(len(p) - 1, len(q)) + 1)):
                 return None
-        if len(found) == 1:
-            (p, x), = found.items()
-            out = F.replace(text, F.lit(p), F.lit(x))
-        elif all(len(p) == 1 and len(x) == 1 for p, x in found.items()):
-            out = F.translate(text, "".join(found), "".join(found.values()))
-        elif not any(set(x) & set(q) for p, x in found.items() for q in found if q != p):
+        if all(len(p) == 1 and len(x) <= 1 for p, x in found.items()):
+            in_order = sorted(found, key=lambda p: not found[p])  # characters without a counterpart are deleted
+            out = F.translate(text, "".join(in_order), "".join(found[p] for p in in_order))
+        elif len(found) == 1 or (sum(not x for x in found.values()) <= 1 and not any(set(x) & set(q) for p, x in found.items() for q in found if q != p)):
             out = text
-            for p, x in found.items():
-                out = F.replace(out, F.lit(p), F.lit(x))
+            for p in sorted(found, key=lambda p: not found[p]):
+                out = F.replace(out, F.lit(p), F.lit(found[p]))
         else:
             return None
         if self.sigma is not None:
@@ -163,16 +173,19 @@ class Rule:
         """The rule by its machine, for any rule."""
         return self.function()(text)
 
-    def function(self, memo_size: int = 500_000) -> Callable[[Column], Column]:
-        """The rule as a function of a string column; pieces that come again are looked up."""
+    def function(self, memo_bytes: int = 1 << 26) -> Callable[[Column], Column]:
+        """The rule as a function of a string column; pieces that come again are looked up, up to memo_bytes of them.
+
+        A result that is no UTF-8, which rules over single bytes can make, is null.
+        """
         kernel = Kernel(self.machine())
         symbols = set(spell(self.sigma)) if self.sigma is not None else set(range(1, 257))
         cut = _cut_bytes(any_of([transducer(a, b) for a, b in self.tau.items()]), [any_of([acceptor(x) for x in c]) for c in (self.left, self.right)], symbols)
         split = re.compile(b"([" + re.escape(cut) + b"]+)") if cut else None
         memo: dict[bytes, bytes | None] = {}
+        held = [0]
 
-        def run(texts: pa.Array) -> pa.Array:
-            rows = [None if x is None else (split.split(x.encode()) if split else [x.encode()]) for x in texts.to_pylist()]
+        def block(rows: list) -> list:
             step = 2 if split else 1  # odd parts are cut bytes, which copy themselves
             new = list({x for r in rows if r is not None for x in r[::step] if x not in memo})
             fresh = dict(zip(new, (y for y, _ in kernel.run(new)), strict=True))
@@ -182,17 +195,37 @@ class Rule:
                     out.append(None)
                     continue
                 done = [x if i % step else (fresh[x] if x in fresh else memo[x]) for i, x in enumerate(r)]
-                out.append(None if None in done else b"".join(done).decode("utf-8", "replace"))
-            if len(memo) + len(fresh) > memo_size:
+                out.append(None if None in done else utf8(b"".join(done)))
+            for x, y in fresh.items():
+                if len(x) <= 64:
+                    memo[x] = y
+                    held[0] += 200 + len(x) + len(y or b"")
+            if held[0] > memo_bytes:
                 memo.clear()
-            memo.update(fresh)
+                held[0] = 0
+            return out
+
+        def run(texts: pa.Array) -> pa.Array:
+            out: list = []
+            for lo in range(0, len(texts), 1000):
+                out += block([None if x is None else (split.split(x.encode()) if split else [x.encode()]) for x in texts[lo : lo + 1000].to_pylist()])
             return pa.array(out, pa.string())
 
         return F.arrow_udf(run, "string")
 
 
+def utf8(data: bytes) -> str | None:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def best_output(text: Column, machine: Machine) -> Column:
-    """Output and weight of the best path of text composed with a machine: a struct, with nulls where there is none."""
+    """Output and weight of the best path of text composed with a machine: a struct, with nulls where there is none.
+
+    An output that is no UTF-8 is null beside its weight.
+    """
     return best_output_function(machine)(text)
 
 
@@ -205,7 +238,7 @@ def best_output_function(machine: Machine) -> Callable[[Column], Column]:
         out = []
         for x in rows:
             y, w = next(found) if x is not None else (None, INF)
-            out.append({"output": None if y is None else y.decode("utf-8", "replace"), "weight": None if w == INF else w})
+            out.append({"output": None if y is None else utf8(y), "weight": None if w == INF else w})
         return pa.array(out, pa.struct([("output", pa.string()), ("weight", pa.float64())]))
 
     return F.arrow_udf(run, "output string, weight double")

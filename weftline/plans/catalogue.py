@@ -6,21 +6,26 @@ with whole-number weights; chains of documents, conversations and events; label
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import charclass, strings
-from weftline.functions.machine import Machine, acceptor, any_of, edit_transducer, spell, trie
+from weftline.convert import convert
+from weftline.functions import sql as sql_functions
+from weftline.functions.machine import Machine, edit_transducer, spell
 from weftline.model import Fst, batch, frame, label_text
-from weftline.operators import paths, rational, reduce, rewrite
+from weftline.operators import lazy, paths, rational, reduce, rewrite
 from weftline.operators.compose import compose, intersect
 from weftline.operators.difference import difference
 from weftline.operators.replace import CyclicDependency, replace
 from weftline.plans import packed
 from weftline.semiring import Log, Tropical
+from weftline.session import materialise, shared_dir
 from weftline.sources import att, binary, symbols
+from weftline.streaming.apply import follow, rewrite_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,15 +53,21 @@ N_SQL = """n AS (
   SELECT s.s_nationkey AS src, c.c_nationkey AS dst, CAST(min(l.l_quantity + 3 * l.l_linenumber) AS BIGINT) AS w
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY ALL)"""
-MAX_WORDS = 100_000
 
 
-def lexicon(df: DataFrame, col: str) -> list[str]:
-    """The distinct strings of a column, for a machine on the driver; refuses a column that is no lexicon."""
-    words = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_WORDS + 1).collect()]
-    if len(words) > MAX_WORDS:
-        raise ValueError(f"{col} has more than {MAX_WORDS} different strings")
-    return sorted(words)
+def lexicon(df: DataFrame, col: str) -> Fst:
+    """The strings of a column, of any number, as a deterministic machine."""
+    return strings.trie(df, col)
+
+
+def letters_of(*columns: DataFrame) -> list[int]:
+    """The labels of the bytes that occur in columns of strings: 256 at most."""
+    every = columns[0]
+    for c in columns[1:]:
+        every = every.union(c)
+    text = every.columns[0]
+    found = every.filter(F.octet_length(text) > 0).select(F.explode(F.array_distinct(strings.byte_labels(F.col(text)))).alias("l")).distinct()
+    return sorted(r["l"] for r in found.collect())
 
 
 def nation_arcs(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,8 +104,8 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
 
 
-def words_of(fst: Fst, max_arcs: int = 64) -> DataFrame:
-    """text, weight of an acceptor's language."""
+def words_of(fst: Fst, max_arcs: int | None = None) -> DataFrame:
+    """text, weight of an acceptor's language, by paths of any length if max_arcs isn't given."""
     return fst.language(max_arcs).select(label_text("ilabels").alias("text"), "weight")
 
 
@@ -225,7 +236,7 @@ def user_machines(spark: SparkSession, sf: str) -> Fst:
     """U: a chain of event labels for each user."""
     label = F.array_position(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), F.col("event_type"))
     e = table(spark, sf, "events").groupBy(F.col("user_id").alias("fst_id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", label.alias("l")))).alias("x"))
-    return strings._linear(e.select("fst_id", F.transform("x", lambda v: F.struct(v["l"].alias("ilabel"), v["l"].alias("olabel"))).alias("labels")))
+    return strings._linear(e.select("fst_id", F.transform("x", lambda v: F.struct(v["l"].alias("ilabel"), v["l"].alias("olabel"))).alias("labels"), F.size("x").alias("n")))
 
 
 @query(f"WITH {USERS_SQL} SELECT user_id AS fst_id, p AS src, label AS ilabel, label AS olabel, CAST(0 AS DOUBLE) AS weight, p + 1 AS dst FROM e")
@@ -345,16 +356,15 @@ def reverse_lang(spark, sf):
 # composition
 
 
-@query("""WITH a AS (SELECT c_nationkey + 1 AS x, 1 + c_custkey % 7 AS y, floor(abs(c_acctbal)) AS v FROM customer),
-b AS (SELECT 1 + s_suppkey % 7 AS y, s_nationkey + 1 AS z, floor(abs(s_acctbal)) AS w FROM supplier)
+@query("""WITH a AS (SELECT 1 + o_orderkey % 100 AS x, o_custkey AS y, floor(o_totalprice) AS v FROM orders),
+b AS (SELECT c_custkey AS y, c_nationkey + 1 AS z, floor(abs(c_acctbal)) AS w FROM customer)
 SELECT CAST(x AS BIGINT) AS x, CAST(z AS BIGINT) AS z, CAST(min(v + w) AS DOUBLE) AS weight FROM a JOIN b USING (y) GROUP BY 1, 2""")
 def compose_pairs(spark, sf):
-    c = table(spark, sf, "customer").select(F.expr("c_nationkey + 1").alias("x"), F.expr("1 + c_custkey % 7").alias("y"), F.expr("floor(abs(c_acctbal))").alias("v"))
-    s = table(spark, sf, "supplier").select(F.expr("1 + s_suppkey % 7").alias("y"), F.expr("s_nationkey + 1").alias("z"), F.expr("floor(abs(s_acctbal))").alias("w"))
-    # parallel arcs with the same labels only compete: the best one of each goes on
-    c, s = c.groupBy("x", "y").agg(F.min("v").alias("v")), s.groupBy("y", "z").agg(F.min("w").alias("w"))
-    out = compose(relation(c, "x", "y", "v"), relation(s, "y", "z", "w"))
-    return out.language(4).select(F.element_at("ilabels", 1).alias("x"), F.element_at("olabels", 1).alias("z"), "weight")
+    """An arc for each order, from its group to its customer, and one for each customer, on to the nation."""
+    o = table(spark, sf, "orders").select(F.expr("1 + o_orderkey % 100").alias("x"), F.col("o_custkey").alias("y"), F.expr("floor(o_totalprice)").alias("v"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("y"), F.expr("c_nationkey + 1").alias("z"), F.expr("floor(abs(c_acctbal))").alias("w"))
+    out = compose(relation(o, "x", "y", "v"), relation(c, "y", "z", "w"))
+    return out.language().select(F.element_at("ilabels", 1).alias("x"), F.element_at("olabels", 1).alias("z"), "weight")
 
 
 def _epsilon_chain(k: int, side: str) -> list[tuple]:
@@ -370,7 +380,7 @@ def compose_eps_filter(spark, sf):
     left = batch([frame(spark, p * 10 + q, 0, {p + 2: 0.0}, _epsilon_chain(p, "left")) for p, q in grid])
     right = batch([frame(spark, p * 10 + q, 0, {q + 2: 0.0}, _epsilon_chain(q, "right")) for p, q in grid])
     out = compose(left.cut("left"), right.cut("right")).cut("product")
-    return out.language(16).select("fst_id", F.size("ilabels").alias("read"), F.size("olabels").alias("written"), "paths")
+    return out.language().select("fst_id", F.size("ilabels").alias("read"), F.size("olabels").alias("written"), "paths")
 
 
 @query(f"""WITH {USERS_SQL}, s AS (SELECT user_id, string_agg(CAST(label AS VARCHAR), '' ORDER BY p) AS text FROM e GROUP BY 1)
@@ -381,21 +391,20 @@ def compose_user_pattern(spark, sf):
     m.add_states(4)
     m.set_start(0)
     m.set_final(3)
-    for x in spell("12345"):
+    for x in range(1, 6):
         m.add_arc(0, x, x, 0.0, 0)
         m.add_arc(3, x, x, 0.0, 3)
-    for i, x in enumerate(spell("513")):
+    for i, x in enumerate((5, 1, 3)):
         m.add_arc(i, x, x, 0.0, i + 1)
-    users = user_machines(spark, sf)
-    said = users.arcs.groupBy(F.col("fst_id").alias("user_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "ilabel"))), lambda v: v["ilabel"].cast("string")), "").alias("text"))
-    return said.filter(rewrite.accepts(F.col("text"), m)).select("user_id")
+    both = lazy.compose_shared(user_machines(spark, sf), m)
+    return both.states.filter("final_weight is not null").select(F.col("fst_id").alias("user_id")).distinct()
 
 
 @query(f"SELECT DISTINCT {FIRST} AS text FROM part WHERE {FIRST} IN (SELECT word FROM (SELECT substr({FIRST}, 1, 5) AS word FROM part UNION SELECT {SECOND} FROM part))")
 def intersect_lang(spark, sf):
     a = some_words(spark, sf, FIRST, "0")
-    b = trie(lexicon(parts(spark, sf).select(F.expr(f"explode(array(substr({FIRST}, 1, 5), {SECOND}))").alias("w")), "w"))
-    return words_of(intersect(a, b.frame(spark))).select("text")
+    b = lexicon(parts(spark, sf).select(F.expr(f"explode(array(substr({FIRST}, 1, 5), {SECOND}))").alias("w")), "w")
+    return words_of(intersect(a, b)).select("text")
 
 
 # paths
@@ -421,30 +430,92 @@ def shortest_path_total(spark, sf):
     return both.agg(F.sum("weight").alias("weight"))
 
 
-def edit_lexicon(spark, sf, words: list[str]) -> Machine:
-    """The edit transducer composed with the lexicon of part names, over the letters of both."""
-    names = lexicon(parts(spark, sf), "p_name")
-    letters = sorted({x for w in [*names, *words] for x in spell(w)})
-    return Machine.of(compose(edit_transducer(letters).frame(spark), trie(names).frame(spark)))
+def edited(spark, words: DataFrame, names: DataFrame) -> Fst:
+    """What each word (id, word) becomes by edits, each of weight 1, over the letters of words and names."""
+    letters = letters_of(words.select("word"), names)
+    return lazy.compose_shared(strings.compile_strings(words, "id", "word"), edit_transducer(letters))
+
+
+def _words(spark, sf) -> DataFrame:
+    w = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lower("r_name").alias("word"))
+    return w.unionByName(spark.createDataFrame([(100, "smal rign")], "id long, word string"))
 
 
 @query("SELECT word, CAST(min(levenshtein(word, p_name)) AS DOUBLE) AS weight FROM (SELECT lower(r_name) AS word FROM region UNION SELECT 'smal rign') w, (SELECT DISTINCT p_name FROM part) p GROUP BY 1")
 def lazy_sp_edit_distance(spark, sf):
-    words = table(spark, sf, "region").select(F.lower("r_name").alias("word")).unionByName(spark.createDataFrame([("smal rign",)], "word string"))
-    machine = edit_lexicon(spark, sf, lexicon(words, "word"))
-    return words.select("word", rewrite.best_output(F.col("word"), machine)["weight"].alias("weight"))
+    """The nearest name by the best path of word, edits and lexicon; the product with the lexicon is only searched."""
+    words, names = _words(spark, sf), parts(spark, sf).select("p_name")
+    best = lazy.compose_shortest_path(edited(spark, words, names), lexicon(names, "p_name"))
+    return lazy.chain_weights(best).join(words, F.col("fst_id") == F.col("id")).select("word", "weight")
+
+
+@query("SELECT word, min(p_name) AS name FROM (SELECT word, p_name, levenshtein(word, p_name) AS d, min(levenshtein(word, p_name)) OVER (PARTITION BY word) AS least FROM (SELECT lower(r_name) AS word FROM region UNION SELECT 'smal rign') w, (SELECT DISTINCT p_name FROM part) p) WHERE d = least GROUP BY 1 HAVING count(*) = 1")
+def lazy_sp_output(spark, sf):
+    """The nearest name itself, read off the chain, where no other name is as near: its weight says so of both."""
+    words, names = _words(spark, sf), parts(spark, sf).select("p_name").distinct()
+    lexicon_ = lexicon(names, "p_name")
+    ways = edited(spark, words, names)
+    best = lazy.compose_shortest_path(ways, lexicon_)
+    read = strings.print_strings(best).withColumnRenamed("text", "name").join(lazy.chain_weights(best), "fst_id")
+    every = names.crossJoin(F.broadcast(words)).select("id", "p_name", F.levenshtein("word", "p_name").cast("double").alias("d"))  # a stated set of words against all names
+    alone = read.join(every, read["fst_id"] == every["id"]).filter("d = weight").groupBy("fst_id", "name").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return alone.join(words, F.col("fst_id") == F.col("id")).select("word", "name")
+
+
+@query("SELECT lower(r_name) AS word, true AS same FROM region UNION ALL SELECT 'smal rign', true")
+def lazy_equals_eager(spark, sf):
+    """The best weight by searching the product, and that of the best path of the product itself."""
+    words, names = _words(spark, sf), parts(spark, sf).select("p_name")
+    ways, names = edited(spark, words, names), lexicon(names, "p_name")
+    searched = lazy.chain_weights(lazy.compose_shortest_path(ways, names)).withColumnRenamed("weight", "w")
+    eager = paths.total_weight(compose(ways, names, shared=True))
+    return searched.join(eager, "fst_id").join(words, F.col("fst_id") == F.col("id")).select("word", (F.col("w") == F.col("weight")).alias("same"))
 
 
-@query("SELECT lower(r_name) AS word, true AS same FROM region")
-def lazy_equals_eager(spark, sf):
-    """The kernel's best weight and that of the best path of the product itself."""
-    words = table(spark, sf, "region").select(F.lower("r_name").alias("word"), F.col("r_regionkey").alias("id"))
-    names = lexicon(parts(spark, sf), "p_name")
-    letters = sorted({x for w in [*names, *lexicon(words, "word")] for x in spell(w)})
-    rule = compose(edit_transducer(letters).frame(spark), trie(names).frame(spark)).cut("rule")
-    eager = paths.total_weight(compose(strings.compile_strings(words, "id", "word"), rule, shared=True))
-    lazy = words.select("id", "word", rewrite.best_output(F.col("word"), Machine.of(rule))["weight"].alias("w"))
-    return lazy.join(eager, lazy["id"] == eager["fst_id"]).select("word", (F.col("w") == F.col("weight")).alias("same"))
+# a graph that grows: parts that follow each other in an order, with the quantity of the first as weight
+
+PARTS_SQL = """g AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, CAST(min(a.l_quantity) AS BIGINT) AS w
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY ALL)"""
+
+
+def part_graph(spark, sf, where: str = "true", silent: str = "false", final: str = "0.0D") -> Fst:
+    """States are part keys, the start is part 1; an arc has its end's key + 1 as label, or none where it is silent."""
+    l = table(spark, sf, "lineitem")
+    a = l.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("w"))
+    b = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
+    g = a.join(b, ["l_orderkey", "n"]).groupBy("src", "dst").agg(F.min("w").alias("weight")).filter(where)
+    zero = F.lit(0).cast("long")
+    label = F.when(F.expr(silent), F.lit(0)).otherwise(F.col("dst") + 1).cast("long")
+    arcs = g.select(zero.alias("fst_id"), "src", label.alias("ilabel"), label.alias("olabel"), "weight", "dst")
+    states = parts(spark, sf).select(zero.alias("fst_id"), F.col("p_partkey").alias("state")).select("fst_id", "state", F.expr(final).alias("final_weight"))
+    meta = spark.range(1).select(zero.alias("fst_id"), F.lit(1).cast("long").alias("start"))
+    arcs, states = materialise(arcs, "part-arcs"), materialise(states, "part-states")
+    return Fst(meta, states, arcs)
+
+
+@query(f"""WITH RECURSIVE {PARTS_SQL}, d(state, w) USING KEY (state) AS (
+  SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION
+  SELECT g.dst, min(d.w + g.w) FROM d JOIN g ON g.src = d.state LEFT JOIN recurring.d r ON r.state = g.dst WHERE r.w IS NULL OR d.w + g.w < r.w GROUP BY g.dst
+) SELECT state, CAST(w AS DOUBLE) AS weight FROM d""")
+def shortest_path_parts(spark, sf):
+    return paths.distances(part_graph(spark, sf)).select("state", F.col("best.w").alias("weight"))
+
+
+@query(f"""WITH RECURSIVE {PARTS_SQL}, e AS (SELECT src, dst FROM g WHERE w <= 25),
+f AS (SELECT CAST(1 AS BIGINT) AS s UNION SELECT e.dst FROM f JOIN e ON e.src = f.s),
+b AS (SELECT p_partkey AS s FROM part WHERE p_partkey % 5 = 4 UNION SELECT e.src FROM b JOIN e ON e.dst = b.s),
+k AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS id FROM f WHERE s IN (SELECT s FROM b))
+SELECT x.id AS src, y.s + 1 AS label, y.id AS dst FROM e JOIN k x ON x.s = e.src JOIN k y ON y.s = e.dst""")
+def connect_parts(spark, sf):
+    return reduce.connect(part_graph(spark, sf, "weight <= 25", final="CASE WHEN state % 5 = 4 THEN 0.0D END")).arcs.select("src", F.col("ilabel").alias("label"), "dst")
+
+
+@query(f"""WITH RECURSIVE {PARTS_SQL}, x AS (SELECT * FROM g WHERE w <= 1), d(a, b, w) USING KEY (a, b) AS (
+  SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION
+  SELECT d.a, x.dst, min(d.w + x.w) FROM d JOIN x ON x.src = d.b LEFT JOIN recurring.d r ON r.a = d.a AND r.b = x.dst WHERE r.w IS NULL OR d.w + x.w < r.w GROUP BY d.a, x.dst
+) SELECT d.a AS src, g.dst + 1 AS label, CAST(min(d.w + g.w) AS DOUBLE) AS weight, g.dst FROM d JOIN g ON g.src = d.b AND g.w > 1 GROUP BY ALL""")
+def rm_epsilon_parts(spark, sf):
+    return reduce.rm_epsilon(part_graph(spark, sf, silent="weight <= 1")).arcs.select("src", F.col("ilabel").alias("label"), "weight", "dst")
 
 
 SILENT = "(src + dst) % 2 = 0"
@@ -491,16 +562,25 @@ def determinize_is_dfa(spark, sf):
 r AS (SELECT p, list(substr(s, length(p) + 1) ORDER BY s) AS rest FROM p JOIN w ON starts_with(s, p) GROUP BY p)
 SELECT count(DISTINCT rest) AS num_states, (SELECT count(DISTINCT (rest, substr(x, 1, 1))) FROM (SELECT rest, unnest(rest) AS x FROM r) WHERE x <> '') AS num_arcs FROM r""")
 def minimize_nerode(spark, sf):
-    m = reduce.minimize(trie(lexicon(parts(spark, sf), "p_name")).frame(spark))
+    m = reduce.minimize(lexicon(parts(spark, sf), "p_name"))
     return m.sizes().select("num_states", "num_arcs")
 
 
+@query("""WITH w AS (SELECT DISTINCT c_name AS s FROM customer), k AS (SELECT substr(s, 1, n) AS p, substr(s, n + 1) AS rest FROM (SELECT s, unnest(range(0, length(s) + 1)) AS n FROM w)),
+r AS (SELECT p, list(rest ORDER BY rest) AS l FROM k GROUP BY p), h AS (SELECT p, md5(CAST(l AS VARCHAR)) AS c FROM r),
+a AS (SELECT DISTINCT h.c, substr(rest, 1, 1) AS x FROM k JOIN h USING (p) WHERE rest <> '')
+SELECT (SELECT count(DISTINCT c) FROM h) AS num_states, (SELECT count(*) FROM a) AS num_arcs""")
+def minimize_customers(spark, sf):
+    """A lexicon that grows with the table."""
+    return reduce.minimize(lexicon(table(spark, sf, "customer"), "c_name")).sizes().select("num_states", "num_arcs")
+
+
 @query("""SELECT r_name AS x, n_name AS y, CAST(min(n_nationkey) AS DOUBLE) AS weight FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 def optimize_transducer(spark, sf):
     """Region to nation, one path each, as a minimal machine of label pairs."""
     p = pairs(spark, sf).withColumn("w", F.col("n_nationkey").cast("double"))
     t = strings.compile_pairs(p, "n_nationkey", "r_name", "n_name")
-    width = 64
+    width = 1 + (t.states.agg(F.max("state")).first()[0] or 0)
     at = lambda c: (F.col("fst_id") * width + F.col(c) + 1).alias(c)
     zero = F.lit(0).cast("long")
     arcs = t.arcs.select(zero.alias("fst_id"), at("src"), "ilabel", "olabel", "weight", at("dst"))
@@ -508,14 +588,14 @@ def optimize_transducer(spark, sf):
     ends = t.states.select(zero.alias("fst_id"), at("state"), F.when(F.col("final_weight").isNotNull(), F.col("fst_id").cast("double")).alias("final_weight"))
     states = ends.unionByName(spark.range(1).select(zero.alias("fst_id"), zero.alias("state"), F.lit(None).cast("double").alias("final_weight")))
     one = t.with_(meta=spark.range(1).select(zero.alias("fst_id"), zero.alias("start")), states=states, arcs=arcs.unionByName(enter)).cut("pairs")
-    return reduce.optimize(one).language(64).select(label_text("ilabels").alias("x"), label_text("olabels").alias("y"), "weight")
+    return reduce.optimize(one).language().select(label_text("ilabels").alias("x"), label_text("olabels").alias("y"), "weight")
 
 
 @query(f"SELECT p_name AS text FROM part EXCEPT SELECT p_name FROM part WHERE p_size = 50")
 def difference_lang(spark, sf):
     a = some_words(spark, sf, "p_name", "0")
-    b = trie(lexicon(parts(spark, sf).filter("p_size = 50"), "p_name"))
-    return words_of(difference(a, b.frame(spark))).select("text")
+    b = lexicon(parts(spark, sf).filter("p_size = 50"), "p_name")
+    return words_of(difference(a, b)).select("text")
 
 
 # replacement and rewriting
@@ -527,7 +607,7 @@ def replace_grammar(spark, sf):
     adj, noun, name = 1000, 1001, 1002
     root = frame(spark, 0, 0, {1: 0.0}, [(0, name, name, 0.0, 1)])
     phrase = frame(spark, 0, 0, {3: 0.0}, [(0, adj, adj, 0.0, 1), (1, 33, 33, 0.0, 2), (2, noun, noun, 0.0, 3)])
-    lists = [any_of([acceptor(w) for w in lexicon(parts(spark, sf).select(F.expr(c).alias("w")), "w")]).frame(spark) for c in (FIRST, SECOND)]
+    lists = [lexicon(parts(spark, sf).select(F.expr(c).alias("w")), "w") for c in (FIRST, SECOND)]
     out = replace(root, [(name, phrase), (adj, lists[0]), (noun, lists[1])])
     return words_of(out).select("text")
 
@@ -591,7 +671,7 @@ def cdrewrite_coverage(spark, sf):
 def log_sum_paths(spark, sf):
     c = table(spark, sf, "customer").select(F.expr("c_nationkey + 1").alias("x"), F.expr("c_custkey % 13").alias("w"))
     fst = relation(c, "x", "x", "w").with_(semiring=Log)
-    return fst.language(2).select(F.element_at("ilabels", 1).alias("label"), F.round("weight", 6).alias("weight"))
+    return fst.language().select(F.element_at("ilabels", 1).alias("label"), F.round("weight", 6).alias("weight"))
 
 
 @query("""WITH e AS (SELECT c_custkey % 13 AS v, c_nationkey AS m FROM customer), f AS (SELECT s_suppkey % 11 AS w, s_nationkey AS m FROM supplier)
@@ -601,7 +681,7 @@ def log_compose(spark, sf):
     c = table(spark, sf, "customer").select(F.lit(1).alias("x"), F.expr("c_nationkey + 1").alias("y"), F.expr("c_custkey % 13").alias("w"))
     s = table(spark, sf, "supplier").select(F.expr("s_nationkey + 1").alias("y"), F.lit(1).alias("z"), F.expr("s_suppkey % 11").alias("w"))
     out = compose(relation(c, "x", "y", "w").with_(semiring=Log), relation(s, "y", "z", "w").with_(semiring=Log))
-    return out.language(2).select(F.round("weight", 6).alias("weight"), "paths")
+    return out.language().select(F.round("weight", 6).alias("weight"), "paths")
 
 
 @query("SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '[a-z]*e[a-z]* [a-z]*')")
@@ -617,3 +697,96 @@ def accept_filter(spark, sf):
     m.add_arc(0, *spell("e") * 2, 0.0, 1)
     m.add_arc(1, *spell(" ") * 2, 0.0, 2)
     return parts(spark, sf).filter(rewrite.accepts(F.col("p_name"), m)).select("p_partkey")
+
+
+@query(f"WITH {N_SQL} SELECT src, dst + 1 AS ilabel, CAST(w AS DOUBLE) AS weight, dst FROM n WHERE src <> 5")
+def delete_arcs(spark, sf):
+    return nation_machine(spark, sf).delete_arcs(5).arcs.select("src", "ilabel", "weight", "dst")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS fst_id, lower(n_name) AS text FROM nation")
+def print_products(spark, sf):
+    """What a composition writes, read along the product's arcs, whatever its states' numbers."""
+    low = Machine()
+    low.set_start(low.add_state())
+    low.set_final(0)
+    for x in range(1, 257):
+        b = x - 1
+        low.add_arc(0, x, x + 32 if 65 <= b <= 90 else x, 0.0, 0)
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+    return strings.print_strings(compose(strings.compile_strings(names, "id", "n_name"), low.frame(spark), shared=True))
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS fst_id, r_name AS text FROM region")
+def print_text_machines(spark, sf):
+    """Chains whose states are numbered from the end, written as text, read again and printed."""
+    r = strings.compile_strings(table(spark, sf, "region"), "r_regionkey", "r_name")
+    n = r.chains
+    turned = lambda df, *cs: df.join(n, "fst_id").select(*[(F.col("n") - F.col(c)).alias(c) if c in cs else F.col(c) for c in df.columns])
+    back = r.with_(meta=turned(r.meta, "start"), states=turned(r.states, "state"), arcs=turned(r.arcs, "src", "dst"))
+    return strings.print_strings(att.parse_lines(att.att_lines(back)))
+
+
+@query(f"WITH {N_SQL} SELECT src, dst + 2 AS ilabel, CAST(w AS DOUBLE) AS weight, dst FROM n")
+def convert_text(spark, sf):
+    """N as a text file, converted to a binary file, which is read again."""
+    top = f"{shared_dir(spark)}/weftline/convert-{uuid.uuid4().hex}"
+    att.write_att(nation_machine(spark, sf), f"{top}/text")
+    convert(spark, f"{top}/text/fst_id=0", f"{top}/binary", ["*.txt"], to="binary")
+    return binary.read_binary(spark, f"{top}/binary", "*.fst")[0].arcs.select("src", "ilabel", "weight", "dst")
+
+
+@query("SELECT conv_id, turn, replace(replace(text, 'th', 'z'), 'e', '') AS text FROM conversations")
+def cdrewrite_delete(spark, sf):
+    """A deletion beside another replacement: what it joins is no new match."""
+    rule = rewrite.Rule({"e": "", "th": "z"})
+    return table(spark, sf, "conversations").select("conv_id", "turn", rule.apply(F.col("text")).alias("text"))
+
+
+@query("SELECT conv_id, turn, replace(text, 'an', 'AN') AS text FROM conversations")
+def rewrite_batch(spark, sf):
+    """The rule of a stream on a table."""
+    return rewrite_stream(table(spark, sf, "conversations").select("conv_id", "turn", "text"), rewrite.Rule({"an": "AN"}), "text")
+
+
+@query("SELECT conv_id, turn, replace(text, 'the', 'THE') AS text FROM conversations")
+def sql_rewrite(spark, sf):
+    sql_functions.register_rule(spark, "weftline_shout", rewrite.Rule({"the": "THE"}))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.expr("weftline_shout(text)").alias("text"))
+
+
+@query("SELECT p_name AS name, CAST(min(p_size) AS DOUBLE) AS weight FROM part GROUP BY 1")
+def sql_paths(spark, sf):
+    """Every path of a lexicon in binary form, by a table function."""
+    sql_functions.register_paths(spark)
+    data = binary.encode(some_words(spark, sf, "p_name"))
+    return spark.sql("SELECT decode(p.istring, 'UTF-8') AS name, p.weight FROM {d} d, LATERAL fst_paths(d.data, NULL) p", d=data)
+
+
+@query("SELECT c_nationkey, round(-ln(sum(exp(-(c_custkey % 13)))), 6) AS log, CAST(min(c_custkey % 13) AS DOUBLE) AS tropical FROM customer GROUP BY 1")
+def sql_semiring_sum(spark, sf):
+    sql_functions.register_semiring_sum(spark)
+    c = table(spark, sf, "customer").select("c_nationkey", F.expr("CAST(c_custkey % 13 AS DOUBLE)").alias("w"))
+    return spark.sql("SELECT c_nationkey, round(semiring_sum(w, 'log'), 6) AS log, semiring_sum(w, 'tropical') AS tropical FROM {c} GROUP BY c_nationkey", c=c)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id FROM events), x AS (SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'v' ELSE 'x' END, '' ORDER BY ts, event_id) AS s, count(*) AS seen FROM e GROUP BY 1)
+SELECT user_id, seen, regexp_full_match(s, '(vx|xv|vv|xx)*') AS accepted FROM x""")
+def stream_follow(spark, sf):
+    """A stream of events, each user followed by an acceptor of an even number of events."""
+    m = Machine()
+    m.add_states(2)
+    m.set_start(0)
+    m.set_final(0)
+    for x in (1, 2):
+        m.add_arc(0, x, x, 0.0, 1)
+        m.add_arc(1, x, x, 0.0, 0)
+    events = table(spark, sf, "events")
+    told = f"{shared_dir(spark)}/weftline/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = stream.select("user_id", "event_id", F.when(F.col("event_type") == "view", 1).otherwise(2).cast("long").alias("label"))
+    run = follow(stream, m, "user_id", "label", "event_id").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{told}/state")
+    run.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{told}/out/batch={i}")).start().awaitTermination()
+    # of a user's rows the one that has seen most is the last
+    last = spark.read.parquet(f"{told}/out").groupBy("user_id").agg(F.max(F.struct("seen", "accepted")).alias("x"))
+    return last.select("user_id", "x.seen", "x.accepted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.machine import Machine
@@ -90,14 +90,17 @@ PACKED = "fst_id long, start int, finals array<double>, offsets array<int>, arcs
 
 
 def freeze(fst: Fst) -> DataFrame:
-    """A row for each machine: start, final weights by state, where each state's arcs begin, and sorted arcs."""
+    """A row for each machine: start, final weights by state, where each state's arcs begin, and sorted arcs.
+
+    A packed machine is one row, so its arcs have to fit in a worker.
+    """
     fst = fst.renumber()
     sizes = fst.states.select("fst_id", F.col("state").alias("src"), "final_weight").join(fst.arcs.groupBy("fst_id", "src").agg(F.count(F.lit(1)).alias("n")), ["fst_id", "src"], "left")
-    by_state = sizes.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", F.coalesce("final_weight", F.lit(INF)).alias("f"), F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
+    sizes = sizes.select("fst_id", "src", F.coalesce("final_weight", F.lit(INF)).alias("f"), F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("fst_id").orderBy("src")).cast("int").alias("upto"))
+    by_state = sizes.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", "f", "upto"))).alias("s"))
     arcs = fst.arcs.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", "ilabel", "olabel", "weight", F.col("dst").cast("int").alias("dst")))).alias("a"))
     x = fst.meta.join(by_state, "fst_id", "left").join(arcs, "fst_id", "left")
-    counts = F.transform("s", lambda v: v["n"].cast("int"))
-    offsets = F.transform(F.sequence(F.lit(0), F.size("s")), lambda i: F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda t, v: t + v))
+    offsets = F.concat(F.array(F.lit(0)), F.transform("s", lambda v: v["upto"]))
     none = F.array().cast("array<struct<ilabel:long,olabel:long,weight:double,dst:int>>")
     return x.select("fst_id", F.col("start").cast("int").alias("start"), F.coalesce(F.transform("s", lambda v: v["f"]), F.array().cast("array<double>")).alias("finals"), F.coalesce(offsets, F.array(F.lit(0))).alias("offsets"), F.coalesce(F.transform("a", lambda v: F.struct(v["ilabel"].alias("ilabel"), v["olabel"].alias("olabel"), v["weight"].alias("weight"), v["dst"].alias("dst"))), none).alias("arcs"))
 
@@ -106,7 +109,8 @@ def thaw(packed: DataFrame, like: Fst) -> Fst:
     """The batch that freeze() packed."""
     meta = packed.select("fst_id", F.col("start").cast("long").alias("start"))
     states = packed.select("fst_id", F.posexplode("finals").alias("state", "w")).select("fst_id", F.col("state").cast("long").alias("state"), F.when(F.col("w") != INF, F.col("w")).alias("final_weight"))
-    arcs = packed.select("fst_id", "offsets", F.posexplode("arcs").alias("p", "a"))
-    src = F.size(F.filter("offsets", lambda o: o <= F.col("p"))) - 1
-    arcs = arcs.select("fst_id", src.cast("long").alias("src"), "a.ilabel", "a.olabel", "a.weight", F.col("a.dst").cast("long").alias("dst"))
+    # each state's arcs as an array of their own, so that an arc needs no search for its state
+    by_state = F.transform(F.sequence(F.lit(1), F.size("finals")), lambda i: F.slice("arcs", F.get("offsets", i - 1) + 1, F.get("offsets", i) - F.get("offsets", i - 1)))
+    arcs = packed.filter(F.size("finals") > 0).select("fst_id", F.posexplode(by_state).alias("src", "out")).select("fst_id", F.col("src").cast("long").alias("src"), F.explode("out").alias("a"))
+    arcs = arcs.select("fst_id", "src", "a.ilabel", "a.olabel", "a.weight", F.col("a.dst").cast("long").alias("dst"))
     return like.with_(meta=meta, states=states, arcs=arcs)

@@ -7,11 +7,13 @@ labels, 1 turns bytes into this package's labels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.model import Fst, InvalidMachine
+from weftline.plans.prefix import numbered
 from weftline.semiring import INF, SEMIRINGS, weight_text
+from weftline.sources.binary import file_ids
 
 
 class InvalidFormat(InvalidMachine):
@@ -47,11 +49,11 @@ def parse_lines(lines: DataFrame, label_shift: int = 0, semiring: str = "tropica
     return Fst(start, states, arcs.drop("line_no"), SEMIRINGS[semiring], "byte_plus_one" if label_shift else "raw")
 
 
-def read_att(spark: SparkSession, path: str, glob: str | None = None, label_shift: int = 0, semiring: str = "tropical") -> tuple[Fst, DataFrame]:
-    """All files under path as one batch, and the table of their names (fst_id, file); ids go by name."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.input_file_name().alias("file"), "value")
-    names = files.select("file").distinct().withColumn("fst_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
-    lines = files.join(F.broadcast(names), "file").select("fst_id", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+def read_att(spark: SparkSession, path: str, glob: str | list[str] | None = None, label_shift: int = 0, semiring: str = "tropical") -> tuple[Fst, DataFrame]:
+    """All files under path that fit a glob (or one of several), as one batch, and the table of their names (fst_id, file); ids go by name."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="{" + ",".join(glob) + "}" if isinstance(glob, (list, tuple)) else glob).select(F.input_file_name().alias("file"), "value")
+    names = file_ids(files)
+    lines = files.join(names, "file").select("fst_id", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return parse_lines(lines, label_shift, semiring), names.select("fst_id", "file")
 
 
@@ -64,8 +66,10 @@ def att_lines(fst: Fst) -> DataFrame:
     w = F.when(F.col("final_weight") != 0, weight_text(F.col("final_weight")))
     finals = fst.states.filter("final_weight is not null").join(meta, "fst_id")
     finals = finals.select("fst_id", F.struct(F.lit(1).alias("part"), (F.col("state") != F.col("start")).alias("later"), F.col("state").alias("s"), F.lit(0).alias("o")).alias("k"), F.concat_ws("\t", "state", w).alias("value"))
-    order = Window.partitionBy("fst_id").orderBy("k")
-    return arcs.unionByName(finals).select("fst_id", F.row_number().over(order).cast("long").alias("line_no"), "value")
+    # numbered in cells of states, so that a large machine is not one window
+    cell = (F.col("k.part") * 2 + F.when(F.col("k.later"), 1).otherwise(0)).cast("long") * 2**40 + F.shiftright(F.col("k.s"), 12)
+    lines = arcs.unionByName(finals).withColumn("cell", cell)
+    return numbered(lines, ["fst_id"], "cell", [F.col("k")], "line").select("fst_id", (F.col("line") + 1).alias("line_no"), "value")
 
 
 def write_att(fst: Fst, path: str) -> None:
