@@ -14,12 +14,13 @@ comparison for all pairs between different components that share a band, confirm
 So no pair that could still join two components is left out, and no pair is a row unless it is a candidate of a hub.
 
 No bucket, class or component is collected anywhere: all are joins and aggregations, with tables written to the shared
-folder between rounds. Class ids are 64-bit hashes of the shingle set.
+folder between rounds. Class ids are 64-bit hashes of the shingle set, so that of n different sets two are taken for one
+with probability n^2 / 2^65 (3 percent at 10^9), without a comparison of their members; every other link is confirmed.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text with fewer words than a shingle is one
 shingle; a null or wordless text has no shingles and is linked with nothing; rows of one id are documents of their
 own, with the component of their text; null ids have no number of their own, so a component of null ids only is null;
-an empty table gives no rows; other columns are ignored.
+a text of any length counts as a whole and is hashed in parts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,19 +57,71 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_P), run(pow(_P, -1, 2**64))
 
 
-_cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_UP, _DOWN = _powers((1 << 19) + 1)
+LONG = 1 << 19  # bytes of a text that are hashed at a time
+
+
+def _word_hashes(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of words from their first to their last byte, but for their length; total are sums of byte values times powers."""
+    return (total[last + 1] - total[first]) * _DOWN[first]
+
+
+def _ended(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mixed(raw + length.astype(np.uint64) * ODD[31])
+
+
+def _words_of_long(data: np.ndarray) -> np.ndarray:
+    """Word hashes of a text of any length, LONG bytes at a time; a word that a part ends in is carried on."""
+    out, raw, length = [], np.uint64(0), 0
+    for at in range(0, len(data), LONG):
+        part = data[at : at + LONG]
+        n, space = len(part), _space[part]
+        begins, ends = ~space, ~space
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        total = np.r_[np.uint64(0), np.cumsum(TABLE[_lower[part]] * _UP[:n], dtype=np.uint64)]
+        v, m = _word_hashes(total, first, last), last - first + 1
+        if length and len(first) and first[0] == 0:
+            v[:1] = raw + v[:1] * np.uint64(pow(_P, length, 2**64))
+            m[0] += length
+        elif length:
+            out.append(_ended(np.array([raw]), np.array([length])))
+        raw, length = np.uint64(0), 0
+        if len(last) and last[-1] == n - 1:
+            raw, length, v, m = v[-1], int(m[-1]), v[:-1], m[:-1]
+        out.append(_ended(v, m))
+    if length:
+        out.append(_ended(np.array([raw]), np.array([length])))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _shingles(w: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each `words` words in a row; there are at least so many."""
+    n = len(w) - words + 1
+    full = w[:n] * ODD[32]
+    for i in range(1, words):
+        full = full + w[i : n + i] * ODD[32 + i]
+    return mixed(full)
+
+
+def _short(w: np.ndarray) -> np.ndarray:
+    """Fewer words than a shingle has, as one shingle."""
+    return mixed(np.uint64(len(w) * int(ODD[50]) % 2**64) + (w * ODD[32 : 32 + len(w)]).sum(keepdims=True))
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit shingle hashes) of every text, whole texts at a time."""
+    """(row, sorted distinct 64-bit shingle hashes) of every whole text; what is held grows with the number of its words."""
     for data, offsets, rows, _ in pieces(column):
         n = len(data)
+        if n > LONG:
+            for i, row in enumerate(rows):  # a long text is a piece of its own
+                w = _words_of_long(data[offsets[i] : offsets[i + 1]])
+                yield int(row), np.unique(_shingles(w, words)) if len(w) >= words else _short(w) if len(w) else np.empty(0, np.uint64)
+            continue
         if not n:
             yield from ((int(r), np.empty(0, np.uint64)) for r in rows)
             continue
-        if "powers" not in _cache or len(_cache["powers"][0]) < n + 1:
-            _cache["powers"] = _powers(max(n + 1, 1 << 20))
-        up, down = _cache["powers"]
         space = _space[data]
         begins = ~space
         begins[1:] &= space[:-1]
@@ -80,22 +133,16 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
         ends[inner[inner > 0] - 1] = ~space[inner[inner > 0] - 1]
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLE[_lower[data]] * up[:n], out=total[1:])
-        w = mixed((total[last + 1] - total[first]) * down[first] + (last - first + 1).astype(np.uint64) * ODD[31])
+        np.cumsum(TABLE[_lower[data]] * _UP[:n], out=total[1:])
+        w = _ended(_word_hashes(total, first, last), last - first + 1)
         bounds = np.searchsorted(first, offsets)
-        full = np.zeros(0, np.uint64)
-        if len(w) >= words:
-            full = w[: len(w) - words + 1] * ODD[32]
-            for i in range(1, words):
-                full = full + w[i : len(w) - words + 1 + i] * ODD[32 + i]
-            full = mixed(full)
+        full = _shingles(w, words) if len(w) >= words else np.zeros(0, np.uint64)
         for i, row in enumerate(rows):
             lo, hi = bounds[i], bounds[i + 1]
             if hi - lo >= words:
                 yield int(row), np.unique(full[lo : hi - words + 1])
             elif hi > lo:
-                short = np.uint64(int(hi - lo) * int(ODD[50]) % 2**64) + (w[lo:hi] * ODD[32 : 32 + hi - lo]).sum(keepdims=True)
-                yield int(row), mixed(short)
+                yield int(row), _short(w[lo:hi])
             else:
                 yield int(row), np.empty(0, np.uint64)
 
@@ -280,13 +327,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = texts.withColumn("hash", F.xxhash64("text"))
     signed = materialise(hashed.mapInArrow(lambda b: _sign(b, words), "id long, hash long, n long, node long, sig binary"), "signed")
-    classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    # rep is the class's smallest id; where is a row whose text stands for the class
+    classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct("hash", "id")).alias("where"), F.first("sig").alias("sig")), "classes")
     rows = classes.select("node", "sig").mapInArrow(_bands, "key long, node long")
     shared = rows.groupBy("key").count().filter("count > 1").select("key")
     members = materialise(rows.join(shared, "key"), "members")
     sigs = materialise(classes.join(members.select("node").distinct(), "node", "left_semi"), "candidates")
-    wanted = sigs.select("node", F.col("rep").alias("id"))
-    sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text")
+    wanted = sigs.select("node", F.col("where.hash").alias("hash"), F.col("where.id").alias("id"))
+    sets = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["id"].eqNullSafe(wanted["id"])).select("node", "text")
     sets = materialise(sets.mapInArrow(lambda b: _keep_sets(b, words), "node long, members binary").dropDuplicates(["node"]), "sets")
     steps = least_matches(percent / 100, miss)
 
@@ -305,17 +353,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         label = components(edges).select(F.col("node").alias("comp"), "label")
         return materialise(comp.join(label, "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "components")
 
-    def still_mixed(comp: DataFrame) -> tuple[DataFrame, int]:
-        """Members of buckets that hold several components, and how many rows these are."""
+    def still_mixed(comp: DataFrame, turn: int) -> tuple[DataFrame, int]:
+        """Members of buckets that hold several components, with their bucket's smallest node and its hub of this turn, and how many rows these are.
+
+        A bucket of any size is summed up in parts before the shuffle. The sums are written first, so that the join knows
+        their size: it needs no shuffle of the members, or is split where a bucket is large.
+        """
         placed = members.join(comp, "node")
-        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        placed = materialise(placed.join(several, "key"), "mixed")
+        hub = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn)))
+        sums = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("low"), hub.alias("hub"))
+        sums = materialise(sums.filter("lo < hi").select("key", "low", "hub"), "buckets")
+        placed = materialise(placed.join(sums, "key"), "mixed")
+        discard(sums)
         return placed, placed.count()
 
     def all_between(placed: DataFrame) -> DataFrame:
         """Links between components that share a bucket, by blocks."""
-        low = placed.groupBy("key").agg(F.min("node").alias("low"))
-        home = placed.join(low, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("home"))
+        home = placed.groupBy("node").agg(F.first("comp").alias("comp"), F.min("low").alias("home"))
         home = home.join(sets, "node").join(sigs.select("node", "sig"), "node")
         size = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES)).alias("n"))
         block = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n")))
@@ -328,30 +382,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         of = lambda s: packs.select(F.col("block").alias(f"block_{s}"), F.col("pack").alias(f"pack_{s}"))
         units = units.join(of("x"), "block_x").join(of("y"), "block_y").select("pack_x", "pack_y", (F.col("block_x") == F.col("block_y")).alias("same"))
         with arrow_rows(spark, 4):
-            return materialise(units.mapInArrow(lambda b: _meet(b, steps, percent), "a long, b long"), "links")
+            links = materialise(units.mapInArrow(lambda b: _meet(b, steps, percent), "a long, b long"), "links")
+        discard(packs)
+        return links
 
     comp = sigs.select("node", F.col("node").alias("comp"))
-    placed, left = still_mixed(comp)
+    placed, left = still_mixed(comp, 0)
     for i in range(hub_rounds):
         if not left:
             break
-        hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias("hub"))
-        pairs = placed.join(hubs, "key").filter("comp <> hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        pairs = placed.filter("comp <> hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         best = survivors(pairs).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
         with arrow_rows(spark, 128):
             links = materialise(confirmed(best), "links")
         if not links.count():
             break
-        comp = joined(comp, links)
-        discard(placed)
-        placed, left = still_mixed(comp)
+        old, comp = comp, joined(comp, links)
+        discard(placed, links, old)
+        placed, left = still_mixed(comp, i + 1)
     if left:
         comp = joined(comp, all_between(placed))
     ids = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = ids.join(smallest, "comp").select("node", "component_id")
     out = signed.select("id", "hash", "n", "node").join(ids, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = materialise(out, "near-duplicates")
+    discard(signed, classes, members, sigs, sets, placed, comp)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

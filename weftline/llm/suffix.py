@@ -1,29 +1,35 @@
-"""Repeated byte strings across documents, found over a prefix-free parse.
+"""Repeated byte strings across documents, found over a prefix-free parse whose suffixes are put in corpus order.
 
 A rolling hash of 32 bytes triggers phrases. In each string of LENGTH (100) bytes the smallest of its 32-byte hashes,
 the last one if several are equal, is its trigger, which its content alone decides. A phrase is a run of places whose
 100-byte strings have the same trigger; its text reaches to the end of the last of them. So phrases cover every
 place, and equal 100-byte strings lie at the same distance from equal triggers: a string can be repeated only inside
-phrases of one trigger. Equal phrases are one entry of the dictionary, and the parse is what remains of the corpus:
-(trigger, phrase, document, place) rows. A document is an id and the hash of its text.
-
-Corpus order is needed only up to 100 bytes, and of that only which strings are equal and which is the earliest. So
-where a suffix array would sort suffixes by their bytes, the suffixes of the dictionary are sorted by a 96-bit hash
-of their first 100 bytes, then by document and place:
-
-1. parse: every phrase is sorted by (trigger, phrase, document, place). All but the first occurrence of a phrase
-   repeat earlier text as a whole.
-2. dictionary: first occurrences of different phrases of one trigger may share some of their strings, but only on a
-   side of the trigger on which the next 32 bytes agree: a string reaches 34 bytes beyond its trigger on one side at
-   least. Phrases of which a side agrees are cut into the 100-byte strings that reach there, and these are sorted by
-   (hash, document, place); all but the first repeat.
+phrases of one trigger. The dictionary has each different phrase of a trigger once; the parse is what remains of the
+corpus: (trigger, phrase, document, place) rows. A document is an id and the hash of its text.
+
+Corpus order is needed to a depth of 100 bytes, and every suffix is that long inside its phrase. So what follows a
+phrase never decides, and the order is made of two parts:
+
+1. parse: its rows are sorted by (trigger, phrase, document, place). All but the first occurrence of a phrase repeat
+   earlier text as a whole; the first one stands for the phrase in the dictionary.
+2. dictionary: the phrases of a trigger, with their bytes, meet in one place, and their suffixes of 100 bytes and more
+   are sorted by their bytes and, where 100 bytes agree, by the first occurrence's document and place: a suffix array to
+   depth 100 merged with the parse's order. All but the first of a run of agreeing suffixes repeat earlier text.
+   Two phrases can share a string only on a side of the trigger on which the next 32 bytes agree, as a string reaches
+   34 bytes beyond its trigger on one side at least; only such sides of phrases go to the dictionary.
 3. the places found become spans of each document.
 
-Rows are sorted inside hash partitions and read as a stream, so no group of equal phrases is ever held in memory;
-equal phrases inside one piece of input are merged before the shuffle, which takes the heat off frequent passages.
-Two unequal strings count as equal only if 96 bits of hash agree.
+Rows are sorted inside hash partitions and read as a stream; equal phrases inside one piece of input are merged before
+the shuffle, which takes the heat off frequent passages. The suffixes of one trigger's phrases are sorted in memory, up
+to GROUP phrases. The phrases of a trigger with more are dealt out by their 100-byte strings, a row of bytes each, so
+that no worker holds them all; that is the same comparison, and takes about 4.6 KB of disk for such a phrase where
+others take 170 bytes.
 
-Defined results: a null text is empty; texts below 100 bytes keep everything; a null id is smaller than all others;
+Two different phrases of one trigger count as equal only if 88 bits of two independent hashes agree; strings of the
+dictionary are compared by their bytes.
+
+Defined results: a null text is empty; texts below 100 bytes keep everything; a very long text is parsed in parts that
+overlap by 99 bytes, with the same result; a null id is smaller than all others;
 rows of one id (null too) with one text count as the same document, so that equal places in them are not each other's
 repetition; rows of one id with different texts are documents of their own, told apart and ordered by a 64-bit hash of
 the text; an empty table gives no rows; other columns are ignored, or kept by without_repeats().
@@ -39,25 +45,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textbytes import ODD, byte_hashes, mixed, pieces, sliding_min, window_hashes
-from weftline.session import materialise, ship_by_value, shuffle_partitions, text_batches
+from weftline.llm.textbytes import ODD, TABLE, byte_hashes, mixed, pieces, sliding_min, window_hashes
+from weftline.session import discard, materialise, ship_by_value, shuffle_partitions, text_batches
 
 ship_by_value(__name__)
 
 LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its trigger, or behind it
 NO_ID = -(2**63)
-GROUP = 100_000  # phrases of one trigger that are compared by their sides; beyond, all of them are cut
+GROUP = 20_000  # phrases of one trigger whose suffixes are sorted in memory, 70 MB of them
+CHUNK = 4096  # phrases whose suffixes are sorted at a time, as far as triggers allow
 _LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
-PARSE = "k1 long, k2 long, doc long, twin long, at long"
-_PARSE = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "doc", "twin", "at")])
-_FOUND = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("open", pa.bool_())])
-FOUND = "doc long, twin long, first long, last long, open boolean"
-
-# A row of the parse: k1 is 40 bits of the trigger and 24 of the phrase; k2 is 32 more of the phrase, then 16 of the 32
-# bytes before the trigger and 16 of those behind it (0: no string of the phrase holds them). at is the place of the first
-# string, the trigger's distance from it, and the number of strings (1 to 69). doc is the id, twin the hash of the text. A row with at < 0 is a span that is known to
-# repeat: k2 is its start and -at its end.
+_POWERS = np.cumprod(np.r_[np.uint64(1), np.full((1 << 19) + LENGTH, ODD[20])], dtype=np.uint64)
+_INVERSE = np.cumprod(np.r_[np.uint64(1), np.full((1 << 19) + LENGTH, pow(int(ODD[20]), -1, 2**64), np.uint64)], dtype=np.uint64)
+PARSE = "k1 long, k2 long, sides int, doc long, twin long, at long"
+_PARSE = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sides", pa.int32()), *((c, pa.int64()) for c in ("doc", "twin", "at"))])
+FOUND = "t long, doc long, twin long, first long, last long, kind int"
+_FOUND = pa.schema([*((c, pa.int64()) for c in ("t", "doc", "twin", "first", "last")), ("kind", pa.int32())])
+REPEAT, OPEN, SPREAD = 0, 1, 2  # kinds: known to repeat; places whose strings go to the dictionary; the same for a trigger beyond GROUP
+PHRASES = "t long, spread boolean, doc long, twin long, at long, data binary"
+_PHRASES = pa.schema([("t", pa.int64()), ("spread", pa.bool_()), ("doc", pa.int64()), ("twin", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+SPANS = "doc long, twin long, first long, last long"
+_SPANS = pa.schema([(c, pa.int64()) for c in ("doc", "twin", "first", "last")])
+
+# A row of the parse: k1 is 40 bits of the trigger and 24 of the phrase; k2 is 64 bits of the phrase by another hash;
+# sides are 16 bits of the 32 bytes before the trigger and 16 of those behind it (0: no string of the phrase holds them).
+# at is the place of the first string, the trigger's distance from it, and the number of strings (1 to 69). doc is the
+# id, twin the hash of the text. A row with at < 0 is a span that is known to repeat: k2 is its start and -at its end.
 
 
 def _after(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, doc2: np.ndarray, twin2: np.ndarray, place2: np.ndarray) -> np.ndarray:
@@ -74,14 +88,14 @@ def _spans(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], twin[first], start[first], end[np.r_[first[1:] - 1, len(doc) - 1]]
 
 
-def _emit(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(k1: np.ndarray, k2: np.ndarray, sides: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of one piece: later occurrences of a phrase in it become spans here already."""
     place = at >> 16
     if len(doc) > 1 and _after(doc[:-1], twin[:-1], place[:-1], doc[1:], twin[1:], place[1:]).any():
         order = np.lexsort((place, twin, doc))
-        k1, k2, doc, twin, at, place = k1[order], k2[order], doc[order], twin[order], at[order], place[order]
-    order = np.argsort(k1, kind="stable")
-    one, two = k1[order], (k2 >> _32)[order]
+        k1, k2, sides, doc, twin, at, place = (x[order] for x in (k1, k2, sides, doc, twin, at, place))
+    order = np.lexsort((k2, k1))
+    one, two = k1[order], k2[order]
     new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(order)]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     later = np.zeros(len(order), bool)
@@ -89,21 +103,22 @@ def _emit(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, twin: np.ndarray, at:
     d, t, s, f = _spans(doc[later], twin[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1))
     spread = mixed(d.astype(np.uint64) * ODD[10] + s.astype(np.uint64)).view(np.int64)
     keep = ~later
-    columns = [np.concatenate(x) for x in ((k1[keep].view(np.int64), spread), (k2[keep].view(np.int64), s), (doc[keep], d), (twin[keep], t), (at[keep], -f))]
+    columns = [np.concatenate(x) for x in ((k1[keep].view(np.int64), spread), (k2[keep].view(np.int64), s), (sides[keep].view(np.int32), np.zeros(len(d), np.int32)), (doc[keep], d), (twin[keep], t), (at[keep], -f))]
     if len(columns[0]):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_PARSE)
 
 
 def _side(h32: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
     """16 bits, none of them 0, of the 32 bytes at the places that count."""
-    out = np.zeros(len(place), np.uint64)
-    out[there] = np.maximum(h32[place[there]] >> _48, np.uint64(1))
+    out = np.zeros(len(place), np.uint32)
+    out[there] = np.maximum(h32[place[there]] >> _48, np.uint64(1)).astype(np.uint32)
     return out
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, hash, text) -> phrases. Parts of a very long text are parsed each for itself, which only splits phrases."""
     width = LENGTH - GRAM + 1
+    powers, inverse = _POWERS, _INVERSE
     for batch in batches:
         ids, twins = np.asarray(batch.column(0).fill_null(NO_ID), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64)
         for data, offsets, rows, base in pieces(batch.column(2), overlap=LENGTH - 1):
@@ -127,10 +142,14 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spot = trigger[first]
             lead = spot - first
             e = mixed(w[first] * ODD[11] + w[last] * ODD[12] + run.astype(np.uint64) * ODD[13] + lead.astype(np.uint64) * ODD[14])
-            before, behind = _side(h32, spot - GRAM, lead >= SIDE), _side(h32, spot + GRAM, spot - last <= SIDE)
-            k1, k2 = ((h32[spot] >> _24) << _24) | (e >> _40), (e << _32) | (before << np.uint64(16)) | behind
+            if len(powers) <= len(data):
+                powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(data), x[1])], dtype=np.uint64) for x in (powers, inverse))
+            total = np.r_[np.uint64(0), np.cumsum(TABLE[data ^ np.uint8(0xA5)] * powers[: len(data)], dtype=np.uint64)]
+            other = mixed((total[last + LENGTH] - total[first]) * inverse[first] + run.astype(np.uint64) * ODD[15] + lead.astype(np.uint64) * ODD[16])
+            sides = (_side(h32, spot - GRAM, lead >= SIDE) << np.uint32(16)) | _side(h32, spot + GRAM, spot - last <= SIDE)
+            k1 = ((h32[spot] >> _24) << _24) | (e >> _40)
             p = part[first]
-            yield from _emit(k1, k2, ids[rows[p]], twins[rows[p]], ((first - offsets[p] + base[p]) << 16) | (lead << 8) | run)
+            yield from _emit(k1, other, sides, ids[rows[p]], twins[rows[p]], ((first - offsets[p] + base[p]) << 16) | (lead << 8) | run)
 
 
 def _packed(texts: pa.Array) -> pa.Array:
@@ -145,38 +164,9 @@ def _unpacked(data: list) -> list:
     return [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in data]
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, hash, compressed text, runs of places) -> a row for each 100-byte string at one of those places."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            batch = whole.slice(lo, 500)
-            ids, twins = (np.asarray(batch.column(i), dtype=np.int64) for i in range(2))
-            runs = batch.column(3)
-            run_offsets = np.asarray(runs.offsets)
-            flat = runs.values
-            starts, ends = np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
-            for data, offsets, rows, base in pieces(pa.array(_unpacked(batch.column(2).to_pylist()), pa.large_binary()), overlap=LENGTH - 1):
-                if len(data) < LENGTH:
-                    continue
-                _, h64, _ = byte_hashes(data)
-                w, w2 = window_hashes(h64, LENGTH)
-                n = len(w)
-                change = np.zeros(n + 1, np.int64)
-                for p, row in enumerate(rows):
-                    s, f = starts[run_offsets[row] : run_offsets[row + 1]] - base[p], ends[run_offsets[row] : run_offsets[row + 1]] - base[p]
-                    limit = max(0, offsets[p + 1] - offsets[p] - LENGTH + 1)
-                    s, f = np.clip(s, 0, limit) + offsets[p], np.clip(f, 0, limit) + offsets[p]
-                    np.add.at(change, np.minimum(s, n), 1)
-                    np.add.at(change, np.minimum(f, n), -1)
-                at = np.flatnonzero(np.cumsum(change[:n]) > 0)
-                if len(at):
-                    part = np.searchsorted(offsets, at, side="right") - 1
-                    yield from _emit(w[at], (w2[at] >> _32) << _32, ids[rows[part]], twins[rows[part]], ((at - offsets[part] + base[part]) << 16) | 1)
-
-
-def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, all_: bool = False) -> tuple[np.ndarray, ...]:
+def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, kind: int = OPEN) -> tuple[np.ndarray, ...]:
     """Which strings of first occurrences may be shared with other phrases of their trigger; rows come by t."""
-    if all_:
+    if kind == SPREAD:
         before = behind = np.ones(len(t), bool)
     else:
         group = np.cumsum(np.r_[False, t[1:] != t[:-1]]).astype(np.int64)
@@ -185,23 +175,23 @@ def _runs(t: np.ndarray, sides: np.ndarray, doc: np.ndarray, twin: np.ndarray, a
             _, back, n = np.unique((group << 16) | side, return_inverse=True, return_counts=True)
             return (n[back] > 1) & (side > 0)
 
-        before, behind = shared(sides >> 16), shared(sides & 0xFFFF)
+        before, behind = shared((sides >> 16) & 0xFFFF), shared(sides & 0xFFFF)
     use = before | behind
-    before, behind, doc, twin, at = before[use], behind[use], doc[use], twin[use], at[use]
+    before, behind, t, doc, twin, at = before[use], behind[use], t[use], doc[use], twin[use], at[use]
     place, lead, run = at >> 16, (at >> 8) & 255, at & 255
     middle = place + lead - SIDE  # strings from here reach SIDE bytes behind the trigger, up to here SIDE bytes before it
     first, last = np.where(before, place, np.maximum(place, middle)), np.where(behind, place + run, np.minimum(place + run, middle + 1))
     some = first < last
-    return doc[some], twin[some], first[some], last[some], np.ones(int(some.sum()), bool)
+    return t[some], doc[some], twin[some], first[some], last[some], np.full(int(some.sum()), kind, np.int32)
 
 
-def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k1, phrase, doc, twin, at), as a stream: spans of later occurrences, and runs of first ones that stay open.
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parse, sorted by (k1, k2, doc, twin, at), as a stream: spans of later occurrences, and first ones for the dictionary.
 
     Held between batches: the first occurrence of the last phrase, and the first occurrences of the last trigger's
-    phrases, up to GROUP; if there are more, all of them stay open.
+    phrases, up to GROUP.
     """
-    last = None  # k1, phrase, doc, twin and place of the last phrase's first occurrence
+    last = None  # k1, k2, doc, twin and place of the last phrase's first occurrence
     held = [np.empty(0, np.int64)] * 5
     large = None  # a trigger with more than GROUP phrases
 
@@ -210,41 +200,135 @@ def settle(batches: Iterator[pa.RecordBatch], keep_open: bool) -> Iterator[pa.Re
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
 
+    def repeats(doc: np.ndarray, twin: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple:
+        return np.zeros(len(doc), np.int64), doc, twin, first, end, np.full(len(doc), REPEAT, np.int32)
+
     for batch in batches:
-        k1, k2, doc, twin, at = (np.asarray(batch.column(i), dtype=np.int64) for i in range(5))
+        k1, k2, sides, doc, twin, at = (np.asarray(batch.column(i)).astype(np.int64) for i in range(6))
         known = at < 0
-        parts = [(doc[known], twin[known], k2[known], -at[known], np.zeros(int(known.sum()), bool))]
-        k1, k2, doc, twin, at = k1[~known], k2[~known], doc[~known], twin[~known], at[~known]
+        parts = [repeats(doc[known], twin[known], k2[known], -at[known])]
+        k1, k2, sides, doc, twin, at = (x[~known] for x in (k1, k2, sides, doc, twin, at))
         n = len(k1)
         if n:
-            place, e = at >> 16, (k2.view(np.uint64) >> _32).astype(np.int64)
-            new = np.r_[last is None or (k1[0], e[0]) != last[:2], (k1[1:] != k1[:-1]) | (e[1:] != e[:-1])]
+            place = at >> 16
+            new = np.r_[last is None or (k1[0], k2[0]) != last[:2], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
             source = np.maximum.accumulate(np.where(new, np.arange(n), -1))
             fd, ft, fp = (np.where(source >= 0, x[source], last[i] if last else 0) for i, x in ((2, doc), (3, twin), (4, place)))
             later = _after(doc, twin, place, fd, ft, fp)
-            parts.append((doc[later], twin[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1), np.zeros(int(later.sum()), bool)))
-            last = (k1[-1], e[-1], fd[-1], ft[-1], fp[-1])
-            if keep_open:
-                t = k1 >> 24
-                mine = [np.concatenate(x) for x in zip(held, (t[~later], (k2 & 0xFFFFFFFF)[~later], doc[~later], twin[~later], at[~later]), strict=True)]
-                over = (mine[0] == large) if large is not None else np.zeros(len(mine[0]), bool)
-                parts.append(_runs(*(x[over] for x in mine), all_=True))
-                mine = [x[~over] for x in mine]
-                go_on = mine[0] == t[-1]
-                parts.append(_runs(*(x[~go_on] for x in mine)))
-                held = [x[go_on] for x in mine]
-                if len(held[0]) > GROUP:
-                    large = t[-1]
-                    parts.append(_runs(*held, all_=True))
-                    held = [x[:0] for x in held]
+            parts.append(repeats(doc[later], twin[later], place[later], place[later] + (at[later] & 255) + (LENGTH - 1)))
+            last = (k1[-1], k2[-1], fd[-1], ft[-1], fp[-1])
+            t = k1 >> 24
+            mine = [np.concatenate(x) for x in zip(held, (x[~later] for x in (t, sides, doc, twin, at)), strict=True)]
+            over = (mine[0] == large) if large is not None else np.zeros(len(mine[0]), bool)
+            parts.append(_runs(*(x[over] for x in mine), kind=SPREAD))
+            mine = [x[~over] for x in mine]
+            go_on = mine[0] == t[-1]
+            done = [x[~go_on] for x in mine]
+            # a trigger that came and went inside this batch may have too many phrases as well
+            _, back, size = np.unique(done[0], return_inverse=True, return_counts=True)
+            many = size[back] > GROUP if len(back) else np.zeros(0, bool)
+            parts += [_runs(*(x[many] for x in done), kind=SPREAD), _runs(*(x[~many] for x in done))]
+            held = [x[go_on] for x in mine]
+            if len(held[0]) > GROUP:
+                large = t[-1]
+                parts.append(_runs(*held, kind=SPREAD))
+                held = [x[:0] for x in held]
         yield from out(parts)
-    if keep_open:
-        yield from out([_runs(*held)])
+    yield from out([_runs(*held)])
+
+
+def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, hash, compressed text, open runs of places) -> the dictionary: the bytes of each run, or of each of its strings."""
+    for batch in batches:
+        runs = batch.column(3)
+        offsets, flat = np.asarray(runs.offsets), runs.values
+        t, first, last, kind = (np.asarray(flat.field(i)).astype(np.int64) for i in range(4))
+        rows: list[tuple] = []
+        size = 0
+        for i, (doc, twin, packed) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            text = _unpacked([packed])[0] or b""
+            for j in range(offsets[i], offsets[i + 1]):
+                a, z = int(first[j]), int(last[j])
+                if kind[j] == SPREAD:
+                    rows += [(t[j], True, doc, twin, p, text[p : p + LENGTH]) for p in range(a, z)]
+                    size += (z - a) * LENGTH
+                else:
+                    rows.append((t[j], False, doc, twin, a, text[a : z + LENGTH - 1]))
+                    size += z - a + LENGTH
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), _PHRASES, strict=True)], schema=_PHRASES)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), _PHRASES, strict=True)], schema=_PHRASES)
+
+
+def suffix_array(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of byte strings (one after the other in data) all suffixes of LENGTH and more bytes, sorted by their first LENGTH bytes.
+
+    Returns the string and place of each suffix in that order, and whether it agrees with the one before it in LENGTH
+    bytes. Suffixes that agree stay in the order in which their strings came.
+    """
+    n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(row):
+        return row, place, np.zeros(0, bool)
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[offsets[:-1][row] + place]
+    strings = np.ascontiguousarray(view).view(f"S{LENGTH}").ravel()  # all are LENGTH long, so padding by zeros changes nothing
+    order = np.argsort(strings, kind="stable")
+    strings = strings[order]
+    return row[order], place[order], np.r_[False, strings[1:] == strings[:-1]]
+
+
+def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dictionary rows, sorted by (key, doc, twin, at), as a stream -> spans of strings that an earlier place has too.
+
+    Rows of one key are compared with each other. Held are rows of a few keys, CHUNK at least unless there are no more;
+    of spread strings, whose key is a hash of their bytes, one of each.
+    """
+    held: list[tuple] = []  # key, doc, twin, at, data
+    seen: dict[bytes, tuple] = {}
+    at_key = None
+
+    def sorted_out(rows: list[tuple]) -> Iterator[tuple]:
+        rows.sort(key=lambda r: r[1:4])  # corpus order, which the suffix array keeps among equal strings
+        rows = [r for i, r in enumerate(rows) if not i or r[:4] != rows[i - 1][:4]]  # rows of one id and text come twice
+        offsets = np.r_[0, np.cumsum([len(r[4]) for r in rows])]
+        row, place, same = suffix_array(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), offsets)
+        row, place = row[same], place[same]
+        order = np.lexsort((place, row))
+        row, place = row[order], place[order]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)][: len(row)])
+        ends = np.r_[new[1:], len(row)] - 1 if len(new) else new
+        for a, z in zip(new, ends, strict=True):
+            _, doc, twin, at, _ = rows[row[a]]
+            yield doc, twin, at + int(place[a]), at + int(place[z]) + LENGTH
+
+    def out(spans: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if spans:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], schema=_SPANS)
+
+    for batch in batches:
+        spans: list[tuple] = []
+        for key, spread, *where, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if spread:
+                if key != at_key:
+                    seen, at_key = {}, key
+                first = seen.setdefault(data, tuple(where))
+                if first != tuple(where):
+                    spans.append((*where, where[2] + LENGTH))
+                continue
+            if len(held) >= CHUNK and key != held[-1][0]:
+                spans += sorted_out(held)
+                held = []
+            held.append((key, *where, data))
+        yield from out(spans)
+    if held:
+        yield from out(list(sorted_out(held)))
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    trigger = F.shiftright("k1", 24)
-    return rows.repartition(shuffle_partitions(rows.sparkSession), trigger).sortWithinPartitions("k1", F.shiftrightunsigned("k2", 32), "doc", "twin", "at")
+def _sorted(rows: DataFrame, key: Column, *order: str) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), key).sortWithinPartitions(*order)
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -260,18 +344,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     key, twin = _key(id_col, text_col)
     texts = docs.select(key.alias("key"), twin.alias("twin"), F.col(text_col).alias("text"))
-    found = materialise(_sorted(texts.mapInArrow(parse, PARSE)).mapInArrow(lambda b: settle(b, True), FOUND), "phrases")
-    runs = found.filter("open").groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    parsed = _sorted(texts.mapInArrow(parse, PARSE), F.shiftright("k1", 24), "k1", "k2", "doc", "twin", "at")
+    found = materialise(parsed.mapInArrow(settle, FOUND), "phrases")
+    runs = found.filter(F.col("kind") != REPEAT).groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("t", "first", "last", "kind")).alias("runs"))
     small = texts.select("key", "twin", F.arrow_udf(_packed, "binary")("text").alias("data"))
-    strings = small.join(runs, ["key", "twin"]).select("key", "twin", "data", "runs").mapInArrow(cut, PARSE)
-    more = _sorted(strings).mapInArrow(lambda b: settle(b, False), FOUND)
-    spans = found.filter("not open").unionByName(more)
-    return spans.groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    phrases = small.join(runs, ["key", "twin"]).select("key", "twin", "data", "runs").mapInArrow(entries, PHRASES)
+    # strings of a trigger with too many phrases meet by their bytes' hash, others by their trigger
+    phrases = phrases.withColumn("t", F.when(F.col("spread"), F.xxhash64("data")).otherwise(F.col("t")))
+    more = _sorted(phrases, F.col("t"), "t", "spread", "doc", "twin", "at").mapInArrow(dictionary, SPANS)
+    spans = found.filter(F.col("kind") == REPEAT).select("doc", "twin", "first", "last").unionByName(more)
+    spans = materialise(spans.groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(found)
+    return spans
 
 
 def _merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, f in sorted((x["first"], min(x["last"], n)) for x in spans or ()):
+    for s, f in sorted((min(x["first"], n), min(x["last"], n)) for x in spans or ()):
+        if s == f:
+            continue
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(f, out[-1][1]))
         else:
