@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import struct
 import zlib
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,7 +86,7 @@ def mix(docs, seed="mix-1"):
         sizes[d["source"]] = sizes.get(d["source"], 0) + words(d["text"])
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     aims = targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
-    key = lambda d: (hashlib.md5(f"{'' if d['doc_id'] is None else d['doc_id']}|{seed}".encode()).hexdigest(), words(d["text"]))
+    key = lambda d: (hashlib.md5(f"{'' if d['doc_id'] is None else d['doc_id']}|{seed}|{d['text'] or ''}".encode()).hexdigest(), words(d["text"]))
     taken = [0] * len(docs)
     for s in names:
         whole = math.floor(aims[s] / sizes[s]) if sizes[s] else 0
@@ -113,7 +114,7 @@ def pack(docs, n_buckets=8, budget=16384, seed="pack-1"):
     out = []
     for b, end in enumerate(ends):
         rows = [d for d in docs if (ends[b - 1] if b else -1) < words(d["text"]) <= end]
-        rows.sort(key=lambda d: (hashlib.md5(f"{'' if d['doc_id'] is None else d['doc_id']}|{seed}".encode()).hexdigest(), words(d["text"])))
+        rows.sort(key=lambda d: (hashlib.md5(f"{'' if d['doc_id'] is None else d['doc_id']}|{seed}|{d['text'] or ''}".encode()).hexdigest(), words(d["text"])))
         per = max(1, budget // max(1, end))
         out += [(d["doc_id"], words(d["text"]), b, end, i // per, i % per) for i, d in enumerate(rows)]
     return out
@@ -129,3 +130,147 @@ def shards(docs, n=8):
         slots[s] += 1
         before += size
     return out
+
+
+def leaves(text):
+    """Each paragraph's leaves: lines with their break, cut after white space that follows a stop, and after 64 characters."""
+    out = []
+    for line in (text or "").split("\n"):
+        line += "\n"
+        paragraph, now, stop = [], "", False
+        for i, c in enumerate(line):
+            now += c
+            stop = (stop and c.isspace()) or (c in ".!?" and i + 1 < len(line) and line[i + 1].isspace())
+            if (stop and c.isspace() and (i + 1 == len(line) or not line[i + 1].isspace())) or i + 1 == len(line):
+                paragraph += [now[k : k + 64] for k in range(0, len(now), 64)]
+                now, stop = "", False
+        out.append(paragraph)
+    return out
+
+
+def tree_print(text):
+    """The fingerprint, from the bottom up, and all leaves in order."""
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    sections, now = [], []
+    paragraphs = leaves(text)
+    for k, paragraph in enumerate(paragraphs):
+        hashes = [h(x.encode("utf-8", "surrogatepass")) for x in paragraph]
+        digest = h(b"P" + b"".join(hashes))
+        now.append((digest, hashes))
+        if not "".join(paragraph).strip() or digest[0] % 8 == 0 or k + 1 == len(paragraphs):
+            sections.append((h(b"S" + b"".join(d for d, _ in now)), now))
+            now = []
+    root = h(b"R" + b"".join(d for d, _ in sections))
+    body = ";".join(d.hex()[:8] + "=" + ",".join(p.hex()[:8] + "+" + ".".join(x.hex()[:8] for x in xs) for p, xs in ps) for d, ps in sections)
+    return root.hex() + ":" + body, [x for p in paragraphs for x in p]
+
+
+def dice_of(one, two):
+    """2 * common / all of two lists, copies counted."""
+    rest, both = list(two), 0
+    for x in one:
+        if x in rest:
+            rest.remove(x)
+            both += 1
+    return 2 * both / (len(one) + len(two))
+
+
+def first_difference(one, two):
+    """The offset in two of the first leaf that differs."""
+    at = 0
+    for x, y in itertools.zip_longest(one, two):
+        if x != y:
+            return at
+        at += len(y)
+    return -1
+
+
+def trigrams(text):
+    """place -> count."""
+    code = lambda b: b - 100 if b > 127 else ord(chr(b).lower()) - 96 if chr(b).isalpha() else 0
+    c, out = [code(b) for b in text.encode()], {}
+    for x, y, z in zip(c, c[1:], c[2:], strict=False):
+        if gram := (x * 160 + y) * 160 + z:
+            place = gram * 2654435769 % 2**32 >> 20
+            out[place] = out.get(place, 0) + 1
+    return out
+
+
+class Language:
+    """Nearest centroid in float64, over dictionaries."""
+
+    def __init__(self, labelled, clusters=4, enough=10):
+        grams = {lang: [trigrams(t) for t in sorted(ts, key=self._order)] for lang, ts in labelled.items()}
+        n = sum(map(len, grams.values()))
+        seen = {}
+        for gs in grams.values():
+            for g in gs:
+                for p in g:
+                    seen[p] = seen.get(p, 0) + 1
+        self.idf, self.n = {p: math.log((1 + n) / (1 + k)) + 1 for p, k in seen.items()}, n
+        self.centroids = [(lang, c) for lang in sorted(grams) for c in self._cluster([self.vector(g) for g in grams[lang]], clusters)]
+        sizes = {}
+        for gs in grams.values():
+            for g in gs:
+                sizes.setdefault(int(math.log2(max(1, sum(g.values())))), []).append(self.nearest(self.vector(g))[1])
+        self.limits, low = {}, 0.0
+        for s in range(33):
+            if len(sizes.get(s, [])) >= enough:
+                low = self._quantile(sizes[s], 0.01) / 2
+                self.limits[s] = low
+            elif self.limits:
+                self.limits[s] = low
+
+    @staticmethod
+    def _order(text):
+        g = sorted(trigrams(text).items())
+        return b"".join(p.to_bytes(2, "little") for p, _ in g), b"".join(struct.pack("<f", n) for _, n in g)
+
+    @staticmethod
+    def _quantile(values, q):
+        v = sorted(values)
+        at = q * (len(v) - 1)
+        return v[int(at)] + (at - int(at)) * (v[min(int(at) + 1, len(v) - 1)] - v[int(at)])
+
+    def vector(self, grams):
+        x = {p: math.log1p(k) * self.idf.get(p, math.log(1 + self.n) + 1) for p, k in grams.items()}
+        return self._unit(x)
+
+    @staticmethod
+    def _unit(x):
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {p: v / size for p, v in x.items()} if size else x
+
+    @staticmethod
+    def _dot(x, y):
+        return sum(v * y.get(p, 0.0) for p, v in x.items())
+
+    def _sum(self, xs):
+        out = {}
+        for x in xs:
+            for p, v in x.items():
+                out[p] = out.get(p, 0.0) + v
+        return out
+
+    def _cluster(self, xs, k):
+        mean = self._sum(xs)
+        first = lambda values: max(range(len(values)), key=lambda i: (round(values[i], 9), -i))
+        cs = [xs[first([self._dot(x, mean) for x in xs])]]
+        while len(cs) < min(k, len(xs)):
+            cs.append(xs[first([-max(self._dot(x, c) for c in cs) for x in xs])])
+        for _ in range(12):
+            mine = [first([self._dot(x, c) for c in cs]) for x in xs]
+            cs = [self._unit(self._sum([x for x, m in zip(xs, mine, strict=True) if m == i])) for i in range(len(cs)) if i in mine]
+        return cs
+
+    def nearest(self, v):
+        scores = [self._dot(v, c) for _, c in self.centroids]
+        i = max(range(len(scores)), key=lambda i: (scores[i], -i))
+        return self.centroids[i][0], scores[i]
+
+    def __call__(self, text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        g = trigrams(text)
+        lang, score = self.nearest(self.vector(g))
+        return lang, score, score <= 0 or score < self.limits.get(int(math.log2(max(1, sum(g.values())))), 0.0)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import textwrap
 import zlib
 
@@ -82,16 +83,21 @@ def test_mixing(spark, extra):
 
 
 def test_mixed_rows(spark):
+    """Each source's rows hold what its documents take, also where rows share an id, or have none, or are equal."""
     rows = corpus(3)
+    rows += [dict(rows[20], source="s1"), dict(rows[21], doc_id=rows[22]["doc_id"]), dict(rows[23], doc_id=None), dict(rows[24], doc_id=None), dict(rows[24], doc_id=None, source="s2")]
+    rows += [{"doc_id": 9, "text": "a b c d e f g", "lang": None, "source": "same", "n_chars": 13 + i} for i in range(40)]
     docs = frame(spark, rows)
     mixed = mixing.mix(docs)
     out = mixing.mixed_rows(docs, mixed)
     assert out.columns == docs.columns
-    taken = {r["doc_id"]: r["taken"] for r in mixed.collect()}
-    got = {}
+    taken, got, copies = {}, {}, {}
+    for r in mixed.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     for r in out.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + brute.words(r["text"])
-        assert r["n_chars"] == len(r["text"])
+        got[r["source"]] = got.get(r["source"], 0) + brute.words(r["text"])
+        copies[(r["doc_id"], r["text"])] = copies.get((r["doc_id"], r["text"]), 0) + 1
+        assert r["n_chars"] == len(r["text"]) or r["source"] == "same"
     assert got == {k: v for k, v in taken.items() if v}
 
 
@@ -176,6 +182,25 @@ def test_language(spark):
     assert (again.centroids == model.centroids).all()
 
 
+def test_language_against_a_plain_version(spark):
+    """Every prediction, score and rejection; ties, repeated rows and columns with clashing names."""
+    dice = random.Random(12)
+    pools = {"aa": "der die das und nicht ein zu haben werden", "bb": "the of and to in that it is was", "cc": "été où ça être avoir à les une"}
+    word = lambda x: dice.choice(pools[x].split()) + dice.choice(["", "", "en", "ing", "és"])
+    rows = [(i, " ".join(word(x) for _ in range(dice.randint(10, 60))), x) for i, x in enumerate(sorted(pools) * 25)]
+    rows += [(rows[0][0], *rows[0][1:]), (None, *rows[1][1:]), (900, None, "aa"), (901, "", "bb"), (902, "ab", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("chance", F.lit("x")).withColumn("n", F.lit(1)).withColumn("at", F.lit(2)).withColumn("lang_pred", F.lit("zz"))
+    model = langid.fit(labelled)
+    plain = brute.Language({x: [t for _, t, y in rows if y == x and t is not None] for x in pools})
+    odd = ["zq xj kv wq" * 20, "12 !!", "", None, "der the été", "the " * 40, "中文字符" * 20, "THE OF AND TO " * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t, _ in rows] + odd)], "i long, text string")
+    for r in df.select("text", langid.identify(model, F.col("text")).alias("x")).collect():
+        lang, score, rejected = plain(r["text"])
+        assert r["x"]["lang_pred"] == lang and abs(r["x"]["score"] - score) < 2e-5, r
+        if r["text"] and len(r["text"]) > 80 and abs(score - 0.1) > 1e-3:
+            assert r["x"]["rejected"] == rejected, (r, score)
+
+
 def test_language_of_short_texts(spark):
     """Lengths that the sample lacks have limits too, on tables of any size."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -192,6 +217,7 @@ def test_language_of_short_texts(spark):
 
 @pytest.mark.parametrize("extra", [False, True])
 def test_fingerprints(spark, extra):
+    """Against a plain version of trees, likeness and first edits."""
     rows = corpus(8)
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_neighbours(frame(spark, rows, extra)).collect()}
     order = sorted(rows, key=lambda r: r["doc_id"])
@@ -199,27 +225,81 @@ def test_fingerprints(spark, extra):
     for i, r in enumerate(order):
         text, after = r["text"] or "", order[(i + 1) % len(order)]["text"] or ""
         new = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        (mine, leaves), (edited, new_leaves), (_, after_leaves) = map(brute.tree_print, (text, new, after))
         x = got[r["doc_id"]]
         assert x["n_chars"] == len(text) and x["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
-        assert x["fingerprint"] == fingerprints.fingerprint(text) and x["edited_fingerprint"] == fingerprints.fingerprint(new)
-        assert x["near_edited"] == fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(new))
-        assert x["near_next"] == fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(after))
-        assert (x["fingerprint"] == x["edited_fingerprint"]) == (text == new) == (x["near_edited"] == 1)
+        assert x["fingerprint"] == mine and x["edited_fingerprint"] == edited
+        assert abs(x["near_edited"] - brute.dice_of(leaves, new_leaves)) < 1e-8 and abs(x["near_next"] - brute.dice_of(leaves, after_leaves)) < 1e-8
+        assert x["first_edit"] == min(brute.first_difference(leaves, new_leaves), len(new)) and x["edited_chars"] <= len(new)
+        assert (x["fingerprint"] == x["edited_fingerprint"]) == (text == new) == (x["near_edited"] == 1) == (x["first_edit"] == -1)
     one = fingerprints.fingerprint_neighbours(frame(spark, order[20:21])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1
-    again = order[20:24] + [dict(order[20], doc_id=None), dict(order[21], doc_id=None), dict(order[22])]
-    assert fingerprints.fingerprint_neighbours(frame(spark, again)).count() == 7
+
+
+def test_fingerprints_of_shared_ids(spark):
+    """Rows without an id or with one id are put in order by a hash of the text; each has one next document."""
+    rows = [{"doc_id": i, "text": f"text {k}. " * (k % 7 + 1), "lang": None, "source": None, "n_chars": 0} for k, i in enumerate([None] * 60 + [5] * 300 + list(range(40)))]
+    rows += rows[:3] + rows[100:103]
+    got = fingerprints.fingerprint_neighbours(frame(spark, rows)).collect()
+    same(tuples(spark.createDataFrame(got).select("doc_id", "fingerprint"), "doc_id", "fingerprint"), [(r["doc_id"], brute.tree_print(r["text"])[0]) for r in rows])
+    # every text but the first follows another one: edited texts end with beginnings of as many next texts
+    after = [r["near_next"] for r in got]
+    assert len(after) == len(rows) and sum(x == 1 for x in after) >= 6
+
+
+def text_of(dice, n=40):
+    word = lambda: dice.choice(["alpha", "beta", "gamma", "delta"]) + str(dice.randrange(99))
+    return [". ".join(" ".join(word() for _ in range(6)) for _ in range(3)) for _ in range(n)]
 
 
 def test_fingerprints_locate_edits():
-    dice = random.Random(2)
-    text = "\n".join(". ".join(" ".join(dice.choice(["alpha", "beta", "gamma", "delta"]) + str(dice.randrange(99)) for _ in range(6)) for _ in range(3)) for _ in range(40))
+    lines = text_of(random.Random(2))
+    text = "\n".join(lines)
     assert fingerprints.locate_edits(text, text) == []
     at = text.index("\n", 1500) + 5
     new = text[:at] + "EDIT" + text[at:]
-    (start, end), = fingerprints.locate_edits(text, new)
-    assert start <= at and at + 4 <= end <= at + 200 and fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(new)) > 0.95
+    (a, z, start, end), = fingerprints.locate_edits(text, new)
+    assert a <= at <= z and start <= at and at + 4 <= end <= at + 200 and fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(new)) > 0.95
     assert len({fingerprints.fingerprint(t) for t in ("", "\n", "a", "a\n", "a\n\n", "\na", "a b", "a  b")}) == 8
+    # a deletion is where the paragraph was
+    start_of = lambda i, ls=lines: sum(len(x) + 1 for x in ls[:i])
+    assert fingerprints.locate_edits(text, "\n".join(lines[:7] + lines[8:])) == [(start_of(7), start_of(8), start_of(7), start_of(7))]
+    assert fingerprints.locate_edits("\n".join(lines[:7] + lines[8:]), text) == [(start_of(7), start_of(7), start_of(7), start_of(8))]
+    # paragraphs that change places are an insertion and a deletion there
+    swapped = lines[:3] + [lines[4], lines[3]] + lines[5:]
+    edits = fingerprints.locate_edits(text, "\n".join(swapped))
+    assert edits and all(start_of(3) <= a <= z <= start_of(5) and start_of(3) <= s <= f <= start_of(5) for a, z, s, f in edits)
+    # a repeated paragraph is one more of it
+    again = lines[:9] + [lines[8]] + lines[9:]
+    edits = fingerprints.locate_edits(text, "\n".join(again))
+    assert len(edits) == 1 and edits[0][3] - edits[0][2] == len(lines[8]) + 1 and start_of(8) <= edits[0][2] <= start_of(9)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fingerprints_edits_put_back(seed):
+    """What lies outside the edits is equal; with the edits taken over, the texts are."""
+    dice = random.Random(seed)
+    lines = text_of(dice, 15)
+    for _ in range(30):
+        new = list(lines)
+        for _ in range(dice.randint(1, 4)):
+            i, j = dice.randrange(len(new)), dice.randrange(len(new))
+            kind = dice.randrange(4)
+            if kind == 0:
+                del new[i]
+            elif kind == 1:
+                new.insert(i, new[j])
+            elif kind == 2:
+                new[i], new[j] = new[j], new[i]
+            else:
+                new[i] = new[i].replace("alpha", "omega")
+            new = new or [""]
+        old_text, new_text = "\n".join(lines) + "\n", "\n".join(new) + "\n"
+        out, at = "", 0
+        for a, z, s, f in fingerprints.differing(fingerprints.Tree(old_text[:-1]), fingerprints.Tree(new_text[:-1])):
+            out += old_text[at:a] + new_text[s:f]
+            at = z
+        assert out + old_text[at:] == new_text
 
 
 def test_topk(spark):
@@ -238,9 +318,30 @@ def test_topk(spark):
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     same(tuples(got, "query_id", "rank", "vec_id", "score"), want)
     few = topk.top_k(df.filter("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert topk.top_k(df, F.lit(False)).count() == 0
     assert len(few) == 3 and {r["rank"] for r in few} == {1, 2, 3}
 
 
+def test_topk_eliminates(spark):
+    """Fewer than half of the candidates are evaluated, over the whole table."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    n = vectors.count()
+    got = topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+    seen = [r[0] for r in got.filter("rank = 1").select("evaluated").collect()]
+    assert sum(seen) < 0.4 * n * len(seen)
+
+
+def test_topk_of_large_components(spark):
+    """Scores beyond a long are the nearest long; components that aren't finite after scaling take no part."""
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 0.0]), (3, [1e300, 0.0]), (4, [1e308, 1.0]), (5, [0.5, 0.5]), (6, [0.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 5), k=10).collect()
+    top, low = 2**63 - 1, -(2**63)
+    want = {0: [(1, top), (3, top), (5, 1024 * 10**12 * 512 + 512 * 1024), (6, 0), (2, low)], 5: [(3, top), (0, 1024 * 10**12 * 512 + 512 * 1024), (1, 1024 * 10**12 * 512), (6, 0), (2, -1024 * 10**12 * 512)]}
+    assert {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want
+    zeros = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(zeros, F.col("vec_id") == 2).orderBy("rank").collect()] == [0, 1, 3]
+
+
 class Rewriting(chat.TurnTemplate):
     """Numbers all turns from the end, and so changes what it said before."""
 
@@ -271,6 +372,40 @@ def test_chat(spark):
     assert rewrites == [1, 2] and text.startswith("3: ")
 
 
+class Forgetting(chat.TurnTemplate):
+    """Drops what replies before the last turn thought."""
+
+    def render(self, turns, add_generation_prompt=False):
+        cut = lambda i, x: re.sub("<think>.*?</think>", "", x) if i < len(turns) - 1 else x
+        return super().render([(role, cut(i, x)) for i, (role, x) in enumerate(turns)], add_generation_prompt)
+
+
+class Telling(chat.TurnTemplate):
+    """Says at the top how long the last turn is and drops system turns but the first."""
+
+    def render(self, turns, add_generation_prompt=False):
+        kept = [t for i, t in enumerate(turns) if t[0] != "system" or not i]
+        return f"{len(turns[-1][1])}\n" + super().render(kept, add_generation_prompt)
+
+
+def test_chat_masks_of_rewritten_history(spark):
+    """What is learned is text of replies in the final rendering, never control text or another turn."""
+    turns = [("user", "question"), ("assistant", "<think>long thoughts</think>one"), ("user", "more"), ("assistant", "<think>x</think>two"), ("user", "<end"), ("assistant", "")]
+    for n in range(1, len(turns) + 1):
+        text, spans, loss, rewrites = chat.format_turns(turns[:n], Forgetting())
+        said = [re.sub("<think>.*?</think>", "", x) if i < n - 1 else x for i, (_, x) in enumerate(turns[:n])]
+        assert text == chat.TurnTemplate().render([(r, x) for (r, _), x in zip(turns, said, strict=False)])
+        learned = [text[a:z] for a, z in (x for x in loss if x)]
+        assert learned == [x for (r, _), x in zip(turns, said, strict=False) if r == "assistant"], (n, rewrites)
+        if rewrites:
+            assert [text[a:z] for a, z in spans] == said
+    text, spans, loss, rewrites = chat.format_turns([("system", "a"), ("user", "b"), ("system", "dropped"), ("assistant", "reply"), ("assistant", "12")], Telling())
+    assert rewrites and spans[2] is None and [text[a:z] for a, z in (x for x in loss if x)] == ["reply"]  # the last one changes the top too
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(df, Forgetting()).first()
+    assert [row["formatted"][x["start"] : x["end"]] for x in row["loss"]] == ["one", "two", ""] and row["rewrites"]
+
+
 def test_licences(spark):
     mit = licences.KNOWN["MIT"]
     texts = [(1, mit), (2, "Copyright (c) 2020 A. N. Other\n\n" + mit.upper()), (3, "* (c) Someone\n" + mit.replace("sublicense", "sub-licence").replace("\n", "\n * ")), (4, mit + " More."), (5, None), (6, ""), (7, "Some prose.\nreleased under the mit licence\nMore."), (7, mit)]
@@ -296,6 +431,56 @@ def test_licence_files(spark):
     assert [got[i] for i in range(len(files))] == [x for x, _ in files]
 
 
+def test_licences_known_as_a_table(spark):
+    known = spark.createDataFrame([("b", "Do as you like per cent."), ("a", "do AS you  like, percent")], "licence_id string, text string")
+    docs = spark.createDataFrame([(1, "Do as you like, per cent!"), (2, "do as you like per center"), (3, "x\nlicence licence\ny"), (4, "Copyright (c) 2020 X\ndo as you like percent")], "doc_id long, text string")
+    assert tuples(licences.scan(docs, known), "doc_id", "licence_id") == [(1, "a"), (2, None), (3, None), (4, "a")]
+    forms = {r["f"] for r in docs.select(licences.canonical(F.col("text")).alias("f")).collect()}
+    assert "x license license y" in forms and "do as you like per center" in forms
+
+
+def test_long_texts(spark):
+    """Texts beyond a piece of 512 kB count as a whole."""
+    dice = random.Random(13)
+    long = " ".join(dice.choice("abcdefgh") * dice.randint(1, 9) for _ in range(150_000))
+    rows = [{"doc_id": i, "text": t, "lang": "aa", "source": "s", "n_chars": len(t)} for i, t in enumerate([long, long + " end", long[600_000:], "short text here", "\n".join([long[:300_000], long[-300_000:]])])]
+    docs = frame(spark, rows).coalesce(1)
+    same(tuples(sharding.shard_by_bytes(docs), "doc_id", "size", "text_crc32", "shard", "slot"), brute.shards(rows))
+    same(tuples(packing.pack(docs), "doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot"), brute.pack(rows))
+    assert [x[4] for x in tuples(mixing.mix(docs), "doc_id", "size", "source_size", "target", "taken")] == [x[4] for x in sorted(brute.mix(rows), key=repr)]
+    same(tuples(neardup.near_duplicates(docs), "doc_id", "n_shingles", "component_id"), brute.near_duplicates(rows, 5))
+    got = {r["doc_id"]: r for r in suffix.span_digests(docs).collect()}
+    assert got[1]["n_removed"] == len(long) and got[2]["n_removed"] == len(long) - 600_000 and got[4]["n_removed"] == 600_000 and got[0]["n_removed"] == 0
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_neighbours(docs).collect()}
+    assert all(prints[r["doc_id"]] == brute.tree_print(r["text"])[0] for r in rows[2:])
+    scanned = {r["doc_id"]: r["canonical_chars"] for r in licences.scan(docs).collect()}
+    assert scanned[0] == len(long.strip())
+    model = langid.fit(docs)
+    assert docs.select(langid.identify(model, F.col("text")).alias("x")).filter("x.lang_pred = 'aa'").count() == 5
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat.format_conversations(turns).first()
+    assert row["formatted"][row["loss"][0]["start"] : row["loss"][0]["end"]] == long
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    rows = corpus(14, 60)
+    for i, r in enumerate(rows):
+        r["doc_id"] = None if i % 3 == 0 else 7 if i % 3 == 1 else r["doc_id"] + 100
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    order = sorted(range(len(rows)), key=lambda i: repr(rows[i]["text"]))
+    numbered = [dict(rows[i], doc_id=i) for i in order]
+    groups = {}
+    for i, _, c in brute.near_duplicates(numbered, 5):
+        groups.setdefault(c, []).append(i)
+    want = []
+    for members in groups.values():
+        ids = [rows[i]["doc_id"] for i in members if rows[i]["doc_id"] is not None]
+        alone = len(members) == 1
+        want += [(rows[i]["doc_id"], len(brute.shingles(rows[i]["text"], 5)), rows[i]["doc_id"] if alone else min(ids, default=None)) for i in members]
+    same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], want)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     for f in (sharding.shard_by_bytes, mixing.mix, packing.pack, neardup.near_duplicates, neardup.one_of_each, suffix.span_digests, suffix.without_repeats, fingerprints.fingerprint_neighbours, licences.scan):

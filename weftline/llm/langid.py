@@ -9,11 +9,11 @@ always too far.
 
 The classifier is fitted on a sample of about SAMPLE labelled rows a language (a documented parameter), drawn by a
 hash of the id with the same chance for every row; whole texts are counted, and every row is classified by its whole
-text. What tasks receive is the centroids, languages x CLUSTERS x DIM numbers.
+text. What tasks receive is the centroids, languages x CLUSTERS x DIM numbers; the driver holds the sample's counts.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; without any labelled rows to
 learn from, every text is; null ids are labelled rows like others; equal cosines go to the first language by code point;
-an empty table gives no rows.
+repeated rows and rows that share an id are drawn together; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textbytes import pieces
-from weftline.session import ship_by_value, text_batches
+from weftline.session import materialise, ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -113,41 +113,66 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from about `sample` rows of each language in labelled, drawn by a hash of the id; None without rows."""
     text_batches(labelled.sparkSession)
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
-    if not sizes:
-        return None
-    chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    dice = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.filter(dice < chance[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    sizes = materialise(rows.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("chance")), "languages")
+    dice = F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1_000_000)) / 1_000_000
+    drawn = rows.join(sizes, "lang").filter(dice < F.col("chance"))
     got = drawn.select("lang", "text").mapInArrow(_sparse, "lang string, at binary, n binary").collect()
     got = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in got)  # the same order in every run
-    if not got:
-        return None
-    counts = np.zeros((len(got), DIM), np.float32)
-    for i, (_, at, n) in enumerate(got):
-        counts[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    return learn(got, clusters) if got else None
+
+
+def learn(got: list[tuple[str, bytes, bytes]], clusters: int = CLUSTERS) -> Model:
+    """A model from sparse counts (language, places, counts), sorted. Only one language's rows are held in full at a time."""
+    seen = np.zeros(DIM, np.int64)
+    for _, at, _ in got:
+        seen[np.frombuffer(at, np.uint16)] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
     languages = sorted({r[0] for r in got})
     model = Model(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(1))
-    x, of = model.vectors(counts), np.array([languages.index(r[0]) for r in got])
-    parts = [_clusters(x[of == i], clusters) for i in range(len(languages))]
+    of = {lang: [r for r in got if r[0] == lang] for lang in languages}
+
+    def counts_of(lang: str) -> np.ndarray:
+        counts = np.zeros((len(of[lang]), DIM), np.float32)
+        for i, (_, at, n) in enumerate(of[lang]):
+            counts[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+        return counts
+
+    parts = [_clusters(model.vectors(counts_of(lang)), clusters) for lang in languages]
     model.centroids = np.concatenate(parts).astype(np.float32)
     model.language_of = np.repeat(np.arange(len(languages)), [len(c) for c in parts])
-    # a text is rejected below half of what one in a hundred sampled texts of its length falls short of
-    best, size = (x @ model.centroids.T).max(axis=1), np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
-    model.limits = _limits(model, best, size, counts, x)
+    model.limits = _limits(model, lambda: map(counts_of, languages))
     return model
 
 
-def _limits(model: Model, best: np.ndarray, size: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The least cosine that is accepted, by the binary logarithm of the number of trigrams."""
-    limits, low, filled = [], 0.0, False
+def _length_class(counts: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each row's number of trigrams."""
+    return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
+
+
+def _limits(model: Model, blocks) -> np.ndarray:
+    """The least cosine that is accepted, by the binary logarithm of the number of trigrams.
+
+    A text is rejected below half of what one in a hundred sampled texts of its length falls short of.
+    """
+    best: dict[int, list] = {s: [] for s in range(33)}
+    short: dict[int, list] = {s: [] for s in range(33)}
+    for counts in blocks():
+        x, size = model.vectors(counts), _length_class(counts)
+        cosine = (x @ model.centroids.T).max(axis=1)
+        for s in set(size.tolist()):
+            best[s].append(cosine[size == s])
+    filled = [s for s in range(33) if sum(map(len, best[s])) >= ENOUGH]
+    for counts in blocks():
+        x, size = model.vectors(counts), _length_class(counts)
+        for s in range(min(filled, default=33)):
+            if (size > s).any():
+                short[s].append(_shortened(model, counts[size > s], x[size > s], max(1, 3 * 2**s // 2)))
+    limits, low = [], 0.0
     for s in range(33):
-        if (size == s).sum() >= ENOUGH:
-            low, filled = float(np.quantile(best[size == s], 0.01)) / 2, True
-        elif not filled and (size > s).any():
-            low = float(np.quantile(_shortened(model, counts[size > s], x[size > s], max(1, 3 * 2**s // 2)), 0.01)) / 2
+        some = best[s] if s in filled else short[s]
+        if some:
+            low = float(np.quantile(np.concatenate(some), 0.01)) / 2
         limits.append(low)
     return np.array(limits)
 

@@ -6,11 +6,12 @@ space as single spaces, equivalent spellings made one - and the digest of the wh
 known licence texts, which get the same form. The same is done with single lines that speak of a licence, to find
 notices inside other texts.
 
-Known texts are a fixed list, in KNOWN and the files of licence_texts, so their table is broadcast. A claim of copyright is
+Known texts are a table of any size; without one, it is made of KNOWN and the files of licence_texts. Digests are joined,
+and Spark broadcasts the smaller side if it is small. A claim of copyright is
 (c), a year or "by" after the word, or a line that ends like a holder's name; a claim without "all rights reserved" on one
 line with the licence itself has no end that shows, so that line stays as it is.
 
-Defined results: a null or empty text has an empty canonical form and no licence; repeated rows are looked up each for
+Defined results: whole texts count, however long; a null or empty text has an empty canonical form and no licence; repeated rows are looked up each for
 itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,6 +22,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import materialise
+
 # fixed values: texts of public licences and the usual notices
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -56,27 +59,37 @@ COPYRIGHT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n]*({_CLAIM}|{_HOLDER}|{_TITLE})"
 
 def canonical(text: Column) -> Column:
     x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    x = F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")
+    # every word gets two spaces of its own, so that spellings are replaced as whole words
+    x = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(x)
-
-
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    rows = spark.createDataFrame(list((known or KNOWN).items()), "licence_id string, text string")
-    return rows.select("licence_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"))
-
-
-def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, canonical_chars, digest (of the whole canonical text), licence_id (or null) and notices (of its lines)."""
-    spark = docs.sparkSession
-    table = known_digests(spark, known)
-    names = {r["digest"]: r["licence_id"] for r in table.collect()}  # as many as KNOWN
-    form = canonical(F.col(text_col))
-    slim = docs.select(F.col(id_col), F.col(text_col).alias("__text"), form.alias("__form"))
-    lines = F.filter(F.split(F.coalesce(F.col("__text"), F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
-    found = F.transform(lines, lambda x: F.md5(canonical(x).cast("binary")))
-    by = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    notices = F.array_sort(F.array_distinct(F.transform(F.array_intersect(found, F.array(*[F.lit(d) for d in names])), lambda d: by[d])))
-    slim = slim.select(id_col, F.length("__form").cast("long").alias("canonical_chars"), F.md5(F.col("__form").cast("binary")).alias("digest"), F.array_join(notices, ",").alias("notices"))
-    return slim.join(F.broadcast(table), "digest", "left").select(id_col, "canonical_chars", "digest", "licence_id", "notices")
+        x = F.replace(x, F.lit(" " + a.replace(" ", "  ") + " "), F.lit(" " + b + " "))
+    return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """licence_id, digest of each known text (licence_id, text); of texts with one form the smallest id counts."""
+    forms = known.select("licence_id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"))
+    return forms.groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+
+
+def known_licences(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+    """The known texts of this module as a table."""
+    return spark.createDataFrame(list((known or KNOWN).items()), "licence_id string, text string")
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, canonical_chars, digest (of the whole canonical text), licence_id (or null) and notices (of its lines).
+
+    known: a table of any size with licence_id and text.
+    """
+    table = materialise(known_digests(known if known is not None else known_licences(docs.sparkSession)), "licence-digests")
+    same = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    # single lines: those that hit are few, and go back to the rows by the text's digest
+    lines = docs.filter(F.col(text_col).rlike("(?i)licen[cs]e")).select(same.alias("same"), F.explode(F.split(text_col, "\n")).alias("line"))
+    lines = lines.filter(F.col("line").rlike("(?i)licen[cs]e")).select("same", F.md5(canonical(F.col("line")).cast("binary")).alias("digest"))
+    notices = lines.join(table, "digest").groupBy("same").agg(F.array_join(F.array_sort(F.collect_set("licence_id")), ",").alias("notices"))
+    notices = materialise(notices, "licence-notices")
+    slim = docs.select(F.col(id_col), same.alias("same"), canonical(F.col(text_col)).alias("__form"))
+    slim = slim.select(id_col, "same", F.length("__form").cast("long").alias("canonical_chars"), F.md5(F.col("__form").cast("binary")).alias("digest"))
+    out = slim.join(table, "digest", "left").join(notices, "same", "left")
+    return out.select(id_col, "canonical_chars", "digest", "licence_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -46,8 +46,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def licence_files() -> list[tuple[int, str]]:
+    """Files with known licences, as they are shipped: with a title and a claim, in capitals, wrapped anew or spelt otherwise."""
+    out = []
+    for i, (name, text) in enumerate(sorted(licences.KNOWN.items())):
+        forms = [f"{name} License\n\nCopyright (c) 2020 A. N. Other\nAll rights reserved.\n\n{text}" if name in ("MIT", "ISC") else text, text.upper(), " * " + text.replace("\n", "\n * "), text.replace("license", "licence"), f"{text}\nAnd more."]
+        out += [(-10 * i - k - 1, x) for k, x in enumerate(forms)]
+    return out
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    """All documents, and files with known licences under negative ids."""
+    files = spark.createDataFrame(licence_files(), "doc_id long, text string")
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(files))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +129,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id""",
     "op5_mixing": rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce({WORDS.format('text')}, 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1') AS h FROM documents
+  SELECT doc_id, source, coalesce({WORDS.format('text')}, 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1|' || coalesce(text, '')) AS h FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight
@@ -180,17 +191,24 @@ FROM p"""
 
 def _canonical_sql(text: str) -> str:
     x = f"regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    x = f"(' ' || replace(trim({x}), ' ', '  ') || ' ')"
     for a, b in licences.SPELLINGS:
-        x = f"replace({x}, '{a}', '{b}')"
-    return f"trim({x})"
+        x = f"replace({x}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    return f"trim(replace({x}, '  ', ' '))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 ORACLE["op3_licences"] = f"""
 WITH k AS (
-  SELECT licence_id, md5({_canonical_sql('text')}) AS digest
-  FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in licences.KNOWN.items())}) t(licence_id, text)
+  SELECT min(licence_id) AS licence_id, md5({_canonical_sql('text')}) AS digest
+  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licences.KNOWN.items())}) t(licence_id, text) GROUP BY 2
+), a AS (
+  SELECT doc_id, text FROM documents UNION ALL VALUES {", ".join(f"({i}, {_quoted(t)})" for i, t in licence_files())}
 ), d AS (
-  SELECT doc_id, text, {_canonical_sql("coalesce(text, '')")} AS form FROM documents
+  SELECT doc_id, text, {_canonical_sql("coalesce(text, '')")} AS form FROM a
 ), n AS (
   SELECT doc_id, string_agg(DISTINCT licence_id, ',' ORDER BY licence_id) AS notices
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) l JOIN k ON regexp_matches(line, '(?i)licen[cs]e') AND md5({_canonical_sql('line')}) = k.digest
@@ -216,7 +234,7 @@ def _packing_sql(n_buckets: int = 8, token_budget: int = 16384) -> str:
     lengths = " UNION ".join(f"SELECT h.l FROM h JOIN e{k} ON h.j = e{k}.j" for k in range(1, n_buckets + 1))
     return f"""
 WITH d AS (
-  SELECT doc_id, CAST(coalesce({WORDS.format('text')}, 0) AS BIGINT) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|pack-1') AS hash FROM documents
+  SELECT doc_id, CAST(coalesce({WORDS.format('text')}, 0) AS BIGINT) AS n_tokens, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|pack-1|' || coalesce(text, '')) AS hash FROM documents
 ), g AS (SELECT n_tokens AS l, count(*) AS n FROM d GROUP BY 1
 ), h AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY l) AS j, l, CAST(sum(n) OVER (ORDER BY l) AS BIGINT) AS rows, CAST(sum(n * l) OVER (ORDER BY l) AS BIGINT) AS tokens FROM g

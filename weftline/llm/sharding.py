@@ -4,7 +4,9 @@ Rows are put in ascending order of the id (ties: checksum, size). Ranges of ids
 summed first; each row's place in the whole is its range's offset plus its running sum inside the range. A row
 belongs to the shard whose equal target holds the middle of its bytes, so each cut is off by half a row at most.
 
-Defined results: a null text counts as empty and has size 1; null ids come first; rows that are equal in id and
+An id that many rows share, null too, is parted by checksum.
+
+Defined results: a null text counts as empty and has size 1, a long text counts as a whole; null ids come first; rows that are equal in id and
 text follow each other in any order; an empty table gives no rows; other columns are ignored.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.prefix import bucket_count, range_bounds, range_bucket, running
+from weftline.plans.prefix import bucket_count, ranges, running
 from weftline.session import materialise
 
 
@@ -22,7 +24,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     slim = materialise(slim, "shard-sizes")
-    slim = slim.withColumn("__range", range_bucket(F.col(id_col), range_bounds(slim, id_col, bucket_count(slim))))
+    found = ranges(slim, id_col, bucket_count(slim))
+    slim = slim.withColumn("__range", found.bucket(F.col(id_col), F.shiftright("text_crc32", 20)))
     total = slim.agg(F.sum("size")).first()[0] or 1
     order = [F.col(id_col).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     placed = running(slim, [], "__range", order, "size", "byte_offset", "__index")

@@ -1,17 +1,26 @@
 """Exact top-k inner products with a pivot table (distances to many pivots, computed once per vector).
 
-For a query q and a vector y, every pivot p gives |q - y| >= |d(q, p) - d(y, p)|, and so
-q.y <= (|q|^2 + |y|^2 - max_p (d(q, p) - d(y, p))^2) / 2. Candidates are evaluated in the order of that bound, and a
-query stops when the bound of the next candidate is below the k-th best score found: everything left is eliminated.
-
-Layout: vectors are packed into blocks of at most block_rows rows, queries likewise; every pair of a query block and
-a vector block is one unit of work with bounded memory, spread over the cluster, that keeps k rows a query. A last
-window per query merges those. Pivots are a bounded number (n_pivots) of vectors, chosen far from each other among
-the first n_seeds rows in the order of a hash, so what tasks receive has a fixed size.
-
-Defined results: vectors that are null or hold null, NaN or infinite components take no part; shorter vectors count
-as padded with zeros; rows without id take no part; equal rows are all candidates, and a query's own id is no
-candidate; ties go to the smaller id; an empty table gives no rows.
+The distances of a query q and a vector y to all pivots bound the distance of q and y from below. Each pivot p alone
+gives |q - y| >= |d(q, p) - d(y, p)|; together they give the largest bound that follows from them: distances and norms
+say where q and y lie in the space that the pivots span, and how long the rest of each is, and
+
+    |q - y|^2 >= |q' - y'|^2 + (|q''| - |y''|)^2,    so    q.y <= q'.y' + |q''| |y''|,
+
+where ' is the part in that space and '' the rest. It is never below the bound of a single pivot. Candidates are
+evaluated in the order of that bound, and a query stops when the bound of the next candidate is below the k-th best
+score that is known: everything left is eliminated.
+
+Layout: vectors are packed into blocks of at most block_rows rows, queries likewise. In a first round each query block
+meets one vector block, and the k-th best score found there goes along with the query: no other block needs to look at
+candidates below it. Then every pair of a query block and a vector block is one unit of work with bounded memory that
+keeps k rows a query at most. A last window per query merges those. Pivots are a bounded number of vectors (three
+quarters of the dimension, unless said otherwise), chosen far from the span of those before among the first n_seeds
+rows in the order of a hash, so what tasks receive has a fixed size.
+
+Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do those of which a
+component times 1024 is no finite number; a score beyond the range of a long is given as the nearest long, and ranks
+as that; shorter vectors count as padded with zeros; rows without id take no part; equal rows are all candidates, and a
+query's own id is no candidate; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import arrow_rows, materialise, ship_by_value
+from weftline.session import arrow_rows, discard, materialise, ship_by_value
 
 ship_by_value(__name__)
 
 SCALE = 1024
+STEP = 32  # candidates that are evaluated between two looks at the bound
+HUGE = 1e120  # components beyond this make bounds overflow, so all candidates are evaluated
+_MIN, _MAX = -(2**63), 2**63 - 1
+BLOCK = "slot int, ids binary, x binary, d binary"
+FOUND = "query_id long, vec_id long, score long, evaluated long"
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -46,96 +60,149 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        return np.sqrt(np.maximum(square, 0))
 
 
-def pack(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
-    """(block rows of) id, vector -> one row a block: ids, vectors, pivot distances as bytes."""
+def choose_pivots(seeds: np.ndarray, n: int) -> np.ndarray:
+    """At most n rows: each is the farthest from the span of those chosen before."""
+    seeds = seeds[np.abs(seeds).max(axis=1, initial=0) < HUGE] if len(seeds) else seeds
+    rest, chosen = seeds.copy(), []
+    while len(chosen) < n and len(rest):
+        size = (rest * rest).sum(1)
+        i = int(np.argmax(size))
+        if size[i] <= 1e-6 * (seeds[i] * seeds[i]).sum() or not size[i]:
+            break
+        chosen.append(i)
+        unit = rest[i] / np.sqrt(size[i])
+        rest -= np.outer(rest @ unit, unit)
+        rest -= np.outer(rest @ unit, unit)  # once more, for rounding
+    return seeds[chosen]
+
+
+class Places:
+    """Where vectors lie in the pivots' span, read off their distances."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.norms = (pivots * pivots).sum(1)
+        self.back = np.linalg.inv(np.linalg.qr(pivots.T)[1]) if len(pivots) else np.zeros((0, 0))
+
+    def of(self, d: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in the span, and the length of the rest."""
+        inside = ((norms[:, None] + self.norms[None, :] - d * d) / 2) @ self.back
+        return inside, np.sqrt(np.maximum(norms - (inside * inside).sum(1), 0))
+
+
+def pack(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(slot, id, vector) -> one row a block: slot, ids, vectors, pivot distances as bytes."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            ids = np.asarray(part.column(0), dtype=np.int64)
-            x = _matrix(part.column(1), pivots.shape[1])
-            yield pa.RecordBatch.from_pydict({"block": [f"{ids.min()}-{len(ids)}-{ids.max()}-{int(ids.sum())}"], "n": [len(ids)], "ids": [ids.tobytes()], "x": [x.tobytes()], "d": [_distances(x, pivots).tobytes()]})
-
-
-def best(q: np.ndarray, dq: np.ndarray, qid: int, x: np.ndarray, norms: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, int]:
-    """Rows of x with the k best scores (ties: smaller id), and how many candidates were evaluated."""
-    lower = np.abs(d - dq[None, :]).max(1)
-    reach = (q * q).sum() + norms
-    bound = (reach - lower * lower) / 2 + reach * 1e-9 + 1  # the slack covers rounding of the distances
-    bound[ids == qid] = -np.inf
-    order = np.argsort(-bound, kind="stable")
-    order = order[: len(order) - int((ids == qid).sum())]
-    kept, scores, at, step = np.empty(0, np.int64), np.empty(0), 0, max(4 * k, 64)
+            ids = np.asarray(part.column(1), dtype=np.int64)
+            x = _matrix(part.column(2), dim)
+            yield pa.RecordBatch.from_pydict({"slot": part.column(0)[:1], "ids": [ids.tobytes()], "x": [x.tobytes()], "d": [_distances(x, pivots).tobytes()]})
+
+
+def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int, exact: bool, floor: int) -> tuple[np.ndarray, list[int], int]:
+    """Rows of x with the k best scores that reach floor (ties: smaller id), the scores, and how many were evaluated."""
+    order = np.flatnonzero(bound >= floor)
+    order = order[np.argsort(-bound[order], kind="stable")]
+    kept, scores, at = np.empty(0, np.int64), [], 0
     while at < len(order):
         if len(kept) == k and bound[order[at]] < scores[-1]:
             break
-        rows = order[at : at + step]
-        more = x[rows] @ q if exact else np.array([sum(int(a) * int(b) for a, b in zip(x[r], q, strict=True)) for r in rows], dtype=object)
-        kept, scores = np.concatenate([kept, rows]), np.concatenate([scores, more])
-        first = np.lexsort((ids[kept], -scores))[:k] if exact else sorted(range(len(kept)), key=lambda i: (-scores[i], ids[kept[i]]))[:k]
-        kept, scores = kept[first], scores[first]
-        at, step = at + len(rows), 2 * step
-    return np.array([kept, scores], dtype=object), at
+        rows = order[at : at + STEP]
+        if exact:
+            more = [int(s) for s in x[rows] @ q]
+        else:
+            more = [min(_MAX, max(_MIN, sum(int(a) * int(b) for a, b in zip(x[r], q, strict=True)))) for r in rows]
+        both, scores = np.concatenate([kept, rows]), scores + more
+        first = sorted(range(len(both)), key=lambda i: (-scores[i], ids[both[i]]))[:k]
+        kept, scores = both[first], [scores[i] for i in first]
+        at += len(rows)
+    return kept, scores, at
+
+
+def _units(row: dict, dim: int, places: Places, k: int) -> Iterator[tuple[int, np.ndarray, list[int], int, np.ndarray]]:
+    """Of a query block and a vector block: each query's id, its best rows, their scores, the number evaluated, and all ids."""
+    n_pivots = len(places.norms)
+
+    def read(a: str, b: str, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(row[a]) // 8
+        return np.frombuffer(row[a], np.int64), np.frombuffer(row[b]).reshape(n, dim), np.frombuffer(row[c]).reshape(n, n_pivots)
+
+    (ids, x, d), (qids, qx, qd) = read("ids", "x", "d"), read("q_ids", "q_x", "q_d")
+    floors = np.frombuffer(row["q_floor"], np.int64) if row.get("q_floor") else np.full(len(qids), _MIN)
+    most = max(np.abs(x).max(initial=0), np.abs(qx).max(initial=0))
+    if most < HUGE:
+        norms, q_norms = (x * x).sum(1), (qx * qx).sum(1)
+        (c, r), (qc, qr) = places.of(d, norms), places.of(qd, q_norms)
+        slack = (q_norms[:, None] + norms[None, :]) * 1e-9 + 1  # covers the rounding of distances and coordinates
+        bounds = qc @ c.T + np.outer(qr, r) + slack
+    else:
+        bounds = np.full((len(qids), len(ids)), np.inf)
+    exact = bool(dim * most**2 < 2**52)
+    for i, qid in enumerate(qids):
+        bound = np.where(ids == qid, -np.inf, bounds[i])
+        yield int(qid), *best(qx[i], x, ids, bound, k, exact, int(floors[i])), ids
 
 
-def search(batches: Iterator[pa.RecordBatch], dim: int, n_pivots: int, k: int) -> Iterator[pa.RecordBatch]:
+def first_round(batches: Iterator[pa.RecordBatch], dim: int, places: Places, k: int) -> Iterator[pa.RecordBatch]:
+    """Query blocks with the score that each query's k-th best of one vector block has."""
     for batch in batches:
         for row in batch.to_pylist():
-            ids, x, d = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"]).reshape(-1, dim), np.frombuffer(row["d"]).reshape(-1, n_pivots)
-            qids, qx, qd = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_x"]).reshape(-1, dim), np.frombuffer(row["q_d"]).reshape(-1, n_pivots)
-            norms = (x * x).sum(1)
-            exact = bool(dim * max(np.abs(x).max(initial=0), np.abs(qx).max(initial=0)) ** 2 < 2**52)
-            out = {"query_id": [], "vec_id": [], "score": [], "evaluated": []}
-            for i, qid in enumerate(qids):
-                (rows, scores), n = best(qx[i], qd[i], qid, x, norms, d, ids, k, exact)
-                out["query_id"] += [int(qid)] * len(rows)
-                out["vec_id"] += [int(ids[r]) for r in rows]
-                out["score"] += [int(s) for s in scores]
-                out["evaluated"] += [n] * len(rows)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+            floors = [scores[-1] if len(scores) == k else _MIN for _, _, scores, _, _ in _units(row, dim, places, k)]
+            yield pa.RecordBatch.from_pydict({"q_ids": [row["q_ids"]], "q_x": [row["q_x"]], "q_d": [row["q_d"]], "q_floor": [np.array(floors, np.int64).tobytes()]})
 
 
-def choose_pivots(seeds: np.ndarray, n: int) -> np.ndarray:
-    """n rows far from each other: each is the farthest from those chosen before."""
-    chosen = [int(np.argmax((seeds * seeds).sum(1)))]
-    away = _distances(seeds, seeds[chosen])[:, 0]
-    while len(chosen) < min(n, len(seeds)):
-        chosen.append(int(np.argmax(away)))
-        away = np.minimum(away, _distances(seeds, seeds[chosen[-1:]])[:, 0])
-    return seeds[chosen]
+def search(batches: Iterator[pa.RecordBatch], dim: int, places: Places, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "evaluated": []}
+            for qid, rows, scores, n, ids in _units(row, dim, places, k):
+                out["query_id"] += [qid] * len(rows)
+                out["vec_id"] += [int(ids[r]) for r in rows]
+                out["score"] += scores
+                out["evaluated"] += [n if i == 0 else 0 for i in range(len(rows))]
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = 32, n_seeds: int = 512, block_rows: int = 4096, query_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k best rows for each query row."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int | None = None, n_seeds: int = 512, block_rows: int = 4096, query_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k best rows for each query row; evaluated: of all the query's candidates."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == F.lit(float("inf"))))
     sound_rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("is_query"))
-    shape = sound_rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    schema = "query_id long, rank int, vec_id long, score long, evaluated long"
+    shape = sound_rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).first()
     if not shape["n"]:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
     dim = max(1, shape["dim"])
     seeds = sound_rows.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(n_seeds).collect()
-    pivots = choose_pivots(_matrix(pa.array([r["v"] for r in seeds], pa.list_(pa.float64())), dim), n_pivots)
-    n_blocks = -(-shape["n"] // block_rows)
-    form = "block string, n long, ids binary, x binary, d binary"
-    dealt = lambda df, n: df.withColumn("__to", F.pmod(F.xxhash64("id", "v"), F.lit(n)))
-    blocks = dealt(sound_rows, n_blocks).repartition(n_blocks, "__to").select("id", "v").mapInArrow(lambda b: pack(b, pivots, block_rows), form)
-    blocks = materialise(blocks, "vector-blocks")
-    asked = sound_rows.filter("is_query").dropDuplicates(["id", "v"])
-    q_blocks = -(-shape["n"] // (query_rows * 50)) or 1
-    asked = dealt(asked, q_blocks).repartition(q_blocks, "__to").select("id", "v").mapInArrow(lambda b: pack(b, pivots, query_rows), form)
-    asked = materialise(asked.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("d").alias("q_d")), "query-blocks")
-    # each query block goes to each vector block: n_blocks copies of the queries, which is the work of a stated query set
-    numbered = blocks.withColumn("__slot", F.pmod(F.xxhash64("block"), F.lit(n_blocks)))
-    sent = asked.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    units = numbered.join(sent, "__slot").select("ids", "x", "d", "q_ids", "q_x", "q_d")
-    n_p = len(pivots)
+    pivots = choose_pivots(_matrix(pa.array([r["v"] for r in seeds], pa.list_(pa.float64())), dim), n_pivots or max(1, 3 * dim // 4))
+    places = Places(pivots)
+    n_blocks, q_blocks = -(-shape["n"] // block_rows), max(1, -(-shape["q"] // query_rows))
+
+    def packed(df: DataFrame, n: int, rows: int) -> DataFrame:
+        """Blocks; slot is the partition that a block comes from, so every slot has its own blocks."""
+        dealt = df.repartitionById(n, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+        return dealt.select(F.spark_partition_id().alias("slot"), "id", "v").mapInArrow(lambda b: pack(b, pivots, dim, rows), BLOCK)
+
+    blocks = materialise(packed(sound_rows.select("id", "v"), n_blocks, block_rows), "vector-blocks")
+    asked = materialise(packed(sound_rows.filter("is_query").select("id", "v").distinct(), q_blocks, query_rows), "query-blocks")
+    q = [F.col(c).alias(f"q_{c}") for c in ("ids", "x", "d")]
+    units = ["ids", "x", "d", "q_ids", "q_x", "q_d"]
     with arrow_rows(spark, 4):  # a row is two blocks
-        found = materialise(units.mapInArrow(lambda b: search(b, dim, n_p, k), "query_id long, vec_id long, score long, evaluated long"), "found")
+        # the first block of a slot is enough for a first look
+        one = blocks.groupBy("slot").agg(F.min_by(F.struct("ids", "x", "d"), "ids").alias("b")).select("slot", "b.*")
+        met = asked.select(F.pmod("slot", F.lit(n_blocks)).alias("slot"), *q).join(one, "slot", "left").select(*units)
+        met = met.withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("ids", "x", "d")})
+        known = materialise(met.mapInArrow(lambda b: first_round(b, dim, places, k), "q_ids binary, q_x binary, q_d binary, q_floor binary"), "query-floors")
+        # each query block goes to each vector block: n_blocks copies of the queries, which is the work of a stated query set
+        sent = known.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        found = materialise(blocks.join(sent, "slot").select(*units, "q_floor").mapInArrow(lambda b: search(b, dim, places, k), FOUND), "found")
+    discard(blocks, asked, known)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")
+    total = found.groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
+    ranked = found.drop("evaluated").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return ranked.join(total, "query_id").select("query_id", "rank", "vec_id", "score", "evaluated")
