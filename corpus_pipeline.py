@@ -14,9 +14,15 @@ from weftline.session import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language's centroid is near go; a missing label is filled in."""
+    """Documents that no language's centroid is near go; a missing label is filled in.
+
+    Without any labelled document there is nothing to judge by, and all stay as they are.
+    """
     names = docs.columns
-    found = docs.withColumn("__found", langid.identify(langid.fit(docs), F.col("text"))).filter("not __found.rejected")
+    model = langid.fit(docs)
+    if model is None:
+        return docs
+    found = docs.withColumn("__found", langid.identify(model, F.col("text"))).filter("not __found.rejected")
     return found.withColumn("lang", F.coalesce("lang", "__found.lang_pred")).select(*names)
 
 
@@ -32,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by weight: a row for each repetition that the mix takes."""
+    """Sources by weight: a row for each repetition that the mix takes; columns as they are."""
     return mixing.mixed_rows(docs, mixing.mix(docs))
 
 
