@@ -61,24 +61,29 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
-def text_batches(spark: SparkSession, n: int = 1000) -> None:
-    """From now on the session sends at most so many rows at once to Python: whole texts are large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > n or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(n))
+def text_batches(spark: SparkSession, n: int = 1000, n_bytes: int = 16 << 20) -> None:
+    """From now on the session sends at most so many rows and bytes at once to Python: whole texts are large rows.
+
+    A row beyond n_bytes is a batch of its own. The setting stays, as the frames that operators return run later; smaller
+    settings of the session are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", n), ("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)):
+        have = int(str(spark.conf.get(key, "-1")).rstrip("b") or -1)
+        if have > most or have <= 0:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-SMALL = 20_000
+SMALL = 20_000  # rows; about 1 MB of a loop's table
 
 
 def hold(df: DataFrame, tag: str, like: DataFrame | None = None) -> DataFrame:
     """Cut the lineage of a loop's table: up to SMALL rows are held by the driver as a local relation, more are written.
 
-    Where `like` (the round before) had to be written, so is this one, without trying first.
+    The rows are the same either way. Where `like` (the round before) had to be written, so is this one, without trying first.
     """
     if getattr(like, "_weftline_path", None):
         return materialise(df, tag)
