@@ -17,6 +17,7 @@ from weftline.operators.difference import InvalidDifference, difference
 from weftline.operators.replace import CyclicDependency, replace
 from weftline.plans import prefix
 from weftline.semiring import Log, Tropical, is_zero
+from weftline.session import text_batches
 
 
 def sizes(fst):
@@ -376,3 +377,19 @@ def test_ranges(spark):
     assert len({x["b"] for x in got if x["k"] == 7}) > 200 and len({x["b"] for x in got if x["k"] is None}) > 40
     assert max(collections.Counter(x["b"] for x in got).values()) <= 120
     assert not prefix.ranges(df.limit(0), "k", 16).starts
+
+
+def test_text_batches_keep_smaller_settings(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = {k: spark.conf.get(k) for k in (rows, size)}
+    try:
+        for k in old:
+            spark.conf.unset(k)
+        text_batches(spark)
+        assert spark.conf.get(rows) == "1000" and spark.conf.get(size).rstrip("b") == str(16 << 20)
+        spark.conf.set(rows, "10")
+        text_batches(spark)
+        assert spark.conf.get(rows) == "10"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

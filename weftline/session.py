@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -68,8 +69,8 @@ def text_batches(spark: SparkSession, n: int = 1000, n_bytes: int = 16 << 20) ->
     settings of the session are kept.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", n), ("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)):
-        have = int(str(spark.conf.get(key, "-1")).rstrip("b") or -1)
-        if have > most or have <= 0:
+        have = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))  # a size in other units is the caller's choice
+        if have and not 0 < int(have[1]) <= most:
             spark.conf.set(key, str(most))
 
 
