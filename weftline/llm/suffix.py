@@ -53,7 +53,7 @@ ship_by_value(__name__)
 LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its trigger, or behind it
 NO_ID = -(2**63)
-GROUP = 20_000  # phrases of one trigger whose suffixes are sorted in memory, 70 MB of them
+GROUP = 2_000  # phrases of one trigger whose suffixes are sorted in memory, 7 MB of them
 CHUNK = 4096  # phrases whose suffixes are sorted at a time, as far as triggers allow
 _LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full((1 << 19) + LENGTH, ODD[20])], dtype=np.uint64)
