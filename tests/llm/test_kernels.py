@@ -109,7 +109,7 @@ def test_repeated_spans(trial, monkeypatch):
     words = ["".join(dice.choice("abcdefgé") for _ in range(dice.randint(1, 6))) for _ in range(400)]
     if trial % 2:  # long texts in parts
         whole = suffix.pieces
-        monkeypatch.setattr(suffix, "pieces", lambda c, overlap: whole(c, limit=300, overlap=overlap))
+        monkeypatch.setattr(suffix, "pieces", lambda c, limit, overlap: whole(c, limit=300, overlap=overlap))
     base = [" ".join(dice.choice(words) for _ in range(60)) for _ in range(6)]
     docs = []
     for _ in range(60):

@@ -57,20 +57,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_P), run(pow(_P, -1, 2**64))
 
 
-_UP, _DOWN = _powers((1 << 19) + 1)
 LONG = 1 << 19  # bytes of a text that are hashed at a time
 
 
-def _word_hashes(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _word_hashes(total: np.ndarray, first: np.ndarray, last: np.ndarray, down: np.ndarray) -> np.ndarray:
     """Hashes of words from their first to their last byte, but for their length; total are sums of byte values times powers."""
-    return (total[last + 1] - total[first]) * _DOWN[first]
+    return (total[last + 1] - total[first]) * down[first]
 
 
 def _ended(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mixed(raw + length.astype(np.uint64) * ODD[31])
 
 
-def _words_of_long(data: np.ndarray) -> np.ndarray:
+def _words_of_long(data: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
     """Word hashes of a text of any length, LONG bytes at a time; a word that a part ends in is carried on."""
     out, raw, length = [], np.uint64(0), 0
     for at in range(0, len(data), LONG):
@@ -80,8 +79,8 @@ def _words_of_long(data: np.ndarray) -> np.ndarray:
         begins[1:] &= space[:-1]
         ends[:-1] &= space[1:]
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-        total = np.r_[np.uint64(0), np.cumsum(TABLE[_lower[part]] * _UP[:n], dtype=np.uint64)]
-        v, m = _word_hashes(total, first, last), last - first + 1
+        total = np.r_[np.uint64(0), np.cumsum(TABLE[_lower[part]] * up[:n], dtype=np.uint64)]
+        v, m = _word_hashes(total, first, last, down), last - first + 1
         if length and len(first) and first[0] == 0:
             v[:1] = raw + v[:1] * np.uint64(pow(_P, length, 2**64))
             m[0] += length
@@ -112,11 +111,12 @@ def _short(w: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit shingle hashes) of every whole text; what is held grows with the number of its words."""
+    up, down = _powers(LONG + 1)  # made here, as constants of this module would be sent with every function
     for data, offsets, rows, _ in pieces(column):
         n = len(data)
         if n > LONG:
             for i, row in enumerate(rows):  # a long text is a piece of its own
-                w = _words_of_long(data[offsets[i] : offsets[i + 1]])
+                w = _words_of_long(data[offsets[i] : offsets[i + 1]], up, down)
                 yield int(row), np.unique(_shingles(w, words)) if len(w) >= words else _short(w) if len(w) else np.empty(0, np.uint64)
             continue
         if not n:
@@ -133,8 +133,8 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
         ends[inner[inner > 0] - 1] = ~space[inner[inner > 0] - 1]
         first, last = np.flatnonzero(begins), np.flatnonzero(ends)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLE[_lower[data]] * _UP[:n], out=total[1:])
-        w = _ended(_word_hashes(total, first, last), last - first + 1)
+        np.cumsum(TABLE[_lower[data]] * up[:n], out=total[1:])
+        w = _ended(_word_hashes(total, first, last, down), last - first + 1)
         bounds = np.searchsorted(first, offsets)
         full = _shingles(w, words) if len(w) >= words else np.zeros(0, np.uint64)
         for i, row in enumerate(rows):

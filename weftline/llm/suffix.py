@@ -54,10 +54,9 @@ LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its trigger, or behind it
 NO_ID = -(2**63)
 GROUP = 2_000  # phrases of one trigger whose suffixes are sorted in memory, 7 MB of them
+PIECE = 1 << 19  # bytes of text that are parsed at a time
 CHUNK = 4096  # phrases whose suffixes are sorted at a time, as far as triggers allow
 _LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
-_POWERS = np.cumprod(np.r_[np.uint64(1), np.full((1 << 19) + LENGTH, ODD[20])], dtype=np.uint64)
-_INVERSE = np.cumprod(np.r_[np.uint64(1), np.full((1 << 19) + LENGTH, pow(int(ODD[20]), -1, 2**64), np.uint64)], dtype=np.uint64)
 PARSE = "k1 long, k2 long, sides int, doc long, twin long, at long"
 _PARSE = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("sides", pa.int32()), *((c, pa.int64()) for c in ("doc", "twin", "at"))])
 FOUND = "t long, doc long, twin long, first long, last long, kind int"
@@ -118,10 +117,11 @@ def _side(h32: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, hash, text) -> phrases. Parts of a very long text are parsed each for itself, which only splits phrases."""
     width = LENGTH - GRAM + 1
-    powers, inverse = _POWERS, _INVERSE
+    # made in each task: as a constant of this module they would be sent with every function and stay in workers
+    powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(PIECE + LENGTH, x, np.uint64)], dtype=np.uint64) for x in (int(ODD[20]), pow(int(ODD[20]), -1, 2**64)))
     for batch in batches:
         ids, twins = np.asarray(batch.column(0).fill_null(NO_ID), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64)
-        for data, offsets, rows, base in pieces(batch.column(2), overlap=LENGTH - 1):
+        for data, offsets, rows, base in pieces(batch.column(2), limit=PIECE, overlap=LENGTH - 1):
             if len(data) < LENGTH:
                 continue
             h32, h64, _ = byte_hashes(data)
@@ -142,8 +142,6 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spot = trigger[first]
             lead = spot - first
             e = mixed(w[first] * ODD[11] + w[last] * ODD[12] + run.astype(np.uint64) * ODD[13] + lead.astype(np.uint64) * ODD[14])
-            if len(powers) <= len(data):
-                powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(data), x[1])], dtype=np.uint64) for x in (powers, inverse))
             total = np.r_[np.uint64(0), np.cumsum(TABLE[data ^ np.uint8(0xA5)] * powers[: len(data)], dtype=np.uint64)]
             other = mixed((total[last + LENGTH] - total[first]) * inverse[first] + run.astype(np.uint64) * ODD[15] + lead.astype(np.uint64) * ODD[16])
             sides = (_side(h32, spot - GRAM, lead >= SIDE) << np.uint32(16)) | _side(h32, spot + GRAM, spot - last <= SIDE)
