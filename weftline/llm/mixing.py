@@ -95,7 +95,8 @@ def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_c
     plan = plan.groupBy(*key).agg(F.max("whole").alias("__whole"), F.max("size").alias("__size"), F.min("part").alias("__least"), F.max("part").alias("__most"), F.count(F.when(F.col("part") == F.col("size"), 1)).alias("__full"), F.max(F.when(F.col("part") < F.col("size"), F.col("part"))).alias("__rest"))
     plan = materialise(plan.filter("__whole > 0 or __most > 0"), "mix-plan")
     even = keyed.join(plan.filter("__least = __most"), key).withColumn("__part", F.col("__most"))
-    split = materialise(keyed.join(plan.filter("__least < __most"), key).withColumn("__range", F.spark_partition_id()), "mix-split")
+    ends = materialise(plan.filter("__least < __most"), "mix-ends")  # a row a source at most, so texts need no shuffle here
+    split = materialise(keyed.join(ends, key).withColumn("__range", F.spark_partition_id()), "mix-split")
     split = numbered(split, key, "__range", [F.col("__hash")], "__at")
     split = split.withColumn("__part", F.when(F.col("__at") < F.col("__full"), F.col("__size")).when(F.col("__at") == F.col("__full"), F.coalesce("__rest", F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("__at", "__range")
     out = even.unionByName(split.select(*even.columns))
