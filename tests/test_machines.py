@@ -386,7 +386,7 @@ def test_text_batches_keep_smaller_settings(spark):
         for k in old:
             spark.conf.unset(k)
         text_batches(spark)
-        assert spark.conf.get(rows) == "1000" and spark.conf.get(size).rstrip("b") == str(16 << 20)
+        assert spark.conf.get(rows) == "1000" and spark.conf.get(size).rstrip("b") == str(8 << 20)
         spark.conf.set(rows, "10")
         text_batches(spark)
         assert spark.conf.get(rows) == "10"

@@ -23,8 +23,8 @@ def bucket_count(df: DataFrame) -> int:
 
 
 def hash_bucket(df: DataFrame, hexes: Column) -> Column:
-    """A bucket that agrees with the order of hexadecimal hashes: so many first digits that there are bucket_count() at least."""
-    return F.substring(hexes, 1, max(2, -(-(bucket_count(df) - 1).bit_length() // 4)))
+    """One of bucket_count() equal ranges of hexadecimal hashes."""
+    return F.shiftright(F.conv(F.substring(hexes, 1, 8), 16, 10).cast("long") * F.lit(bucket_count(df)), 32)
 
 
 def _constant(values: list[int]) -> Column:

@@ -62,7 +62,7 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
-def text_batches(spark: SparkSession, n: int = 1000, n_bytes: int = 16 << 20) -> None:
+def text_batches(spark: SparkSession, n: int = 1000, n_bytes: int = 8 << 20) -> None:
     """From now on the session sends at most so many rows and bytes at once to Python: whole texts are large rows.
 
     A row beyond n_bytes is a batch of its own. The setting stays, as the frames that operators return run later; smaller
