@@ -1,5 +1,7 @@
 """The corpus pipeline against a plain version of its stages, and the registered queries' shapes."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -7,6 +9,8 @@ from tests.llm import brute
 from weftline.llm import queries
 
 SF = "/root/testdata/sf0.001"
+WORD_AND_SPACE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_pipeline(spark):
@@ -25,7 +29,7 @@ def test_pipeline(spark):
         whole, part = divmod(taken, size)
         mixed += [r] * whole
         if part:
-            mixed.append(dict(r, text=" ".join(brute.WORD.findall(r["text"])[:part])))
+            mixed.append(dict(r, text="".join(WORD_AND_SPACE.findall(r["text"])[:part])))
     want = brute.pack(mixed)
     got = [(r["doc_id"], r["n_tokens"], r["bucket"], r["bucket_len"], r["batch"], r["slot"]) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(want)
@@ -35,3 +39,27 @@ def test_pipeline(spark):
 def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, SF)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "the same words in every row " * 3, "en", "s", 81)] * 4 + [(None, "the same words in every row " * 3, None, None, None), (2, "", "en", "s", 0), (2, None, "en", None, None)]])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """Empty tables, nulls in any column, repeated rows, other columns with clashing names: no stage fails, and columns stay."""
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as size", "2 as bucket", "'y' as node", "3 as row_hash", "4 as source_size", "5 as spans")
+    names = docs.columns
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names, name
+        out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}")
+        sizes.append(docs.count())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == sizes[-1]
+    if rows and rows[0][0] == 1:
+        assert {r["doc_id"] for r in docs.collect()} == {1}  # one row of the copies stays, twice as often as its source may be read
+    if not rows:
+        assert sizes == [0] * 4
+
+
+def test_pipeline_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, None, None, None, None)], SCHEMA)
+    assert corpus_pipeline.language(spark, docs, SF).count() == 2
