@@ -27,7 +27,7 @@ def _linear(labels: DataFrame) -> Fst:
     states = states.select("fst_id", "state", F.when(F.col("state") == F.col("n"), F.lit(0.0)).alias("final_weight"))
     arcs = labels.select("fst_id", F.posexplode("labels").alias("p", "l"))
     arcs = arcs.select("fst_id", F.col("p").cast("long").alias("src"), "l.ilabel", "l.olabel", F.lit(0.0).alias("weight"), (F.col("p") + 1).cast("long").alias("dst"))
-    return Fst(meta, states, arcs, chains=labels.select("fst_id", n.alias("n")))
+    return Fst(meta, states, arcs, dense=True, chains=labels.select("fst_id", n.alias("n")))
 
 
 def compile_strings(df: DataFrame, id_col: str, text_col: str) -> Fst:

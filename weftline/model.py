@@ -36,6 +36,7 @@ class Fst:
     arcs: DataFrame
     semiring: type[Tropical] = Tropical
     encoding: str = "byte_plus_one"
+    dense: bool = False  # whether states are known to be numbered 0, 1, ... in each machine
     chains: DataFrame | None = None  # of a batch of chains: fst_id and the number of arcs, so that counting needs no arcs
 
     @property
@@ -45,11 +46,12 @@ class Fst:
     def with_(self, **changes) -> Fst:
         if {"meta", "states", "arcs"} & set(changes):
             changes.setdefault("chains", None)
+            changes.setdefault("dense", False)
         return replace(self, **changes)
 
     def cut(self, tag: str = "fst") -> Fst:
         """The same batch with its lineage cut, so that plans don't grow with the number of operations."""
-        return self.with_(meta=hold(self.meta, f"{tag}-meta"), states=hold(self.states, f"{tag}-states"), arcs=hold(self.arcs, f"{tag}-arcs"))
+        return self.with_(meta=hold(self.meta, f"{tag}-meta"), states=hold(self.states, f"{tag}-states"), arcs=hold(self.arcs, f"{tag}-arcs"), dense=self.dense)
 
     # accessors
 
@@ -110,13 +112,15 @@ class Fst:
 
         A machine's states are numbered in up to CELLS parts of equal width, so that no machine is one window.
         """
+        if self.dense:
+            return self
         states = self.states.select("fst_id", "state")
         span = states.groupBy("fst_id").agg(F.min("state").alias("lo"), F.max("state").alias("hi"))
         # halves first: the distance of two ids may be more than a long holds
         half = lambda c: F.shiftright(c, 1)
         cell = F.floor((half("state") - half("lo")) / (F.floor((half("hi") - half("lo")) / F.lit(CELLS)) + 1)).cast("long")
         placed = states.join(span, "fst_id").select("fst_id", "state", cell.alias("cell"))
-        return self.remap(numbered(placed, ["fst_id"], "cell", [F.col("state")], "to").select("fst_id", "state", "to"))
+        return self.remap(numbered(placed, ["fst_id"], "cell", [F.col("state")], "to").select("fst_id", "state", "to")).with_(dense=True)
 
     # checks
 

@@ -552,10 +552,13 @@ def determinize_weights(spark, sf):
     return words_of(reduce.determinize(strings.any_of_strings(w, "id", "p_name", "p_size").cut("names")))
 
 
-@query("SELECT 1 AS most")
+@query("""WITH p AS (SELECT DISTINCT substr(p_name, 1, k) AS p FROM (SELECT DISTINCT p_name, unnest(range(0, length(p_name) + 1)) AS k FROM part))
+SELECT 1 AS most, count(*) AS num_states, count(*) - 1 AS num_arcs FROM p""")
 def determinize_is_dfa(spark, sf):
+    """A state for each prefix, and one arc at most for each state and label."""
     d = reduce.determinize(some_words(spark, sf, "p_name"))
-    return d.arcs.groupBy("src", "ilabel").count().agg(F.max("count").alias("most"))
+    most = d.arcs.groupBy("src", "ilabel").count().agg(F.max("count").alias("most"))
+    return most.crossJoin(d.sizes().select("num_states", "num_arcs"))  # one row each
 
 
 @query("""WITH w AS (SELECT DISTINCT p_name AS s FROM part), p AS (SELECT DISTINCT substr(s, 1, k) AS p FROM (SELECT s, unnest(range(0, length(s) + 1)) AS k FROM w)),

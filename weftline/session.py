@@ -78,7 +78,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-SMALL = 20_000  # rows; about 1 MB of a loop's table
+SMALL = 100_000  # rows; a few MB of a loop's table
 
 
 def hold(df: DataFrame, tag: str, like: DataFrame | None = None) -> DataFrame:
@@ -91,7 +91,8 @@ def hold(df: DataFrame, tag: str, like: DataFrame | None = None) -> DataFrame:
     rows = df.limit(SMALL + 1).toArrow()
     if rows.num_rows > SMALL:
         return materialise(df, tag)
-    out = df.sparkSession.createDataFrame(rows, df.schema)
+    # in one partition, so that rounds over small tables need no shuffle
+    out = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
     out._weftline_rows = rows.num_rows
     return out
 
