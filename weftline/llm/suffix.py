@@ -54,7 +54,7 @@ LENGTH, GRAM = 100, 32
 SIDE = (LENGTH - GRAM) // 2  # every string holds that many bytes before its trigger, or behind it
 NO_ID = -(2**63)
 GROUP = 2_000  # phrases of one trigger whose suffixes are sorted in memory, 7 MB of them
-PIECE = 1 << 19  # bytes of text that are parsed at a time
+PIECE = 1 << 18  # bytes of text that are parsed at a time
 CHUNK = 4096  # phrases whose suffixes are sorted at a time, as far as triggers allow
 _LOW, _24, _32, _40, _48 = np.uint64(0xFFFFFFFF), *(np.uint64(x) for x in (24, 32, 40, 48))
 PARSE = "k1 long, k2 long, sides int, doc long, twin long, at long"
