@@ -22,8 +22,8 @@ phrase never decides, and the order is made of two parts:
 Rows are sorted inside hash partitions and read as a stream; equal phrases inside one piece of input are merged before
 the shuffle, which takes the heat off frequent passages. The suffixes of one trigger's phrases are sorted in memory, up
 to GROUP phrases. The phrases of a trigger with more are dealt out by their 100-byte strings, a row of bytes each, so
-that no worker holds them all; that is the same comparison, and takes about 4.6 KB of disk for such a phrase where
-others take 170 bytes.
+that no worker holds them all; that is the same comparison, and by count takes up to 69 rows of 100 bytes for such a
+phrase, before compression, where others take one row.
 
 Two different phrases of one trigger count as equal only if 88 bits of two independent hashes agree; strings of the
 dictionary are compared by their bytes.
