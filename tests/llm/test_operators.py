@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from weftline.llm import chat, fingerprints, langid, licences, mixing, neardup, packing, sharding, suffix, topk
+from weftline.llm import chat, fingerprints, langid, licences, mixing, neardup, packing, queries, sharding, suffix, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size string, bucket int, shard int, node string, key string, label int, target string, taken int, runs string, spans string, n int, id int, sig int, `rank` int, whole int, digest string"
@@ -431,6 +431,14 @@ def test_licence_files(spark):
     assert [got[i] for i in range(len(files))] == [x for x, _ in files]
 
 
+def test_files_of_the_licence_query(spark):
+    """Every file hits but those with more text."""
+    files = queries.licence_files()
+    got = {r["doc_id"]: r["licence_id"] for r in licences.scan(spark.createDataFrame(files, "doc_id long, text string")).collect()}
+    for i, name in enumerate(sorted(licences.KNOWN)):
+        assert [got[-10 * i - k - 1] for k in range(5)] == [name] * 4 + [None]
+
+
 def test_licences_known_as_a_table(spark):
     known = spark.createDataFrame([("b", "Do as you like per cent."), ("a", "do AS you  like, percent")], "licence_id string, text string")
     docs = spark.createDataFrame([(1, "Do as you like, per cent!"), (2, "do as you like per center"), (3, "x\nlicence licence\ny"), (4, "Copyright (c) 2020 X\ndo as you like percent")], "doc_id long, text string")

@@ -50,7 +50,7 @@ _THIRD = "3. Neither the name of the copyright holder nor the names of its contr
 KNOWN["BSD-3-Clause"] = KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS", _THIRD, 1)
 KNOWN |= {x.stem: x.read_text(encoding="utf-8") for x in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 # fixed values: spellings that mean the same, after punctuation has become spaces
-SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"))
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("licencee", "licensee"), ("licencees", "licensees"), ("licencor", "licensor"), ("licencors", "licensors"), ("sublicence", "sublicense"), ("sublicences", "sublicenses"), ("sublicenced", "sublicensed"), ("sublicencing", "sublicensing"), ("sublicencees", "sublicensees"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"))
 _CLAIM = r"copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|yyyy|by )[^\n]{0,150}?(all rights reserved|$)|(©|\(c\))[^\n]{0,40}$"
 _HOLDER = r"copyright [^\n]{0,80}(authors|inc|ltd|llc|all rights reserved)[^\p{L}\p{N}\n]*$|all rights reserved[^\p{L}\p{N}\n]*$"
 _TITLE = r"(the )?(mit|isc|((simplified|new|revised|modified) )?bsd|bsd[ -][23][ -]clause)( [^\p{L}\p{N}\n]?(simplified|new|revised|modified)[^\p{L}\p{N}\n]?)? licen[cs]e( \([^)\n]{0,40}\))?[^\p{L}\p{N}\n]*$"
