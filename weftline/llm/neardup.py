@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textbytes import ODD, TABLE, mixed, pieces
+from weftline.llm.textbytes import ODD, TABLE, lean, mixed, pieces
 from weftline.session import arrow_rows, discard, materialise, ship_by_value, text_batches
 
 ship_by_value(__name__)
@@ -326,25 +326,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = texts.withColumn("hash", F.xxhash64("text"))
-    signed = materialise(hashed.mapInArrow(lambda b: _sign(b, words), "id long, hash long, n long, node long, sig binary"), "signed")
+    signed = materialise(hashed.mapInArrow(lambda b: lean(_sign(b, words)), "id long, hash long, n long, node long, sig binary"), "signed")
     # rep is the class's smallest id; where is a row whose text stands for the class
     classes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct("hash", "id")).alias("where"), F.first("sig").alias("sig")), "classes")
-    rows = classes.select("node", "sig").mapInArrow(_bands, "key long, node long")
+    rows = classes.select("node", "sig").mapInArrow(lambda b: lean(_bands(b)), "key long, node long")
     shared = rows.groupBy("key").count().filter("count > 1").select("key")
     members = materialise(rows.join(shared, "key"), "members")
     sigs = materialise(classes.join(members.select("node").distinct(), "node", "left_semi"), "candidates")
     wanted = sigs.select("node", F.col("where.hash").alias("hash"), F.col("where.id").alias("id"))
     sets = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["id"].eqNullSafe(wanted["id"])).select("node", "text")
-    sets = materialise(sets.mapInArrow(lambda b: _keep_sets(b, words), "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = materialise(sets.mapInArrow(lambda b: lean(_keep_sets(b, words)), "node long, members binary").dropDuplicates(["node"]), "sets")
     steps = least_matches(percent / 100, miss)
 
     def survivors(pairs: DataFrame) -> DataFrame:
         one, two = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda b: _compare(b, steps), "a long, b long, equal long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda b: lean(_compare(b, steps)), "a long, b long, equal long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "members_a", "members_b").mapInArrow(lambda b: _confirm(b, percent), "a long, b long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "members_a", "members_b").mapInArrow(lambda b: lean(_confirm(b, percent)), "a long, b long")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components after links (a, b) between classes."""
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         of = lambda s: packs.select(F.col("block").alias(f"block_{s}"), F.col("pack").alias(f"pack_{s}"))
         units = units.join(of("x"), "block_x").join(of("y"), "block_y").select("pack_x", "pack_y", (F.col("block_x") == F.col("block_y")).alias("same"))
         with arrow_rows(spark, 4):
-            links = materialise(units.mapInArrow(lambda b: _meet(b, steps, percent), "a long, b long"), "links")
+            links = materialise(units.mapInArrow(lambda b: lean(_meet(b, steps, percent)), "a long, b long"), "links")
         discard(packs)
         return links
 

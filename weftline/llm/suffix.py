@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textbytes import ODD, TABLE, byte_hashes, mixed, pieces, sliding_min, window_hashes
+from weftline.llm.textbytes import ODD, TABLE, byte_hashes, lean, mixed, pieces, sliding_min, window_hashes
 from weftline.session import discard, materialise, ship_by_value, shuffle_partitions, text_batches
 
 ship_by_value(__name__)
@@ -342,14 +342,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     key, twin = _key(id_col, text_col)
     texts = docs.select(key.alias("key"), twin.alias("twin"), F.col(text_col).alias("text"))
-    parsed = _sorted(texts.mapInArrow(parse, PARSE), F.shiftright("k1", 24), "k1", "k2", "doc", "twin", "at")
-    found = materialise(parsed.mapInArrow(settle, FOUND), "phrases")
+    parsed = _sorted(texts.mapInArrow(lambda b: lean(parse(b)), PARSE), F.shiftright("k1", 24), "k1", "k2", "doc", "twin", "at")
+    found = materialise(parsed.mapInArrow(lambda b: lean(settle(b)), FOUND), "phrases")
     runs = found.filter(F.col("kind") != REPEAT).groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("t", "first", "last", "kind")).alias("runs"))
     small = texts.select("key", "twin", F.arrow_udf(_packed, "binary")("text").alias("data"))
-    phrases = small.join(runs, ["key", "twin"]).select("key", "twin", "data", "runs").mapInArrow(entries, PHRASES)
+    phrases = small.join(runs, ["key", "twin"]).select("key", "twin", "data", "runs").mapInArrow(lambda b: lean(entries(b)), PHRASES)
     # strings of a trigger with too many phrases meet by their bytes' hash, others by their trigger
     phrases = phrases.withColumn("t", F.when(F.col("spread"), F.xxhash64("data")).otherwise(F.col("t")))
-    more = _sorted(phrases, F.col("t"), "t", "spread", "doc", "twin", "at").mapInArrow(dictionary, SPANS)
+    more = _sorted(phrases, F.col("t"), "t", "spread", "doc", "twin", "at").mapInArrow(lambda b: lean(dictionary(b)), SPANS)
     spans = found.filter(F.col("kind") == REPEAT).select("doc", "twin", "first", "last").unionByName(more)
     spans = materialise(spans.groupBy(F.col("doc").alias("key"), "twin").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     discard(found)
