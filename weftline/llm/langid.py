@@ -204,4 +204,5 @@ def identify(model: Model | None, text: Column) -> Column:
         langs, score, rejected = model.classify(texts, np.asarray(letters, dtype=bool))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    return F.arrow_udf(classify, RESULT)(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    # named nondeterministic, or a filter on the result would be pushed below it and every text classified twice
+    return F.arrow_udf(classify, RESULT).asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
