@@ -414,7 +414,9 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their repeated spans removed from the text; n_chars follows where there is such a column."""
     names = docs.columns
-    out = _with_spans(docs, id_col, text_col).withColumn(text_col, F.arrow_udf(_kept_text, "string")(F.col("__data"), F.col("__spans")))
+    # named nondeterministic, or a filter on the text would be pushed below it and every text cut twice
+    cut = F.arrow_udf(_kept_text, "string").asNondeterministic()
+    out = _with_spans(docs, id_col, text_col).withColumn(text_col, cut(F.col("__data"), F.col("__spans")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
