@@ -63,3 +63,11 @@ def test_pipeline_of_odd_tables(spark, tmp_path, rows):
 def test_pipeline_without_labels_keeps_all(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, None, None, None, None)], SCHEMA)
     assert corpus_pipeline.language(spark, docs, SF).count() == 2
+
+
+@pytest.mark.parametrize(("stage", "function"), [("language", "classify("), ("repeated_passages", "_kept_text(")])
+def test_filters_stay_above_functions(spark, stage, function):
+    """A filter on a function's result must not be pushed below it, or the function runs twice on each text."""
+    out = dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line and function in line for line in plan.splitlines()) == 1
