@@ -342,6 +342,49 @@ def test_topk_of_large_components(spark):
     assert [r["vec_id"] for r in topk.top_k(zeros, F.col("vec_id") == 2).orderBy("rank").collect()] == [0, 1, 3]
 
 
+def sent_to_driver(spark, run):
+    """Bytes of all tasks' results in the stages of a call."""
+    sc = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).resultSize() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for i, n in stages().items() if i not in before)
+
+
+def test_topk_sends_no_copies_to_the_driver(spark):
+    """What the driver gets doesn't grow with the vector blocks that queries meet, nor with the table's partitions."""
+    dice = random.Random(4)
+    rows = [(i, [dice.gauss(0, 1) for _ in range(32)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)
+    call = lambda **x: sent_to_driver(spark, lambda: topk.top_k(df, F.col("vec_id") % 10 == 0, n_seeds=100, **x))
+    (one, few_bytes), (many, bytes_sent) = call(), call(block_rows=100, query_rows=30)
+    assert bytes_sent < few_bytes + 500_000  # 300 queries of 464 bytes and 30 blocks: 4 MB as copies
+    assert few_bytes < 300_000  # 8 tasks of 100 seeds each: 260 kB, besides reports
+    key = ("query_id", "rank", "vec_id", "score")
+    same(tuples(many, *key), tuples(one, *key))
+
+
+def test_topk_seeds_are_the_lowest_hashes(spark):
+    """Whether ids differ or all are the same, as many seeds as there can be, in the order of hashes."""
+    df = spark.range(2000).select("id", F.array(F.col("id").cast("float")).alias("v"))
+    want = [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(20).collect()]
+    assert [r["id"] for r in topk.seed_rows(df, 2000, 20)] == want
+    assert len(topk.seed_rows(df.withColumn("id", F.lit(5)), 2000, 20)) == 20
+    assert len(topk.seed_rows(df.filter("id < 7"), 7, 20)) == 7
+
+
+def test_topk_of_scores_below_a_long(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=10)
+    assert tuples(got.orderBy("rank"), "vec_id", "score") == [(1, 2**63 - 1), (2, -(2**63))]
+
+
 class Rewriting(chat.TurnTemplate):
     """Numbers all turns from the end, and so changes what it said before."""
 

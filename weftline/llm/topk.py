@@ -11,11 +11,13 @@ evaluated in the order of that bound, and a query stops when the bound of the ne
 score that is known: everything left is eliminated.
 
 Layout: vectors are packed into blocks of at most block_rows rows, queries likewise. In a first round each query block
-meets one vector block, and the k-th best score found there goes along with the query: no other block needs to look at
-candidates below it. Then every pair of a query block and a vector block is one unit of work with bounded memory that
-keeps k rows a query at most. A last window per query merges those. Pivots are a bounded number of vectors (three
-quarters of the dimension, unless said otherwise), chosen far from the span of those before among the first n_seeds
-rows in the order of a hash, so what tasks receive has a fixed size.
+meets a few vector blocks (the square root of their number), and the k-th best score found there goes along with the
+query: no other block needs to look at candidates below it. Then every query block meets every vector block, as the
+product of the two tables: each task reads a part of each, so no copies of either are shuffled, broadcast or sent to the
+driver. A task keeps k rows a query, whose k-th score raises the bound for its next block, and a last window per query
+merges the tasks' rows. Pivots are a bounded number of vectors (three quarters of the dimension, unless said otherwise),
+chosen far from the span of those before among the first n_seeds rows in the order of a hash, so what the driver and
+tasks receive has a fixed size.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do those of which a
 component times 1024 is no finite number; a score beyond the range of a long is given as the nearest long, and ranks
@@ -25,6 +27,7 @@ query's own id is no candidate; ties go to the smaller id; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,9 @@ SCALE = 1024
 STEP = 32  # candidates that are evaluated between two looks at the bound
 HUGE = 1e120  # components beyond this make bounds overflow, so all candidates are evaluated
 _MIN, _MAX = -(2**63), 2**63 - 1
-BLOCK = "slot int, ids binary, x binary, d binary"
+QUERY_PART = 64  # query blocks that a task holds at most
+TASKS = 10_000  # of the product of both tables; the driver keeps a record of each
+BLOCK = "slot int, part int, ids binary, x binary, d binary"
 FOUND = "query_id long, vec_id long, score long, evaluated long"
 
 
@@ -94,78 +99,134 @@ class Places:
         return inside, np.sqrt(np.maximum(norms - (inside * inside).sum(1), 0))
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all."""
+    most = np.abs(x).max(initial=0)
+    return next((x.astype(t).tobytes() for t in (np.int16, np.int32) if most <= np.iinfo(t).max), x.tobytes())
+
+
 def pack(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(slot, id, vector) -> one row a block: slot, ids, vectors, pivot distances as bytes."""
+    """(slot, id, vector) -> one row a block: slot, its number there, ids, vectors, pivot distances as bytes."""
+    n = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             ids = np.asarray(part.column(1), dtype=np.int64)
             x = _matrix(part.column(2), dim)
-            yield pa.RecordBatch.from_pydict({"slot": part.column(0)[:1], "ids": [ids.tobytes()], "x": [x.tobytes()], "d": [_distances(x, pivots).tobytes()]})
-
-
-def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray, k: int, exact: bool, floor: int) -> tuple[np.ndarray, list[int], int]:
-    """Rows of x with the k best scores that reach floor (ties: smaller id), the scores, and how many were evaluated."""
+            yield pa.RecordBatch.from_pydict({"slot": part.column(0)[:1], "part": pa.array([n], pa.int32()), "ids": [ids.tobytes()], "x": [_narrow(x)], "d": [_distances(x, pivots).tobytes()]})
+            n += 1
+
+
+class Block:
+    """Rows of a packed block and where they lie."""
+
+    def __init__(self, ids: bytes, x: bytes, d: bytes, dim: int, places: Places):
+        self.ids = np.frombuffer(ids, np.int64)
+        n = len(self.ids)
+        self.x = np.frombuffer(x, {2: np.int16, 4: np.int32, 8: np.float64}[len(x) // (n * dim)]).reshape(n, dim).astype(np.float64)
+        self.most = np.abs(self.x).max(initial=0)
+        if self.most < HUGE:
+            self.norms = (self.x * self.x).sum(1)
+            self.inside, self.rest = places.of(np.frombuffer(d).reshape(n, len(places.norms)), self.norms)
+
+    def bounds(self, other: Block) -> np.ndarray:
+        """Upper bounds of the inner products with another block's rows."""
+        if max(self.most, other.most) >= HUGE:
+            return np.full((len(self.ids), len(other.ids)), np.inf)
+        slack = (self.norms[:, None] + other.norms[None, :]) * 1e-9 + 1  # covers the rounding of distances and coordinates
+        return np.maximum(self.inside @ other.inside.T + np.outer(self.rest, other.rest) + slack, _MIN)  # no score is given as less
+
+
+class Asked:
+    """A query block with the best rows of the vector blocks it has met."""
+
+    def __init__(self, row: dict, dim: int, places: Places):
+        self.packed = {c: row[c] for c in ("q_slot", "q_part", "q_ids", "q_x", "q_d")}
+        self.block = Block(row["q_ids"], row["q_x"], row["q_d"], dim, places)
+        n = len(self.block.ids)
+        self.floors = np.frombuffer(row["q_floor"], np.int64) if row.get("q_floor") else np.full(n, _MIN)
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64))] * n  # scores from the best, ids
+        self.evaluated = [0] * n
+
+    def meet(self, block: Block, k: int) -> None:
+        bounds = self.block.bounds(block)
+        exact = bool(block.x.shape[1] * max(self.block.most, block.most) ** 2 < 2**52)
+        for i, qid in enumerate(self.block.ids):
+            bound = np.where(block.ids == qid, -np.inf, bounds[i])
+            self.found[i], n = best(self.block.x[i], block, bound, k, exact, int(self.floors[i]), *self.found[i])
+            self.evaluated[i] += n
+
+
+def best(q: np.ndarray, block: Block, bound: np.ndarray, k: int, exact: bool, floor: int, scores: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The k best of the scores and ids so far and those of a block that reach floor (ties: smaller id), and how many were evaluated."""
+    if len(scores) == k:
+        floor = max(floor, int(scores[-1]))
     order = np.flatnonzero(bound >= floor)
     order = order[np.argsort(-bound[order], kind="stable")]
-    kept, scores, at = np.empty(0, np.int64), [], 0
-    while at < len(order):
-        if len(kept) == k and bound[order[at]] < scores[-1]:
-            break
+    at = 0
+    while at < len(order) and bound[order[at]] >= floor:
         rows = order[at : at + STEP]
         if exact:
-            more = [int(s) for s in x[rows] @ q]
+            more = (block.x[rows] @ q).astype(np.int64)
         else:
-            more = [min(_MAX, max(_MIN, sum(int(a) * int(b) for a, b in zip(x[r], q, strict=True)))) for r in rows]
-        both, scores = np.concatenate([kept, rows]), scores + more
-        first = sorted(range(len(both)), key=lambda i: (-scores[i], ids[both[i]]))[:k]
-        kept, scores = both[first], [scores[i] for i in first]
+            more = np.array([min(_MAX, max(_MIN, sum(int(a) * int(b) for a, b in zip(block.x[r], q, strict=True)))) for r in rows], np.int64)
         at += len(rows)
-    return kept, scores, at
-
-
-def _units(row: dict, dim: int, places: Places, k: int) -> Iterator[tuple[int, np.ndarray, list[int], int, np.ndarray]]:
-    """Of a query block and a vector block: each query's id, its best rows, their scores, the number evaluated, and all ids."""
-    n_pivots = len(places.norms)
-
-    def read(a: str, b: str, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(row[a]) // 8
-        return np.frombuffer(row[a], np.int64), np.frombuffer(row[b]).reshape(n, dim), np.frombuffer(row[c]).reshape(n, n_pivots)
-
-    (ids, x, d), (qids, qx, qd) = read("ids", "x", "d"), read("q_ids", "q_x", "q_d")
-    floors = np.frombuffer(row["q_floor"], np.int64) if row.get("q_floor") else np.full(len(qids), _MIN)
-    most = max(np.abs(x).max(initial=0), np.abs(qx).max(initial=0))
-    if most < HUGE:
-        norms, q_norms = (x * x).sum(1), (qx * qx).sum(1)
-        (c, r), (qc, qr) = places.of(d, norms), places.of(qd, q_norms)
-        slack = (q_norms[:, None] + norms[None, :]) * 1e-9 + 1  # covers the rounding of distances and coordinates
-        bounds = qc @ c.T + np.outer(qr, r) + slack
-    else:
-        bounds = np.full((len(qids), len(ids)), np.inf)
-    exact = bool(dim * most**2 < 2**52)
-    for i, qid in enumerate(qids):
-        bound = np.where(ids == qid, -np.inf, bounds[i])
-        yield int(qid), *best(qx[i], x, ids, bound, k, exact, int(floors[i])), ids
+        good = more >= floor
+        if good.any():
+            scores, ids = np.concatenate([scores, more[good]]), np.concatenate([ids, block.ids[rows[good]]])
+            first = np.lexsort((ids, ~scores))[:k]
+            scores, ids = scores[first], ids[first]
+            if len(scores) == k:
+                floor = max(floor, int(scores[-1]))
+    return (scores, ids), at
+
+
+def meet(batches: Iterator[pa.RecordBatch], dim: int, places: Places, k: int) -> list[Asked]:
+    """All query blocks of a task, after they have met all its vector blocks."""
+    asked: dict[tuple[int, int], Asked] = {}
+    at = block = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if at != (row["slot"], row["part"]):
+                at, block = (row["slot"], row["part"]), Block(row["ids"], row["x"], row["d"], dim, places)
+            key = (row["q_slot"], row["q_part"])
+            if key not in asked:
+                asked[key] = Asked(row, dim, places)
+            asked[key].meet(block, k)
+    return list(asked.values())
 
 
 def first_round(batches: Iterator[pa.RecordBatch], dim: int, places: Places, k: int) -> Iterator[pa.RecordBatch]:
-    """Query blocks with the score that each query's k-th best of one vector block has."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            floors = [scores[-1] if len(scores) == k else _MIN for _, _, scores, _, _ in _units(row, dim, places, k)]
-            yield pa.RecordBatch.from_pydict({"q_ids": [row["q_ids"]], "q_x": [row["q_x"]], "q_d": [row["q_d"]], "q_floor": [np.array(floors, np.int64).tobytes()]})
+    """Query blocks with the score that each query's k-th best of a few vector blocks has."""
+    for a in meet(batches, dim, places, k):
+        floors = np.array([scores[-1] if len(scores) == k else _MIN for scores, _ in a.found], np.int64)
+        ints = {c: pa.array([a.packed[c]], pa.int32()) for c in ("q_slot", "q_part")}
+        yield pa.RecordBatch.from_pydict({**ints, **{c: [a.packed[c]] for c in ("q_ids", "q_x", "q_d")}, "q_floor": [floors.tobytes()]})
 
 
 def search(batches: Iterator[pa.RecordBatch], dim: int, places: Places, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "evaluated": []}
-            for qid, rows, scores, n, ids in _units(row, dim, places, k):
-                out["query_id"] += [qid] * len(rows)
-                out["vec_id"] += [int(ids[r]) for r in rows]
-                out["score"] += scores
-                out["evaluated"] += [n if i == 0 else 0 for i in range(len(rows))]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+    """Each query's best rows; where there is none, a row without vec_id says how many were evaluated."""
+    for a in meet(batches, dim, places, k):
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "evaluated": []}
+        for qid, (scores, ids), n in zip(a.block.ids.tolist(), a.found, a.evaluated, strict=True):
+            rows = max(len(ids), min(n, 1))
+            out["query_id"] += [qid] * rows
+            out["vec_id"] += ids.tolist() or [None] * rows
+            out["score"] += scores.tolist() or [None] * rows
+            out["evaluated"] += [n, *[0] * (rows - 1)][:rows]
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+
+
+def seed_rows(rows: DataFrame, n: int, n_seeds: int) -> list:
+    """The first n_seeds of n rows in the order of a hash of their ids, put together in a task and not by the driver."""
+    hashed = rows.select("v", "id", F.xxhash64("id").alias("h"))
+    # about four times as many rows have hashes that low, unless ids repeat
+    some = hashed.filter(F.col("h") < _MIN + (2**66 * n_seeds) // n) if n > 4 * n_seeds else hashed
+    for df in (some, hashed):
+        found = df.orderBy("h", "id").limit(n_seeds).repartition(1).collect()
+        if len(found) >= min(n, n_seeds):
+            break
+    return found
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int | None = None, n_seeds: int = 512, block_rows: int = 4096, query_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -173,12 +234,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int | Non
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == F.lit(float("inf"))))
-    sound_rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("is_query"))
+    kept = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else v  # half the bytes of doubles
+    sound_rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), kept.alias("v"), is_query.alias("is_query"))
     shape = sound_rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).first()
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
     dim = max(1, shape["dim"])
-    seeds = sound_rows.select("v", "id").orderBy(F.xxhash64("id"), "id").limit(n_seeds).collect()
+    seeds = seed_rows(sound_rows, shape["n"], n_seeds)
     pivots = choose_pivots(_matrix(pa.array([r["v"] for r in seeds], pa.list_(pa.float64())), dim), n_pivots or max(1, 3 * dim // 4))
     places = Places(pivots)
     n_blocks, q_blocks = -(-shape["n"] // block_rows), max(1, -(-shape["q"] // query_rows))
@@ -190,19 +252,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int | Non
 
     blocks = materialise(packed(sound_rows.select("id", "v"), n_blocks, block_rows), "vector-blocks")
     asked = materialise(packed(sound_rows.filter("is_query").select("id", "v").distinct(), q_blocks, query_rows), "query-blocks")
-    q = [F.col(c).alias(f"q_{c}") for c in ("ids", "x", "d")]
-    units = ["ids", "x", "d", "q_ids", "q_x", "q_d"]
+    q = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    slots = [r["slot"] for r in blocks.select("slot").distinct().orderBy("slot").limit(math.isqrt(n_blocks)).collect()]
+    few = blocks.filter(F.col("slot").isin(slots) & (F.col("part") == 0)).coalesce(1)
+    q_parts = max(-(-q_blocks // QUERY_PART), min(q_blocks, spark.sparkContext.defaultParallelism))
+
+    def met(some: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+        """Each vector block with each query block; the hint keeps Spark from sending a side to the driver."""
+        return some.crossJoin(queries.repartitionById(n, F.pmod("q_slot", F.lit(n)).cast("int")).hint("shuffle_replicate_nl"))
+
     with arrow_rows(spark, 4):  # a row is two blocks
-        # the first block of a slot is enough for a first look
-        one = blocks.groupBy("slot").agg(F.min_by(F.struct("ids", "x", "d"), "ids").alias("b")).select("slot", "b.*")
-        met = asked.select(F.pmod("slot", F.lit(n_blocks)).alias("slot"), *q).join(one, "slot", "left").select(*units)
-        met = met.withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("ids", "x", "d")})
-        known = materialise(met.mapInArrow(lambda b: first_round(b, dim, places, k), "q_ids binary, q_x binary, q_d binary, q_floor binary"), "query-floors")
-        # each query block goes to each vector block: n_blocks copies of the queries, which is the work of a stated query set
-        sent = known.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        found = materialise(blocks.join(sent, "slot").select(*units, "q_floor").mapInArrow(lambda b: search(b, dim, places, k), FOUND), "found")
+        looked = met(few, q, q_blocks).mapInArrow(lambda b: first_round(b, dim, places, k), "q_slot int, q_part int, q_ids binary, q_x binary, q_d binary, q_floor binary")
+        known = materialise(looked, "query-floors")
+        found = materialise(met(blocks.coalesce(max(1, TASKS // q_parts)), known, q_parts).mapInArrow(lambda b: search(b, dim, places, k), FOUND), "found")
     discard(blocks, asked, known)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     total = found.groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
-    ranked = found.drop("evaluated").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    ranked = found.filter("vec_id IS NOT NULL").drop("evaluated").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return ranked.join(total, "query_id").select("query_id", "rank", "vec_id", "score", "evaluated")
