@@ -234,7 +234,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int | Non
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == F.lit(float("inf"))))
-    kept = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else v  # half the bytes of doubles
+    kept = F.col(vector_col) if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else v  # half the bytes of doubles
     sound_rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("id"), kept.alias("v"), is_query.alias("is_query"))
     shape = sound_rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).first()
     if not shape["n"]:
