@@ -393,3 +393,14 @@ def test_text_batches_keep_smaller_settings(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_printing_joins_nothing(spark):
+    """No table of arcs can be taken for a small one and sent to the driver; chains and other machines are read alike."""
+    words = spark.createDataFrame([(1, "añb"), (2, ""), (3, None), (4, "x" * 3000)], "id long, word string")
+    chains = strings.compile_strings(words, "id", "word")
+    others = chains.with_(arcs=chains.arcs.filter("fst_id <> 4 or src <> 7"))
+    for fst, last in ((chains, "x" * 3000), (others, None)):
+        out = strings.print_strings(fst)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["fst_id"]: r["text"] for r in out.collect()} == {1: "añb", 2: "", 4: last}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.model import Fst
-from weftline.session import hold, ship_by_value
+from weftline.session import hold, ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -27,7 +27,7 @@ def _linear(labels: DataFrame) -> Fst:
     states = states.select("fst_id", "state", F.when(F.col("state") == F.col("n"), F.lit(0.0)).alias("final_weight"))
     arcs = labels.select("fst_id", F.posexplode("labels").alias("p", "l"))
     arcs = arcs.select("fst_id", F.col("p").cast("long").alias("src"), "l.ilabel", "l.olabel", F.lit(0.0).alias("weight"), (F.col("p") + 1).cast("long").alias("dst"))
-    return Fst(meta, states, arcs, dense=True, chains=labels.select("fst_id", n.alias("n")))
+    return Fst(meta, states, arcs, dense=True, chains=labels.select("fst_id", n.alias("n"), "labels"))
 
 
 def compile_strings(df: DataFrame, id_col: str, text_col: str) -> Fst:
@@ -46,6 +46,24 @@ def compile_pairs(df: DataFrame, id_col: str, one: str, other: str) -> Fst:
     return _linear(x.select("fst_id", F.zip_with("a", "b", lambda v, w: F.struct(F.coalesce(v, zero).alias("ilabel"), F.coalesce(w, zero).alias("olabel"))).alias("labels"), "n"))
 
 
+def _spelled(labels: np.ndarray, shift: int) -> str | None:
+    """The string of a tape's labels, epsilons left out; None where they are no bytes or no UTF-8."""
+    labels = labels[labels != 0] - shift
+    if len(labels) and (labels.min() < 0 or labels.max() > 255):
+        return None
+    try:
+        return labels.astype(np.uint8).tobytes().decode()
+    except UnicodeDecodeError:
+        return None
+
+
+def _tape(shift: int):
+    def run(tapes: pa.Array) -> pa.Array:
+        return pa.array([_spelled(np.asarray(x.values, np.int64), shift) if x.is_valid else None for x in tapes], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
 def _walk(shift: int):
     def run(starts: pa.Array, arcs: pa.Array, finals: pa.Array) -> pa.Array:
         """Follows each machine's arcs from its start to a final state without arcs."""
@@ -67,14 +85,7 @@ def _walk(shift: int):
                         tape.append(l)
                         left -= 1
                     text = np.array(tape, np.int64) if left and at not in to and at in ends else None
-            if text is not None:
-                text = text[text != 0] - shift
-                if len(text) and (text.min() < 0 or text.max() > 255):
-                    text = None
-            try:
-                out.append(None if text is None else text.astype(np.uint8).tobytes().decode())
-            except UnicodeDecodeError:
-                out.append(None)
+            out.append(None if text is None else _spelled(text, shift))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")
@@ -87,11 +98,20 @@ def print_strings(fst: Fst, side: str = "output", shift: int = 1) -> DataFrame:
     UTF-8. States off the way, final or not, don't matter. A machine's arcs have to fit in a row, as its text does.
     """
     label = "olabel" if side == "output" else "ilabel"
-    a = fst.arcs.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", F.col(label).alias("l"), "dst"))).alias("arcs"))
-    f = fst.states.filter("final_weight is not null").join(fst.arcs.select("fst_id", F.col("src").alias("state")), ["fst_id", "state"], "left_anti")
-    f = f.groupBy("fst_id").agg(F.collect_list("state").alias("ends"))
-    x = fst.meta.join(a, "fst_id", "left").join(f, "fst_id", "left")
-    return x.select("fst_id", _walk(shift)(F.col("start"), F.col("arcs"), F.col("ends")).alias("text"))
+    text_batches(fst.spark)
+    if fst.chains is not None:  # their labels are arrays already, in the order of the arcs
+        return fst.chains.select("fst_id", _tape(shift)(F.col(f"labels.{label}")).alias("text"))
+    # a machine's parts meet in one aggregation: exploded rows are many more than Spark expects, and a join may broadcast them
+    arc = F.struct("src", F.col(label).alias("l"), "dst")
+    rows = fst.arcs.select("fst_id", arc.alias("arc"), *_nulls("end", "start", "known"))
+    rows = rows.unionByName(fst.states.filter("final_weight is not null").select("fst_id", F.col("state").alias("end")), allowMissingColumns=True)
+    rows = rows.unionByName(fst.meta.select("fst_id", "start", F.lit(1).cast("long").alias("known")), allowMissingColumns=True)
+    x = rows.groupBy("fst_id").agg(F.array_sort(F.collect_list("arc")).alias("arcs"), F.collect_list("end").alias("ends"), F.max("start").alias("start"), F.max("known").alias("known"))
+    return x.filter("known = 1").select("fst_id", _walk(shift)(F.col("start"), F.col("arcs"), F.col("ends")).alias("text"))
+
+
+def _nulls(*names: str) -> list[Column]:
+    return [F.lit(None).cast("long").alias(n) for n in names]
 
 
 def any_of_strings(df: DataFrame, id_col: str, text_col: str, weight_col: str | None = None, fst_id: int = 0) -> Fst:

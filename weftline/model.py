@@ -37,7 +37,7 @@ class Fst:
     semiring: type[Tropical] = Tropical
     encoding: str = "byte_plus_one"
     dense: bool = False  # whether states are known to be numbered 0, 1, ... in each machine
-    chains: DataFrame | None = None  # of a batch of chains: fst_id and the number of arcs, so that counting needs no arcs
+    chains: DataFrame | None = None  # of a batch of chains: fst_id, the number n of arcs and their labels as an array, so that counting, packing and printing need no arcs
 
     @property
     def spark(self) -> SparkSession:
