@@ -12,7 +12,7 @@ from weftline.functions.machine import Machine, acceptor, any_of, chain, edit_tr
 from weftline.iso import isomorphic
 from weftline.model import InvalidMachine, batch, empty, frame, label_text
 from weftline.operators import lazy, paths, rational, reduce
-from weftline.operators.compose import compose
+from weftline.operators.compose import compose, merge_parallel
 from weftline.operators.difference import InvalidDifference, difference
 from weftline.operators.replace import CyclicDependency, replace
 from weftline.plans import prefix
@@ -404,3 +404,17 @@ def test_printing_joins_nothing(spark):
         out = strings.print_strings(fst)
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
         assert {r["fst_id"]: r["text"] for r in out.collect()} == {1: "añb", 2: "", 4: last}
+
+
+def test_merged_arcs_count_every_path(spark):
+    """Parallel arcs, epsilons on both sides and a weight of zero: merged machines have the same language, counts included."""
+    a = frame(spark, 0, 0, {2: 0.5}, [(0, 1, 2, 1.0, 1), (0, 1, 2, 2.0, 1), (0, 1, 2, math.inf, 1), (1, 4, 0, 0.5, 2), (1, 4, 0, 0.25, 2), (1, 4, 3, 1.0, 2)], semiring="log")
+    b = frame(spark, 0, 0, {2: 0.0}, [(0, 2, 7, 1.0, 1), (0, 2, 7, 3.0, 1), (1, 0, 8, 0.5, 2), (1, 0, 8, 0.5, 2), (1, 3, 8, 0.0, 2)], semiring="log")
+    found = []
+    for m in (compose(a, b), compose(merge_parallel(a), merge_parallel(b)), compose(merge_parallel(a), b)):
+        found.append({(*r["ilabels"], *r["olabels"]): (round(r["weight"], 9), r["paths"]) for r in m.language().collect()})
+        last = m
+    assert found[0] == found[1] == found[2] == {(1, 4, 7, 8): (found[0][1, 4, 7, 8][0], 20)}
+    many = [(0, 1, 1, float(k % 3), 1) for k in range(300)]
+    product = compose(*(merge_parallel(frame(spark, 0, 0, {1: 0.0}, many, semiring="log")) for _ in range(2)))
+    assert product.arcs.count() == 1 and product.language().first()["paths"] == 90000 and "paths" in last.arcs.columns

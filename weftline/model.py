@@ -1,8 +1,9 @@
 """Batches of weighted finite-state machines as three DataFrames.
 
 meta has a row for each machine (fst_id, start), states one for each state (fst_id, state, final_weight, null where the
-state isn't final), arcs one for each arc (fst_id, src, ilabel, olabel, weight, dst). Label 0 is epsilon. All frames
-are immutable, so every operation returns a new batch; machines of a batch never see each other.
+state isn't final), arcs one for each arc (fst_id, src, ilabel, olabel, weight, dst). Label 0 is epsilon. Arcs may have a
+column paths besides, how many equal arcs each stands for (operators.compose.merge_parallel). All frames are immutable,
+so every operation returns a new batch; machines of a batch never see each other.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ class Fst:
         states = self.states.join(chosen, ["fst_id", "state"]).select("fst_id", F.col("to").alias("state"), "final_weight")
         src = chosen.select("fst_id", F.col("state").alias("src"), F.col("to").alias("new_src"))
         dst = kept.select("fst_id", F.col("state").alias("dst"), F.col("to").alias("new_dst"))
-        arcs = self.arcs.join(src, ["fst_id", "src"]).join(dst, ["fst_id", "dst"]).select("fst_id", F.col("new_src").alias("src"), "ilabel", "olabel", "weight", F.col("new_dst").alias("dst"))
+        many = [c for c in ("paths",) if c in self.arcs.columns]
+        arcs = self.arcs.join(src, ["fst_id", "src"]).join(dst, ["fst_id", "dst"]).select("fst_id", F.col("new_src").alias("src"), "ilabel", "olabel", "weight", F.col("new_dst").alias("dst"), *many)
         meta = self.meta.join(kept.select("fst_id", F.col("state").alias("start"), "to"), ["fst_id", "start"], "left").select("fst_id", F.col("to").alias("start"))
         return self.with_(meta=meta, states=states, arcs=arcs)
 
@@ -158,10 +160,11 @@ class Fst:
         none = F.array().cast("array<long>")
         now = self.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), none.alias("ilabels"), none.alias("olabels"), F.lit(0.0).alias("w"), F.lit(1).cast("long").alias("paths"))
         arcs = self.arcs.filter(~is_zero(F.col("weight")))
+        arcs = arcs.withColumnRenamed("paths", "each") if "paths" in arcs.columns else arcs.withColumn("each", F.lit(1).cast("long"))
         add = lambda old, new: F.when(F.col(new) == 0, F.col(old)).otherwise(F.concat(old, F.array(new)))
         every, rounds, most = [now], 0, None
         while max_arcs is None or rounds < max_arcs:
-            now = now.join(arcs, (now["fst_id"] == arcs["fst_id"]) & (now["state"] == arcs["src"])).select(now["fst_id"], F.col("dst").alias("state"), add("ilabels", "ilabel").alias("ilabels"), add("olabels", "olabel").alias("olabels"), (F.col("w") + F.col("weight")).alias("w"), "paths")
+            now = now.join(arcs, (now["fst_id"] == arcs["fst_id"]) & (now["state"] == arcs["src"])).select(now["fst_id"], F.col("dst").alias("state"), add("ilabels", "ilabel").alias("ilabels"), add("olabels", "olabel").alias("olabels"), (F.col("w") + F.col("weight")).alias("w"), (F.col("paths") * F.col("each")).alias("paths"))
             now = hold(now.groupBy("fst_id", "state", "ilabels", "olabels").agg(self.semiring.plus("w").alias("w"), F.sum("paths").alias("paths")), "paths", now)
             if not row_count(now):
                 break

@@ -18,7 +18,7 @@ from weftline.functions import sql as sql_functions
 from weftline.functions.machine import Machine, edit_transducer, spell
 from weftline.model import Fst, batch, frame, label_text
 from weftline.operators import lazy, paths, rational, reduce, rewrite
-from weftline.operators.compose import compose, intersect
+from weftline.operators.compose import compose, intersect, merge_parallel
 from weftline.operators.difference import difference
 from weftline.operators.replace import CyclicDependency, replace
 from weftline.plans import packed
@@ -683,7 +683,8 @@ def log_compose(spark, sf):
     """In the log semiring the composition filter decides values: every pair of paths counts once."""
     c = table(spark, sf, "customer").select(F.lit(1).alias("x"), F.expr("c_nationkey + 1").alias("y"), F.expr("c_custkey % 13").alias("w"))
     s = table(spark, sf, "supplier").select(F.expr("s_nationkey + 1").alias("y"), F.lit(1).alias("z"), F.expr("s_suppkey % 11").alias("w"))
-    out = compose(relation(c, "x", "y", "w").with_(semiring=Log), relation(s, "y", "z", "w").with_(semiring=Log))
+    # a nation's customers and suppliers are parallel arcs: merged with their number, the product has an arc a nation, not one a pair
+    out = compose(*(merge_parallel(m.with_(semiring=Log)) for m in (relation(c, "x", "y", "w"), relation(s, "y", "z", "w"))))
     return out.language().select(F.round("weight", 6).alias("weight"), "paths")
 
 
