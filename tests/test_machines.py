@@ -16,8 +16,10 @@ from weftline.operators.compose import compose, merge_parallel
 from weftline.operators.difference import InvalidDifference, difference
 from weftline.operators.replace import CyclicDependency, replace
 from weftline.plans import prefix
+from weftline.plans.packed import Packed
 from weftline.semiring import Log, Tropical, is_zero
 from weftline.session import text_batches
+from weftline.sources import binary
 
 
 def sizes(fst):
@@ -418,3 +420,21 @@ def test_merged_arcs_count_every_path(spark):
     many = [(0, 1, 1, float(k % 3), 1) for k in range(300)]
     product = compose(*(merge_parallel(frame(spark, 0, 0, {1: 0.0}, many, semiring="log")) for _ in range(2)))
     assert product.arcs.count() == 1 and product.language().first()["paths"] == 90000 and "paths" in last.arcs.columns
+
+
+def test_packing_joins_nothing(spark):
+    """Chains are packed from their labels, other machines by aggregation: the same bytes, and no table that a join may broadcast."""
+    words = spark.createDataFrame([(1, "ab"), (2, ""), (3, "x" * 300)], "id long, word string")
+    chains = strings.compile_strings(words, "id", "word")
+    want = {i: Packed.of(acceptor(w)).to_bytes() for i, w in ((1, "ab"), (2, ""), (3, "x" * 300))}
+    for fst in (chains, chains.with_(meta=chains.meta, dense=True)):
+        out = binary.encode(fst)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r["fst_id"]: bytes(r["data"]) for r in out.collect()} == want
+    m = Machine()
+    m.add_states(3)
+    m.set_start(1)
+    m.set_final(2, 0.5)
+    for a in ((1, 3, 3, 1.0, 2), (1, 2, 4, 0.0, 0), (0, 5, 5, 2.0, 1)):
+        m.add_arc(*a)
+    assert bytes(binary.encode(m.frame(spark)).first()["data"]) == Packed.of(m).to_bytes()

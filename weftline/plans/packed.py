@@ -65,6 +65,15 @@ class Packed:
         head = struct.pack(HEADER, MAGIC, VERSION, self.semiring, 0, len(self.states), len(self.arcs), NO_STATE if self.start is None else self.start, 0)
         return head + self.states.tobytes() + self.arcs.tobytes()
 
+    @staticmethod
+    def of_row(start: int | None, finals: np.ndarray, offsets: np.ndarray, arcs: dict[str, np.ndarray], semiring: int = 0) -> Packed:
+        """From a row of freeze(), without an object for each arc; arcs of a state are sorted already."""
+        states, rows = np.zeros(len(finals), STATE), np.zeros(len(arcs["dst"]), ARC)
+        states["n"], states["offset"], states["final"] = np.diff(offsets), offsets[: len(finals)], finals
+        for c in ARC_FIELDS:
+            rows[c] = arcs[c]
+        return Packed(start, states, rows, semiring)
+
     @staticmethod
     def from_bytes(data: bytes) -> Packed:
         if len(data) < HEADER_BYTES:
@@ -86,6 +95,8 @@ class Packed:
         return Packed(None if start == NO_STATE else start, states, arcs, semiring)
 
 
+ARC_FIELDS = "ilabel", "olabel", "weight", "dst"
+ARC_ARRAY = "array<struct<ilabel:long,olabel:long,weight:double,dst:int>>"
 PACKED = "fst_id long, start int, finals array<double>, offsets array<int>, arcs array<struct<ilabel:long,olabel:long,weight:double,dst:int>>"
 
 
@@ -94,15 +105,32 @@ def freeze(fst: Fst) -> DataFrame:
 
     A packed machine is one row, so its arcs have to fit in a worker.
     """
+    if fst.chains is not None:
+        return _freeze_chains(fst.chains)
     fst = fst.renumber()
-    sizes = fst.states.select("fst_id", F.col("state").alias("src"), "final_weight").join(fst.arcs.groupBy("fst_id", "src").agg(F.count(F.lit(1)).alias("n")), ["fst_id", "src"], "left")
-    sizes = sizes.select("fst_id", "src", F.coalesce("final_weight", F.lit(INF)).alias("f"), F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("fst_id").orderBy("src")).cast("int").alias("upto"))
-    by_state = sizes.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", "f", "upto"))).alias("s"))
-    arcs = fst.arcs.groupBy("fst_id").agg(F.array_sort(F.collect_list(F.struct("src", "ilabel", "olabel", "weight", F.col("dst").cast("int").alias("dst")))).alias("a"))
-    x = fst.meta.join(by_state, "fst_id", "left").join(arcs, "fst_id", "left")
-    offsets = F.concat(F.array(F.lit(0)), F.transform("s", lambda v: v["upto"]))
-    none = F.array().cast("array<struct<ilabel:long,olabel:long,weight:double,dst:int>>")
-    return x.select("fst_id", F.col("start").cast("int").alias("start"), F.coalesce(F.transform("s", lambda v: v["f"]), F.array().cast("array<double>")).alias("finals"), F.coalesce(offsets, F.array(F.lit(0))).alias("offsets"), F.coalesce(F.transform("a", lambda v: F.struct(v["ilabel"].alias("ilabel"), v["olabel"].alias("olabel"), v["weight"].alias("weight"), v["dst"].alias("dst"))), none).alias("arcs"))
+    # parts meet in aggregations: exploded rows are many more than Spark expects, and a join may broadcast them
+    counts = fst.states.select("fst_id", F.col("state").alias("src"), F.coalesce("final_weight", F.lit(INF)).alias("f"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(fst.arcs.select("fst_id", "src", F.lit(None).cast("double").alias("f"), F.lit(1).cast("long").alias("n")))
+    counts = counts.groupBy("fst_id", "src").agg(F.min("f").alias("f"), F.sum("n").alias("n")).filter("f is not null")
+    sizes = counts.select("fst_id", "src", "f", F.sum("n").over(Window.partitionBy("fst_id").orderBy("src")).cast("int").alias("upto"))
+    rows = sizes.select("fst_id", F.struct("src", "f", "upto").alias("s"))
+    rows = rows.unionByName(fst.arcs.select("fst_id", F.struct("src", "ilabel", "olabel", "weight", F.col("dst").cast("int").alias("dst")).alias("a")), allowMissingColumns=True)
+    rows = rows.unionByName(fst.meta.select("fst_id", F.col("start").cast("int").alias("start"), F.lit(True).alias("known")), allowMissingColumns=True)
+    x = rows.groupBy("fst_id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("a")).alias("a"), F.max("start").alias("start"), F.max("known").alias("known")).filter("known")
+    offsets = F.concat(F.array(F.lit(0)), F.col("s.upto"))
+    arcs = F.arrays_zip(*[F.col(f"a.{c}").alias(c) for c in ARC_FIELDS])
+    return x.select("fst_id", "start", F.col("s.f").alias("finals"), offsets.alias("offsets"), arcs.cast(ARC_ARRAY).alias("arcs"))
+
+
+def _freeze_chains(chains: DataFrame) -> DataFrame:
+    """A chain's row follows from its labels: a state's only arc leads to the next one, and the last one is final."""
+    n = F.col("n").cast("int")
+    zero, empty = F.lit(0), F.array().cast("array<int>")
+    finals = F.concat(F.array_repeat(F.lit(INF), n), F.array(F.lit(0.0)))
+    offsets = F.concat(F.sequence(zero, n), F.array(n))
+    to = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(empty)
+    arcs = F.arrays_zip(F.col("labels.ilabel").alias("ilabel"), F.col("labels.olabel").alias("olabel"), F.array_repeat(F.lit(0.0), n).alias("weight"), to.alias("dst"))
+    return chains.select("fst_id", zero.alias("start"), finals.alias("finals"), offsets.alias("offsets"), arcs.cast(ARC_ARRAY).alias("arcs"))
 
 
 def thaw(packed: DataFrame, like: Fst) -> Fst:

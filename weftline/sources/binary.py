@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.machine import Machine
 from weftline.model import Fst
-from weftline.plans.packed import InvalidFormat, Packed, freeze, thaw
+from weftline.plans.packed import ARC_FIELDS, InvalidFormat, Packed, freeze, thaw
 from weftline.semiring import SEMIRINGS
-from weftline.session import materialise, ship_by_value
+from weftline.session import materialise, ship_by_value, text_batches
 
 ship_by_value(__name__)
 
@@ -29,16 +29,16 @@ def encode(fst: Fst) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            finals, offsets, arcs = (b.column(c) for c in ("finals", "offsets", "arcs"))
             out = []
-            for r in b.to_pylist():
-                m = Machine()
-                m.add_states(len(r["finals"]))
-                m.finals, m.start = list(r["finals"]), r["start"]
-                for s in range(m.num_states):
-                    m.arcs[s] = [(a["ilabel"], a["olabel"], a["weight"], a["dst"]) for a in r["arcs"][r["offsets"][s] : r["offsets"][s + 1]]]
-                out.append({"fst_id": r["fst_id"], "data": Packed.of(m, code).to_bytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("fst_id", pa.int64()), ("data", pa.binary())]))
-
+            for k, start in enumerate(b.column("start").to_pylist()):
+                row = arcs[k].values
+                columns = {c: row.field(c).to_numpy(zero_copy_only=False) for c in ARC_FIELDS}
+                ends = [x[k].values.to_numpy(zero_copy_only=False) for x in (finals, offsets)]
+                out.append(Packed.of_row(start, *ends, columns, code).to_bytes())
+            yield pa.record_batch([b.column("fst_id"), pa.array(out, pa.binary())], ["fst_id", "data"])
+
+    text_batches(fst.spark)  # a machine is a large row
     return freeze(fst).mapInArrow(run, "fst_id long, data binary")
 
 
@@ -57,6 +57,7 @@ def decode(data: DataFrame, semiring: str = "tropical", encoding: str = "byte_pl
                 out.append({"fst_id": r["fst_id"], "start": p.start, "finals": [float(x) for x in p.states["final"]], "offsets": [0, *accumulate(n)], "arcs": arcs})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+    text_batches(data.sparkSession)
     rows = data.select("fst_id", "data").mapInArrow(run, ROWS)
     like = Fst(rows.select("fst_id"), rows, rows, SEMIRINGS[semiring], encoding)
     return thaw(rows, like)
