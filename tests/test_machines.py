@@ -438,3 +438,11 @@ def test_packing_joins_nothing(spark):
     for a in ((1, 3, 3, 1.0, 2), (1, 2, 4, 0.0, 0), (0, 5, 5, 2.0, 1)):
         m.add_arc(*a)
     assert bytes(binary.encode(m.frame(spark)).first()["data"]) == Packed.of(m).to_bytes()
+
+
+def test_products_of_workers_are_written_once(spark):
+    words = spark.createDataFrame([(1, "ab"), (2, ""), (3, "zz")], "id long, word string")
+    both = lazy.compose_shared(strings.compile_strings(words, "id", "word"), edit_transducer(spell("ab")))
+    files = [sorted(df.inputFiles()) for df in (both.meta, both.states, both.arcs)]
+    assert files[0] and files[0] == files[1] == files[2]
+    assert {r["fst_id"]: r["num_finals"] for r in both.sizes().collect()} == {1: 1, 2: 1, 3: 0}

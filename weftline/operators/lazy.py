@@ -9,19 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions.machine import Machine
 from weftline.model import Fst, same_space
-from weftline.plans.packed import freeze
+from weftline.plans.packed import ARC_FIELDS, freeze
 from weftline.semiring import INF
-from weftline.session import ship_by_value
+from weftline.session import materialise, ship_by_value, text_batches
 
 ship_by_value(__name__)
 
 State = tuple[int, int, int]
+CELLS = 50_000  # states and arcs that a worker holds before it hands them on
 _arc = pa.struct([("src", pa.int64()), ("ilabel", pa.int64()), ("olabel", pa.int64()), ("weight", pa.float64()), ("dst", pa.int64())])
 ROW = "fst_id long, start long, finals array<double>, arcs array<struct<src:long,ilabel:long,olabel:long,weight:double,dst:long>>"
 _ROW = pa.schema([("fst_id", pa.int64()), ("start", pa.int64()), ("finals", pa.list_(pa.float64())), ("arcs", pa.list_(_arc))])
@@ -39,8 +41,7 @@ class Product:
     def arcs(self, at: State) -> Iterator[tuple[int, int, float, State]]:
         s1, s2, f = at
         off, by_label = self.row["offsets"], self.index[s2]
-        for a in self.row["arcs"][off[s1] : off[s1 + 1]]:
-            i, o, w, d = a["ilabel"], a["olabel"], a["weight"], a["dst"]
+        for i, o, w, d in self.row["arcs"][off[s1] : off[s1 + 1]]:
             if o or f == 0:
                 for o2, w2, d2 in by_label.get(o, ()):
                     yield i, o2, w + w2, (d, d2, 0)
@@ -54,19 +55,22 @@ class Product:
         return self.row["finals"][at[0]] + self.shared.finals[at[1]]
 
 
-def _whole(p: Product, start: State) -> tuple[list[float], list[dict]]:
+Found = tuple[list[float], list[tuple[int, int, int, float, int]]]  # final weights, arcs as (src, ilabel, olabel, weight, dst)
+
+
+def _whole(p: Product, start: State) -> Found:
     """Every state that can be reached, numbered in the order in which it is met, and all arcs."""
     number, todo, arcs = {start: 0}, [start], []
-    for at in todo:  # grows
+    for src, at in enumerate(todo):  # grows
         for i, o, w, to in p.arcs(at):
             if to not in number:
                 number[to] = len(todo)
                 todo.append(to)
-            arcs.append({"src": number[at], "ilabel": i, "olabel": o, "weight": w, "dst": number[to]})
+            arcs.append((src, i, o, w, number[to]))
     return [p.final(s) for s in todo], arcs
 
 
-def _best(p: Product, start: State, falls: bool) -> tuple[list[float], list[dict]] | None:
+def _best(p: Product, start: State, falls: bool) -> Found | None:
     """The best path as a chain; only states are visited that no better way to a final state rules out.
 
     Ties go to fewer arcs, then to the smaller state. falls: there are negative weights, so nothing is ruled out.
@@ -96,10 +100,30 @@ def _best(p: Product, start: State, falls: bool) -> tuple[list[float], list[dict
         at, i, o, v = back[at]
         arcs.append((i, o, v))
     arcs.reverse()
-    return [INF] * len(arcs) + [p.final(end[2])], [{"src": k, "ilabel": i, "olabel": o, "weight": v, "dst": k + 1} for k, (i, o, v) in enumerate(arcs)]
+    return [INF] * len(arcs) + [p.final(end[2])], [(k, i, o, v, k + 1) for k, (i, o, v) in enumerate(arcs)]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The packed machines of a batch, one at a time; arcs are tuples."""
+    finals, offsets, arcs = (batch.column(c) for c in ("finals", "offsets", "arcs"))
+    for k, (fst_id, start) in enumerate(zip(batch.column("fst_id").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+        row = arcs[k].values
+        columns = [row.field(c).to_pylist() for c in ARC_FIELDS]
+        yield {"fst_id": fst_id, "start": start, "finals": finals[k].as_py(), "offsets": offsets[k].as_py(), "arcs": list(zip(*columns, strict=True))}
+
+
+def _batch(found: list[tuple[int, Found | None]]) -> pa.RecordBatch:
+    ends = [f[0] if f else [] for _, f in found]
+    ways = [f[1] if f else [] for _, f in found]
+    offsets = lambda x: pa.array([0, *accumulate(map(len, x))], pa.int32())
+    columns = list(zip(*chain.from_iterable(ways), strict=True)) or [()] * len(_arc)
+    arcs = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _arc, strict=True)], fields=list(_arc))
+    finals = pa.array(list(chain.from_iterable(ends)), pa.float64())
+    starts = pa.array([0 if f else None for _, f in found], pa.int64())
+    return pa.record_batch([pa.array([i for i, _ in found], pa.int64()), starts, pa.ListArray.from_arrays(offsets(ends), finals), pa.ListArray.from_arrays(offsets(ways), arcs)], schema=_ROW)
 
 
-def _apply(a: Fst, b: Fst | Machine, work: Callable[[Product, State], tuple[list[float], list[dict]] | None]) -> Fst:
+def _apply(a: Fst, b: Fst | Machine, work: Callable[[Product, State], Found | None], tag: str) -> Fst:
     if isinstance(b, Fst):
         same_space(a, b)
         b = Machine.of(b)
@@ -111,15 +135,21 @@ def _apply(a: Fst, b: Fst | Machine, work: Callable[[Product, State], tuple[list
         index.append(by_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[int, Found | None]] = []
+        cells = 0
         for batch in batches:
-            for r in batch.to_pylist():
-                found = None
-                if r["start"] is not None and b.start is not None:
-                    found = work(Product(r, b, index), (r["start"], b.start, 0))
-                finals, arcs = found or ([], [])
-                yield pa.RecordBatch.from_pylist([{"fst_id": r["fst_id"], "start": 0 if found else None, "finals": finals, "arcs": arcs}], schema=_ROW)
-
-    rows = freeze(a).mapInArrow(run, ROW)
+            for r in _rows(batch):
+                found = work(Product(r, b, index), (r["start"], b.start, 0)) if r["start"] is not None and b.start is not None else None
+                done.append((r["fst_id"], found))
+                cells += 1 + (len(found[0]) + len(found[1]) if found else 0)
+                if cells >= CELLS:
+                    yield _batch(done)
+                    done, cells = [], 0
+        if done:
+            yield _batch(done)
+
+    text_batches(a.spark)  # a machine is a large row
+    rows = materialise(freeze(a).mapInArrow(run, ROW), tag)  # written once: all parts are read from it
     states = rows.select("fst_id", F.posexplode("finals").alias("state", "w"))
     states = states.select("fst_id", F.col("state").cast("long").alias("state"), F.when(F.abs("w") != INF, F.col("w")).alias("final_weight"))
     return a.with_(meta=rows.select("fst_id", "start"), states=states, arcs=rows.select("fst_id", F.explode("arcs").alias("a")).select("fst_id", "a.*"))
@@ -127,7 +157,7 @@ def _apply(a: Fst, b: Fst | Machine, work: Callable[[Product, State], tuple[list
 
 def compose_shared(a: Fst, b: Fst | Machine) -> Fst:
     """Every machine of a composed with the one machine b; states are numbered in the order in which they are met."""
-    return _apply(a, b, _whole).cut("shared")
+    return _apply(a, b, _whole, "shared")
 
 
 def compose_shortest_path(a: Fst, b: Fst | Machine, n: int = 1) -> Fst:
@@ -141,7 +171,7 @@ def compose_shortest_path(a: Fst, b: Fst | Machine, n: int = 1) -> Fst:
     if isinstance(b, Fst):
         same_space(a, b)
     falls = falls or any(w < 0 for x in shared.arcs for _, _, w, _ in x) or any(w < 0 for w in shared.finals)
-    return _apply(a, shared, lambda p, start: _best(p, start, falls)).cut("best")
+    return _apply(a, shared, lambda p, start: _best(p, start, falls), "best")
 
 
 def chain_weights(chains: Fst):
