@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import struct
 import subprocess
 import sys
@@ -276,3 +277,13 @@ print("fine")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_long_texts_are_rewritten_in_windows(monkeypatch):
+    """A text's pieces are never all in memory: windows end with cut bytes, and the results are those of whole texts."""
+    cut = re.compile(b"([ .]+)")
+    text = b"the cat.  on the mat " * 50 + b"the" * 20
+    parts = list(rewrite.windows(text, cut, 16))
+    assert b"".join(parts) == text and len(parts) > 50 and all(p[-1:] in b" ." for p in parts[:-1]) and max(map(len, parts[:-1])) < 32
+    assert list(rewrite.windows(b"", cut, 16)) == [b""] and list(rewrite.windows(text, None, 16)) == [text]
+    assert [x for p in parts for x in cut.split(p) if x] == [x for x in cut.split(text) if x]

@@ -39,6 +39,27 @@ def distances(fst: Fst, max_rounds: int | None = None) -> DataFrame:
     raise NoFixpoint("distances still fall after as many rounds as there are states: a negative cycle")
 
 
+def weights(fst: Fst, max_rounds: int | None = None) -> DataFrame:
+    """fst_id, state, w of the best way from the start to each reachable state: distances() without the ways.
+
+    Rounds carry a number a state and no struct, so they aggregate by hash and needn't sort, and of arcs only ends and weight.
+    """
+    arcs = fst.arcs.filter(~is_zero(F.col("weight"))).select("fst_id", "src", "weight", "dst")
+    dist = hold(fst.meta.filter("start is not null").select("fst_id", F.col("start").alias("state"), F.lit(0.0).alias("w"), F.lit(True).alias("moved")), "dist")
+    limit = max_rounds or 1 + (fst.states.groupBy("fst_id").count().agg(F.max("count")).first()[0] or 0)
+    none = F.lit(None).cast("double")
+    for _ in range(limit):
+        moved = dist.filter("moved").select("fst_id", F.col("state").alias("src"), "w")
+        offers = moved.join(arcs, ["fst_id", "src"]).select("fst_id", F.col("dst").alias("state"), none.alias("w"), (F.col("w") + F.col("weight")).alias("offer"))
+        every = dist.select(*BEST, "w", none.alias("offer")).unionByName(offers).groupBy(*BEST).agg(F.min("w").alias("w"), F.min("offer").alias("offer"))
+        merged = every.select(*BEST, F.least("w", "offer").alias("w"), F.coalesce(F.col("offer") < F.col("w"), F.col("w").isNull()).alias("moved"))
+        old, dist = dist, hold(merged, "dist", dist)
+        discard(old)
+        if empty(dist.filter("moved")):
+            return dist.drop("moved")
+    raise NoFixpoint("distances still fall after as many rounds as there are states: a negative cycle")
+
+
 def shortest_path(fst: Fst, n: int = 1) -> Fst:
     """The best path of each machine as a linear chain with the arcs' own weights and the final weight."""
     if n != 1:
@@ -66,4 +87,4 @@ def shortest_path(fst: Fst, n: int = 1) -> Fst:
 def total_weight(fst: Fst) -> DataFrame:
     """fst_id, weight: of the best path, for machines that accept anything."""
     finals = fst.states.filter(F.col("final_weight").isNotNull() & ~is_zero(F.col("final_weight")))
-    return distances(fst).join(finals, list(BEST)).groupBy("fst_id").agg(F.min(F.col("best.w") + F.col("final_weight")).alias("weight"))
+    return weights(fst).join(finals, list(BEST)).groupBy("fst_id").agg(F.min(F.col("w") + F.col("final_weight")).alias("weight"))

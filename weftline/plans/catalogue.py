@@ -415,7 +415,7 @@ def intersect_lang(spark, sf):
   SELECT n.dst, min(d.w + n.w) FROM d JOIN n ON n.src = d.state LEFT JOIN recurring.d r ON r.state = n.dst WHERE r.w IS NULL OR d.w + n.w < r.w GROUP BY n.dst
 ) SELECT state, CAST(w AS DOUBLE) AS weight FROM d""")
 def shortest_path_nation(spark, sf):
-    return paths.distances(nation_machine(spark, sf)).select("state", F.col("best.w").alias("weight"))
+    return paths.weights(nation_machine(spark, sf)).select("state", F.col("w").alias("weight"))
 
 
 @query(f"""WITH RECURSIVE {N_SQL}, d(state, w) USING KEY (state) AS (
@@ -498,7 +498,7 @@ def part_graph(spark, sf, where: str = "true", silent: str = "false", final: str
   SELECT g.dst, min(d.w + g.w) FROM d JOIN g ON g.src = d.state LEFT JOIN recurring.d r ON r.state = g.dst WHERE r.w IS NULL OR d.w + g.w < r.w GROUP BY g.dst
 ) SELECT state, CAST(w AS DOUBLE) AS weight FROM d""")
 def shortest_path_parts(spark, sf):
-    return paths.distances(part_graph(spark, sf)).select("state", F.col("best.w").alias("weight"))
+    return paths.weights(part_graph(spark, sf)).select("state", F.col("w").alias("weight"))
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL}, e AS (SELECT src, dst FROM g WHERE w <= 25),
