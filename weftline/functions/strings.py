@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,13 @@ def compile_strings(df: DataFrame, id_col: str, text_col: str) -> Fst:
     """A linear acceptor for each row; null texts have no machine."""
     some = F.octet_length(text_col) > 0
     x = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("fst_id"), F.when(some, byte_labels(F.col(text_col))).otherwise(F.array().cast("array<bigint>")).alias("b"), F.octet_length(text_col).alias("n"))
-    return _linear(x.select("fst_id", F.transform("b", lambda v: F.struct(v.alias("ilabel"), v.alias("olabel"))).alias("labels"), "n"))
+    fst = _linear(x.select("fst_id", F.transform("b", lambda v: F.struct(v.alias("ilabel"), v.alias("olabel"))).alias("labels"), "n"))
+    # arcs are exploded before they are labelled: functions over arrays cost more than the rest; as Latin-1, every byte is one character
+    bytes_ = F.posexplode(F.split(F.decode(F.col(text_col).cast("binary"), "ISO-8859-1"), "")).alias("p", "c")
+    arcs = df.filter(some).select(F.col(id_col).cast("long").alias("fst_id"), bytes_)
+    label = F.ascii("c").cast("long") + 1
+    arcs = arcs.select("fst_id", F.col("p").cast("long").alias("src"), label.alias("ilabel"), label.alias("olabel"), F.lit(0.0).alias("weight"), (F.col("p") + 1).cast("long").alias("dst"))
+    return replace(fst, arcs=arcs)
 
 
 def compile_pairs(df: DataFrame, id_col: str, one: str, other: str) -> Fst:
