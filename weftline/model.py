@@ -110,19 +110,8 @@ class Fst:
         return self.with_(meta=meta, states=states, arcs=arcs)
 
     def renumber(self) -> Fst:
-        """States as 0, 1, ... in ascending order of their ids.
-
-        A machine's states are numbered in up to CELLS parts of equal width, so that no machine is one window.
-        """
-        if self.dense:
-            return self
-        states = self.states.select("fst_id", "state")
-        span = states.groupBy("fst_id").agg(F.min("state").alias("lo"), F.max("state").alias("hi"))
-        # halves first: the distance of two ids may be more than a long holds
-        half = lambda c: F.shiftright(c, 1)
-        cell = F.floor((half("state") - half("lo")) / (F.floor((half("hi") - half("lo")) / F.lit(CELLS)) + 1)).cast("long")
-        placed = states.join(span, "fst_id").select("fst_id", "state", cell.alias("cell"))
-        return self.remap(numbered(placed, ["fst_id"], "cell", [F.col("state")], "to").select("fst_id", "state", "to")).with_(dense=True)
+        """States as 0, 1, ... in ascending order of their ids."""
+        return self if self.dense else self.remap(hold(ranked(self.states), "ranks")).with_(dense=True)
 
     # checks
 
@@ -179,6 +168,20 @@ class Fst:
         return ends.groupBy("fst_id", "ilabels", "olabels").agg(self.semiring.plus("w").alias("weight"), F.sum("paths").alias("paths"))
 
 
+def ranked(states: DataFrame) -> DataFrame:
+    """fst_id, state, to: each state's place among its machine's, from 0, in the order of their ids.
+
+    A machine's states are numbered in up to CELLS parts of equal width, so that no machine is one window.
+    """
+    states = states.select("fst_id", "state")
+    span = states.groupBy("fst_id").agg(F.min("state").alias("lo"), F.max("state").alias("hi"))
+    # halves first: the distance of two ids may be more than a long holds
+    half = lambda c: F.shiftright(c, 1)
+    cell = F.floor((half("state") - half("lo")) / (F.floor((half("hi") - half("lo")) / F.lit(CELLS)) + 1)).cast("long")
+    placed = states.join(span, "fst_id").select("fst_id", "state", cell.alias("cell"))
+    return numbered(placed, ["fst_id"], "cell", [F.col("state")], "to").select("fst_id", "state", "to")
+
+
 def label_text(labels: str, shift: int = 1):
     """The string that a list of labels spells in bytes; null for labels that are no byte."""
     hexes = F.transform(F.col(labels), lambda x: F.lpad(F.hex(x - shift), 2, "0"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.model import MAX_LABEL, Fst
+from weftline.model import MAX_LABEL, Fst, ranked
 from weftline.plans.fixpoint import NoFixpoint, empty, reach
 from weftline.session import discard, hold, row_count
 
@@ -56,16 +56,19 @@ def rm_epsilon(fst: Fst) -> Fst:
 
 def connect(fst: Fst) -> Fst:
     """States on a path from the start to a final state, renumbered in their old order."""
-    edges = fst.arcs.select("fst_id", F.col("src").alias("state"), F.col("dst").alias("next_state")).distinct()
+    edges = fst.arcs.select("fst_id", F.col("src").alias("state"), F.col("dst").alias("next_state"))
     back = edges.select("fst_id", F.col("next_state").alias("state"), F.col("state").alias("next_state"))
     keys = ["fst_id", "state"]
     front = reach(fst.meta.filter("start is not null").select("fst_id", F.col("start").alias("state")), edges, keys)
     rear = reach(fst.states.filter("final_weight is not null").select(*keys), back, keys)
-    live = front.join(rear, keys)
-    states = fst.states.join(live, keys, "left_semi")
-    ends = lambda c: live.select("fst_id", F.col("state").alias(c))
-    arcs = fst.arcs.join(ends("src"), ["fst_id", "src"], "left_semi").join(ends("dst"), ["fst_id", "dst"], "left_semi")
-    return fst.with_(states=states, arcs=arcs.select("fst_id", "src", "ilabel", "olabel", "weight", "dst")).renumber().cut("connect")
+    live = hold(fst.states.join(front, keys, "left_semi").join(rear, keys, "left_semi"), "live", fst.arcs)
+    ranks = hold(ranked(live), "ranks", live)  # computed once, as three tables need it
+    end = lambda c: ranks.select("fst_id", F.col("state").alias(c), F.col("to").alias(f"new_{c}"))
+    states = live.join(ranks, keys).select("fst_id", F.col("to").alias("state"), "final_weight")
+    arcs = fst.arcs.join(end("src"), ["fst_id", "src"]).join(end("dst"), ["fst_id", "dst"])
+    arcs = arcs.select("fst_id", F.col("new_src").alias("src"), "ilabel", "olabel", "weight", F.col("new_dst").alias("dst"))
+    meta = fst.meta.join(end("start"), ["fst_id", "start"], "left").select("fst_id", F.col("new_start").alias("start"))
+    return fst.with_(meta=hold(meta, "connect-meta"), states=hold(states, "connect-states", live), arcs=hold(arcs, "connect-arcs", live), dense=True)
 
 
 def determinize(fst: Fst, drop_epsilon: bool = False, max_rounds: int = 10_000, max_states: int = 10_000_000) -> Fst:
