@@ -8,23 +8,24 @@ symbol outside sigma and outside all matches leaves no path: the result is null.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.machine import Machine, acceptor, any_of, spell, transducer
 from weftline.plans.kernel import Kernel
 from weftline.plans.packed import Packed
 from weftline.semiring import INF
-from weftline.session import ship_by_value
+from weftline.session import ship_by_value, text_batches
 
 ship_by_value(__name__)
 
 COPY = 1.0
+BLOCK = 1 << 20  # bytes of text that the kernel rewrites at once: its pieces are objects, some 50 times as large
 
 
 class UnsupportedRewrite(ValueError):
@@ -171,6 +172,8 @@ class Rule:
 
     def kernel(self, text: Column) -> Column:
         """The rule by its machine, for any rule."""
+        if session := SparkSession.getActiveSession():
+            text_batches(session)  # whole texts are large rows
         return self.function()(text)
 
     def function(self, memo_bytes: int = 1 << 26) -> Callable[[Column], Column]:
@@ -187,15 +190,12 @@ class Rule:
 
         def block(rows: list) -> list:
             step = 2 if split else 1  # odd parts are cut bytes, which copy themselves
-            new = list({x for r in rows if r is not None for x in r[::step] if x not in memo})
+            new = list({x for r in rows for x in r[::step] if x not in memo})
             fresh = dict(zip(new, (y for y, _ in kernel.run(new)), strict=True))
             out = []
             for r in rows:
-                if r is None:
-                    out.append(None)
-                    continue
                 done = [x if i % step else (fresh[x] if x in fresh else memo[x]) for i, x in enumerate(r)]
-                out.append(None if None in done else utf8(b"".join(done)))
+                out.append(None if None in done else b"".join(done))
             for x, y in fresh.items():
                 if len(x) <= 64:
                     memo[x] = y
@@ -206,14 +206,37 @@ class Rule:
             return out
 
         def run(texts: pa.Array) -> pa.Array:
-            out: list = []
-            for lo in range(0, len(texts), 1000):
-                out += block([None if x is None else (split.split(x.encode()) if split else [x.encode()]) for x in texts[lo : lo + 1000].to_pylist()])
-            return pa.array(out, pa.string())
+            found: list = [[] if x.is_valid else None for x in texts]  # each text's rewritten windows
+            todo: list[tuple[int, list[bytes]]] = []
+            size = 0
+
+            def flush() -> None:
+                for (i, _), y in zip(todo, block([r for _, r in todo]), strict=True):
+                    found[i].append(y)
+                todo.clear()
+
+            for i, x in enumerate(texts):
+                for w in windows(x.as_py().encode(), split, BLOCK) if x.is_valid else ():
+                    todo.append((i, split.split(w) if split else [w]))
+                    size += len(w)
+                    if size >= BLOCK or len(todo) >= 1000:
+                        flush()
+                        size = 0
+            flush()
+            return pa.array([None if x is None or None in x else utf8(b"".join(x)) for x in found], pa.string())
 
         return F.arrow_udf(run, "string")
 
 
+def windows(text: bytes, split: re.Pattern | None, most: int) -> Iterator[bytes]:
+    """text in parts that end with cut bytes, each of about `most` bytes, or longer where no cut byte comes."""
+    at = 0
+    while split and len(text) - at > most and (cut := split.search(text, at + most)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
 def utf8(data: bytes) -> str | None:
     try:
         return data.decode()
